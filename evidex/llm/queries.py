@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, simhash
 
-QUERIES = {"op10_bpe": bpe.op10_bpe}
+QUERIES = {
+    "op4_simhash": simhash.op4_simhash,
+    "op10_bpe": bpe.op10_bpe,
+}
 ORACLE: dict[str, str] = {}
 
 
