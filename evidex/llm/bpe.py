@@ -10,7 +10,6 @@ own that later merges alone use (checked on loading), this equals merging each w
 from __future__ import annotations
 
 import functools
-import hashlib
 import heapq
 import json
 from collections.abc import Iterator
@@ -19,12 +18,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import _spark as S
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose tokens a worker remembers; beyond it, the memory starts anew.
-KNOWN = 400_000
+KNOWN = 250_000
+#: Characters of texts that are split and merged together.
+CHUNK = 2 << 20
 #: No rank, and the symbol of a place that has gone.
 NEVER = 1 << 30
 
@@ -166,6 +168,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+TEXTS = pa.schema([*TOKENS, ("text", pa.string())])
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -182,7 +185,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         v = vocabulary(path)
         for b in batches:
             texts, ids = b.column(1).to_pylist(), b.column(0)
-            for i, j in S.chunks(texts, 4 << 20):
+            for i, j in S.chunks(texts, CHUNK):
                 yield S.batch(TOKENS, ids[i:j], v.encode(texts[i:j]))
 
     return S.id_text(docs).mapInArrow(run, "doc_id long, ids binary")
@@ -191,26 +194,39 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids and the ``text`` that the tokens stand for (null ids: empty)."""
     path = path or default_vocabulary()
-    schema = pa.schema([*TOKENS, ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for b in batches:
-            yield S.batch(schema, b.column(0), b.column(1), [v.decode(x or b"") for x in b.column(1).to_pylist()])
+            yield S.batch(TEXTS, b.column(0), b.column(1), [v.decode(x or b"") for x in b.column(1).to_pylist()])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, read from encode() and decode()."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """encode() and decode() in one pass of the executors' Python: doc_id, ids, text (decoded from ids)."""
+    S.tune(docs.sparkSession)
+    path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
         for b in batches:
-            ids, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
-            yield S.batch(schema, b.column(0), [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(x.encode()).hexdigest() for x in texts])
+            texts, rows = b.column(1).to_pylist(), b.column(0)
+            for i, j in S.chunks(texts, CHUNK):
+                ids = v.encode(texts[i:j])
+                yield S.batch(TEXTS, rows[i:j], ids, [v.decode(x) for x in ids])
 
-    return decode(encode(docs, path), path).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return S.id_text(docs).mapInArrow(run, "doc_id long, ids binary, text string")
+
+
+def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, computed from ids and decoded text."""
+    return round_trip(docs, path).select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash
+from . import bpe, simhash, sketch
 
 QUERIES = {
+    "op3_fingerprints": sketch.op3_fingerprints,
     "op4_simhash": simhash.op4_simhash,
     "op10_bpe": bpe.op10_bpe,
 }
