@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash, sketch
+from . import bpe, quality, simhash, sketch
 
 QUERIES = {
     "op3_fingerprints": sketch.op3_fingerprints,
+    "op7_quality": quality.op7_quality,
     "op4_simhash": simhash.op4_simhash,
     "op10_bpe": bpe.op10_bpe,
 }
