@@ -58,3 +58,14 @@ def chunks(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def keep_rows(df: DataFrame, keep) -> DataFrame:
+    """The rows of ``df``, with all columns, for which keep(texts) is true; ``text`` null: empty."""
+    place = df.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(keep([t or "" for t in b.column(place).to_pylist()]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, simhash, sketch, toxicity
+from . import bpe, quality, simhash, sketch, tiling, toxicity
 
 QUERIES = {
     "op3_fingerprints": sketch.op3_fingerprints,
     "op7_quality": quality.op7_quality,
     "op6_toxicity": toxicity.op6_toxicity,
     "op4_simhash": simhash.op4_simhash,
+    "op9_tiling": tiling.op9_tiling,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLE: dict[str, str] = {}
