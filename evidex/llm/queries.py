@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, simhash, sketch, tiling, toxicity
+from . import bpe, lines, quality, simhash, sketch, tiling, toxicity
 
 QUERIES = {
+    "op2_lines": lines.op2_lines,
     "op3_fingerprints": sketch.op3_fingerprints,
     "op7_quality": quality.op7_quality,
     "op6_toxicity": toxicity.op6_toxicity,
@@ -12,7 +13,7 @@ QUERIES = {
     "op9_tiling": tiling.op9_tiling,
     "op10_bpe": bpe.op10_bpe,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_lines": lines.SQL}
 
 
 def queries() -> dict:
