@@ -204,7 +204,10 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """encode() and decode() in one pass of the executors' Python: doc_id, ids, text (decoded from ids)."""
+    """encode() and decode() in one pass of the executors' Python: doc_id, ids, text (decoded from ids).
+
+    One worker a core holds one vocabulary and one memory of words; a pass for each step takes three.
+    """
     S.tune(docs.sparkSession)
     path = path or default_vocabulary()
 
