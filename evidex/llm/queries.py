@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, quality, simhash, sketch, tiling, toxicity
+from . import bpe, chat, lines, quality, simhash, sketch, tiling, toxicity
 
 QUERIES = {
+    "op1_chat": chat.op1_chat,
     "op2_lines": lines.op2_lines,
     "op3_fingerprints": sketch.op3_fingerprints,
     "op7_quality": quality.op7_quality,
@@ -13,7 +14,7 @@ QUERIES = {
     "op9_tiling": tiling.op9_tiling,
     "op10_bpe": bpe.op10_bpe,
 }
-ORACLE: dict[str, str] = {"op2_lines": lines.SQL}
+ORACLE: dict[str, str] = {"op1_chat": chat.SQL, "op2_lines": lines.SQL}
 
 
 def queries() -> dict:
