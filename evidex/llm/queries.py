@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, lines, quality, simhash, sketch, tiling, toxicity
+from . import bpe, chat, lines, pii, quality, simhash, sketch, tiling, toxicity
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op2_lines": lines.op2_lines,
     "op3_fingerprints": sketch.op3_fingerprints,
+    "op5_pii": pii.op5_pii,
     "op7_quality": quality.op7_quality,
     "op6_toxicity": toxicity.op6_toxicity,
     "op4_simhash": simhash.op4_simhash,
