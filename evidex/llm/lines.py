@@ -152,8 +152,9 @@ def dedup_rows(docs: DataFrame, length: int = LENGTH, documents: int = DOCUMENTS
 def _applied(docs: DataFrame, length: int, documents: int, counts: bool) -> DataFrame:
     refs = S.stored(line_refs(docs, length))
     lost = drops(refs, documents)
-    joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["drop_id"]), "left").drop("drop_id")
     names = docs.columns
+    longer = max(names, key=len) + "_"  # a name that no column has
+    joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["drop_id"]), "left").select(*[docs[c] for c in names], lost["drop_keys"].alias(longer))
     place, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
