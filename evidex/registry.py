@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("search",)
+MODULES = ("search", "scalar")
 
 
 def _collect(attr: str) -> dict:
