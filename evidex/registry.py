@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("search", "scalar")
+MODULES = ("search", "scalar", "terms", "retrieval", "graph")
 
 
 def _collect(attr: str) -> dict:

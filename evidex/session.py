@@ -1,5 +1,8 @@
 """Session builder with the settings every plan in this package assumes."""
 
+import os
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -25,3 +28,11 @@ def build_session(app: str = "evidex", master: str | None = None, **conf: str) -
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``; any path Spark's readers open is fine."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the session's checkpoint folder, with its lineage cut."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "evidex-checkpoints"))
+    return df.checkpoint(eager=True)
