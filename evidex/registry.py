@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("search", "scalar", "terms", "retrieval", "graph")
+MODULES = ("search", "scalar", "terms", "retrieval", "graph", "pipeline_stages", "quality", "streams", "relational")
 
 
 def _collect(attr: str) -> dict:
