@@ -70,7 +70,8 @@ def fitting(rows: DataFrame, cost: str, budget: int, key: str, *order: Column |
 def first_fit(rows: DataFrame, key: str, budget: int, schema: str) -> DataFrame:
     """Mandatory rows first, then by score; a row that does not fit is left out and the next one tried.
 
-    Expects few rows a key (candidates, already cut): columns ``key``, id, cost, score, mandatory.
+    Expects few rows a key (candidates, already cut): columns ``key``, id, cost, score, mandatory. The
+    result has ``status`` besides: 'kept', or 'over_budget' for a mandatory row that does not fit.
     """
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
@@ -79,9 +80,10 @@ def first_fit(rows: DataFrame, key: str, budget: int, schema: str) -> DataFrame:
         for cost in df["cost"]:
             keep.append(cost <= left)
             left -= cost if keep[-1] else 0
-        return df[keep]
+        df = df.assign(status=["kept" if k else "over_budget" for k in keep])
+        return df[df["mandatory"] | pd.Series(keep, df.index)]
 
-    return rows.groupBy(key).applyInPandas(run, schema)
+    return rows.groupBy(key).applyInPandas(run, f"{schema}, status string")
 
 
 def mmr(rows: DataFrame, key: str, budget: int, schema: str) -> DataFrame:
@@ -91,7 +93,7 @@ def mmr(rows: DataFrame, key: str, budget: int, schema: str) -> DataFrame:
         left, chosen, spent = df.sort_values(["score", "id"], ascending=[False, True]).to_dict("records"), [], 0
         while left:
             def value(r: dict) -> float:
-                near = max((1 - (int(r["simhash"]) ^ int(c["simhash"])).bit_count() / 64 for c in chosen), default=0.0)
+                near = max((1 - ((int(r["simhash"]) ^ int(c["simhash"])) & ((1 << 64) - 1)).bit_count() / 64 for c in chosen), default=0.0)
                 return (0.75 * r["score"] - 0.25 * near) / (1 + r["cost"]) ** 0.15
 
             best = max(left, key=lambda r: (value(r), -r["id"]))
