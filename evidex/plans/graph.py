@@ -111,6 +111,6 @@ ORACLE = {
     "tre01_outline": "SELECT 'root' AS node, count(DISTINCT source) AS children_count FROM documents UNION ALL SELECT source, count(*) FROM documents GROUP BY source",
 }
 COVERAGE = {
-    "ctx06_bounded_bfs": ("CTX06", "JOI14"), "cg10_impact": ("CG10", "CG11"), "cg08_metrics": ("CG08", "AGG19"), "cg07_cycles": ("CG07",), "cg20_counts": ("AGG20",), "ctx09_hubs": ("CTX09", "SRT05"),
+    "ctx06_bounded_bfs": ("CTX06", "JOI14"), "cg10_impact": ("CG10",), "cg08_metrics": ("CG08", "AGG19"), "cg07_cycles": ("CG07",), "cg20_counts": ("AGG20",), "ctx09_hubs": ("CTX09", "SRT05"),
     "tre02_rollup": ("TRE02", "PIP19", "AGG15"), "tre03_heading_path": ("TRE03",), "tre01_outline": ("TRE01",),
 }
