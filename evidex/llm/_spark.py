@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; a batch of long documents then stays in the tens of MB.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch, however long the documents are (but one row at least).
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Arrow batches of a bounded number of rows."""
+    """Arrow batches of a bounded number of rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 

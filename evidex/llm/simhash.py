@@ -11,11 +11,17 @@ to 32 that half of the members are within 4 of any border; hence the cluster's l
 
 Equal fingerprints are one node; a shard gives at most one link a member (a spanning forest of what
 is linked there), never all pairs.
+
+64 bits and a radius of 4 find little beyond copies: at a similarity of 0.8 fingerprints differ in ten bits
+of 64 on average. similar() therefore takes 512 bits of runs of five words and the radius that belongs to
+a similarity. As no block of bits is then sure to agree, its shards are sets that agree on some bits
+of a second fingerprint, of single words, in which near copies lie much closer to one another.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _spark as S
+from . import _words as W
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -67,10 +74,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return S.id_text(docs).mapInArrow(run, "doc_id long, f long")
 
 
+def _bits(x: np.ndarray) -> np.ndarray:
+    """Bits set in each fingerprint; those of several words have them on the last axis, as a third one here."""
+    return np.bitwise_count(x).sum(-1, dtype=np.int64)
+
+
 def _leaf(f: np.ndarray, r: int) -> np.ndarray:
     """Pairs (indices) that connect the members of a leaf, all compared at once."""
     n = len(f)
-    near, label = np.bitwise_count(f[:, None] ^ f[None, :]) <= r, np.arange(n)
+    near, label = _bits(f[:, None] ^ f[None, :]) <= r, np.arange(n)
     while True:
         new = np.where(near, label[None, :], n).min(1)
         new = new[new]
@@ -92,7 +104,7 @@ def _dense(f: np.ndarray, r: int) -> np.ndarray:
         front, left = left[:1], left[1:]
         while len(front) and len(left):
             block, front = front[:64], front[64:]
-            near = np.bitwise_count(f[left, None] ^ f[None, block]) <= r
+            near = _bits(f[left][:, None] ^ f[block][None, :]) <= r
             hit = near.any(1)
             pairs.append(np.stack((left[hit], block[near[hit].argmax(1)]), 1))
             front, left = np.concatenate((front, left[hit])), left[~hit]
@@ -102,12 +114,13 @@ def _dense(f: np.ndarray, r: int) -> np.ndarray:
 def links(f: np.ndarray, r: int = RADIUS) -> np.ndarray:
     """Pairs (indices) that connect exactly what is connected by pairs at distance r or less.
 
-    ``f``: distinct uint64. The tree splits at the distance to a vantage point that makes the larger
+    ``f``: distinct fingerprints, uint64 or rows of several. The tree splits at the distance to a vantage point that makes the larger
     side smallest; a pair within r has distances to it that differ by r at most (triangle inequality),
     so the outer side also takes what lies within r inside the border, and no link is lost. A set of
     which the larger side would still hold nearly all is a dense group, and is searched as one.
     """
-    out, todo = [], [np.arange(len(f))]
+    f = f.reshape(len(f), -1)
+    size, out, todo = 64 * f.shape[1] + 1, [], [np.arange(len(f))]
     while todo:
         at = todo.pop()
         if len(at) <= LEAF:
@@ -115,11 +128,11 @@ def links(f: np.ndarray, r: int = RADIUS) -> np.ndarray:
             continue
         best = None
         for v in at[:: max(1, len(at) // 5)][:5]:  # the vantage point that spreads the others most
-            d = np.bitwise_count(f[at] ^ f[v])
+            d = _bits(f[at] ^ f[v])
             if best is None or d.std() > best.std():
                 best = d
-        below = np.cumsum(np.bincount(best, minlength=65))  # members at a distance up to c
-        larger = [max(below[c], len(at) - (below[c - r] if c >= r else 0)) for c in range(65)]
+        below = np.cumsum(np.bincount(best, minlength=size))  # members at a distance up to c
+        larger = [max(below[c], len(at) - (below[c - r] if c >= r else 0)) for c in range(size)]
         cut = int(np.argmin(larger))
         if larger[cut] > SPLIT * len(at):
             out.append(at[_dense(f[at], r)])
@@ -192,5 +205,126 @@ def near_duplicates(docs: DataFrame, r: int = RADIUS) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Words of a run, and 64-bit words of the fingerprints of runs and of single words, where a similarity is asked for.
+RUN, WIDE, WORDS = 5, 8, 4
+#: Tables of shards; share of bits of the word fingerprint that near copies are expected to share at least.
+TABLES, AGREE = 24, 0.92
+#: Members of a shard that are compared at once; a larger shard is dealt out anew in each table.
+MEMBERS = 1024
+#: Large shards that are broadcast at most (20 bytes each); more of them are joined.
+LARGE = 200_000
+
+
+def radius(similarity: float, bits: int = 64 * WIDE) -> int:
+    """Bits in which all but a fortieth of the fingerprints of texts of this resemblance (Jaccard) differ at most."""
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return round(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
+
+
+def wide(h: np.ndarray, off: np.ndarray, words: int) -> np.ndarray:
+    """So many words of SimHash of each text's distinct hashes: a bit is 1 if set in over half of them."""
+    n = len(off) - 1
+    doc = np.repeat(np.arange(n), np.diff(off))
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    h, doc = h[first], doc[first]
+    size, out = np.bincount(doc, minlength=n), np.zeros((n, words), np.uint64)
+    for i in range(words):
+        ones = np.zeros((n, 64), np.int64)
+        for at in range(0, len(h), 1 << 16):  # however long a text is, so many bits are spread out at once
+            d = doc[at : at + (1 << 16)]
+            bits = np.unpackbits(W.mix(h[at : at + (1 << 16)] + np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            start = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+            ones[d[start]] += np.add.reduceat(bits, start, axis=0, dtype=np.int64)
+        out[:, i] = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def wide_fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, f (runs of RUN words) and u (single words), arrays of WIDE and WORDS longs, of every row."""
+    S.tune(docs.sparkSession)
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("doc_id", pa.int64()), ("f", longs), ("u", longs)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, f, u = b.column(1).to_pylist(), [], []
+            for i, j in S.chunks(texts, 1 << 19):
+                h, off = W.many([t.encode() for t in texts[i:j]])
+                f.append(wide(*W.shingles(h, off, RUN), WIDE))
+                u.append(wide(h, off, WORDS))
+            if f:
+                yield S.batch(schema, b.column(0), *(pa.array(list(np.concatenate(x).view(np.int64)), longs) for x in (f, u)))
+
+    return S.id_text(docs).mapInArrow(run, "doc_id long, f array<long>, u array<long>")
+
+
+def tables(n: int) -> list[list[int]]:
+    """For each table, the bits (of WORDS words) that a shard's members share: about as many as n has."""
+    k = max(16, n.bit_length())
+    count = max(TABLES, math.ceil(math.log(0.01) / math.log(1 - AGREE**k)))
+    chosen = np.random.default_rng(64)
+    masks = [sum(1 << int(b) for b in chosen.choice(64 * WORDS, k, replace=False)) for _ in range(count)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return [[signed(m >> 64 * i & (1 << 64) - 1) for i in range(WORDS)] for m in masks]
+
+
+def similar_edges(nodes: DataFrame, r: int) -> DataFrame:
+    """Edges (a, b: nodes) between fingerprints within r bits; ``nodes``: node, f, u, each f once.
+
+    A node goes to one shard of each table. A shard of more than MEMBERS is dealt out by a hash of node
+    and table, so no task ever holds a large group and its members meet others in each table.
+    """
+    S.tune(nodes.sparkSession)
+    choice = tables(nodes.count())
+    key = lambda m: F.xxhash64(*[F.col("u")[i].bitwiseAND(F.lit(x)) for i, x in enumerate(m)])
+    rows = nodes.select("node", "f", F.posexplode(F.array(*map(key, choice))).alias("t", "key"))
+    large = S.stored(rows.groupBy("t", "key").agg(F.count("*").alias("m")).where(F.col("m") > MEMBERS))
+    few = large.limit(LARGE + 1).count() <= LARGE
+    parts = F.coalesce(F.ceil(F.col("m") / MEMBERS), F.lit(1))
+    rows = rows.join(F.broadcast(large) if few else large, ["t", "key"], "left").withColumn("part", F.pmod(F.xxhash64("node", "t"), parts))
+    shards = rows.repartition("t", "key", "part").sortWithinPartitions("t", "key", "part", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        for b in itertools.chain(batches, (None,)):
+            if b is not None:
+                now = (np.stack([c.to_numpy() for c in b.columns[1:]], 1), b.column(0).flatten().to_numpy().reshape(-1, WIDE))
+                held = now if held is None else tuple(map(np.concatenate, zip(held, now, strict=True)))
+            if held is None or not len(held[0]):
+                continue
+            ids, f = held
+            cut = np.flatnonzero((ids[1:, 1:] != ids[:-1, 1:]).any(1)) + 1
+            start, end = np.concatenate(([0], cut)), np.append(cut, len(ids))
+            if b is not None:  # the last shard may go on
+                start, end, held = start[:-1], end[:-1], (ids[start[-1] :], f[start[-1] :])
+            several = np.flatnonzero(end - start > 1)
+            found = [ids[s + links(f[s:e].view(np.uint64), r), 0] for s, e in zip(start[several].tolist(), end[several].tolist(), strict=True)]
+            if found and len(pairs := np.concatenate(found)):
+                yield S.batch(EDGES, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]))
+
+    return shards.select("f", "node", F.col("t").cast("long"), "key", F.col("part").cast("long")).mapInArrow(run, "a long, b long").distinct()
+
+
+def similar(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id of every row of ``docs``: texts linked at a resemblance of ``similarity`` or more.
+
+    Resemblance is that of the sets of runs of five words, as 512 bits of SimHash tell it: the radius takes in
+    all but a few pairs above ``similarity`` and some a little below it (texts of a handful of distinct
+    runs are told less surely). component_id is the smallest doc_id
+    that chains of links reach. Equal fingerprints are one node, so copies are never paired; texts without a
+    word are alike. Rows whose doc_id is null link nobody and have the component of their fingerprint, or
+    null. Other columns are ignored; an empty table gives no rows.
+    """
+    marks = S.stored(wide_fingerprints(docs))
+    least = F.min(F.struct("doc_id", "u"))
+    nodes = S.stored(marks.where("doc_id is not null").groupBy("f").agg(least.alias("x")).select(F.col("x.doc_id").alias("node"), "f", "x.u"))
+    found = components(similar_edges(nodes, radius(similarity)))
+    labels = nodes.join(found, "node", "left").select("f", F.coalesce("component", "node").alias("component_id"))
+    return marks.select("doc_id", "f").join(labels, "f", "left").select("doc_id", "component_id")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(S.read(spark, sf_dir, "documents"))

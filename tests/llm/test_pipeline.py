@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
 
 from evidex.llm import _spark as S
+from evidex.llm import _words as words
 from evidex.llm import bpe, lines, quality, simhash, tiling
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -16,7 +18,9 @@ def test_stages_against_brute_force(spark):
     from test_lines import brute
 
     rows = {d: t for d, t, _, _ in brute(list(rows.items()))}
-    prints = {d: simhash.fingerprint(t) for d, t in rows.items()}
+    ids = list(rows)
+    h, off = words.many([rows[d].encode() for d in ids])
+    prints = dict(zip(ids, simhash.wide(*words.shingles(h, off, 5), simhash.WIDE), strict=True))
     parent = {d: d for d in rows}
 
     def find(x):
@@ -26,7 +30,7 @@ def test_stages_against_brute_force(spark):
 
     for a in rows:
         for b in rows:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 4:
+            if a < b and np.bitwise_count(prints[a] ^ prints[b]).sum() <= simhash.radius(0.8):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     rows = {d: t for d, t in rows.items() if find(d) == d}
