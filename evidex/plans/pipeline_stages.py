@@ -190,6 +190,6 @@ ORACLE = {
 }
 COVERAGE = {
     "src05_html_blocks": ("SRC05", "SRC06"), "src05_html_links": ("SRC05",), "src03_markdown": ("SRC03", "SRC04"), "src07_email": ("SRC07",), "src08_notebook": ("SRC08",), "src02_formats": ("SRC02",), "src15_decoded": ("SRC15",),
-    "pip04_furniture": ("PIP04",), "pip09_paragraphs": ("PIP09",), "pip09_thread_runs": ("PIP09",), "pip13_tables": ("PIP13",), "pip15_footnotes": ("PIP15", "JOI05"), "pip17_captions": ("PIP17", "FN19"), "pip19_heading_parents": ("PIP19",),
+    "pip04_furniture": ("PIP04", "NAT09"), "pip09_paragraphs": ("PIP09",), "pip09_thread_runs": ("PIP09",), "pip13_tables": ("PIP13",), "pip15_footnotes": ("PIP15", "JOI05"), "pip17_captions": ("PIP17", "FN19"), "pip19_heading_parents": ("PIP19",),
     "pip22_chunks": ("PIP22",), "snk01_json_round_trip": ("SNK01", "SRC18"), "snk02_markdown": ("SNK02",), "snk04_rag_records": ("SNK04",), "snk08_violations": ("SNK08",), "snk09_inspect": ("SNK09",),
 }

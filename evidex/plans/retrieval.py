@@ -177,6 +177,6 @@ ORACLE["joi19_near_duplicates"] = f"""WITH s AS ({_TERMS["agg17_simhash"]}), f A
         SELECT x.id AS a, y.id AS b FROM f x JOIN f y ON x.id < y.id AND bit_count(xor(x.simhash, y.simhash)) <= 3"""
 COVERAGE = {
     "rnk01_collection_search": ("RNK01", "RNK02", "RNK06", "SRT01", "SRT02"), "rnk01_any_term_fallback": ("RNK01",), "rnk03_rollup": ("RNK03",), "win01_capped_page": ("WIN01", "WIN02", "WIN05", "LIM01", "LIM02"),
-    "win03_neighbours": ("WIN03", "SRT06"), "win04_source_window": ("WIN04",), "joi24_exact_duplicates": ("JOI24",), "joi19_near_duplicates": ("JOI19", "FN20"), "joi09_overlaps": ("JOI09",),
+    "win03_neighbours": ("WIN03", "SRT06"), "win04_source_window": ("WIN04",), "joi24_exact_duplicates": ("JOI24",), "joi19_near_duplicates": ("JOI19", "FN20"), "joi09_overlaps": ("JOI09", "SUM13"),
     "joi16_snapshot_diff": ("JOI16", "CG09"), "joi02_index_health": ("JOI02", "JOI03", "JOI04"), "rnk15_budget": ("RNK15",), "rnk12_mmr": ("RNK12",), "ctx08_first_fit": ("CTX08", "SKL06"), "rnk11_nearest": ("RNK11",),
 }

@@ -80,6 +80,6 @@ ORACLE = {
         SELECT doc_id, sum(CASE WHEN s >= 0 THEN 1::BIGINT << b ELSE 0 END)::BIGINT AS simhash FROM b GROUP BY doc_id""",
 }
 COVERAGE = {
-    "agg01_leaf_terms": ("AGG01",), "agg02_follower_entropy": ("AGG02", "FN21"), "agg03_section_terms": ("AGG03",), "agg05_keywords": ("AGG05", "TOK01"),
+    "agg01_leaf_terms": ("AGG01",), "agg02_follower_entropy": ("AGG02", "FN21"), "agg03_section_terms": ("AGG03",), "agg05_keywords": ("AGG05", "TOK01", "PIP21"),
     "agg11_document_frequency": ("AGG11",), "agg14_sketch": ("AGG14",), "agg15_subtree_cost": ("AGG15",), "agg17_simhash": ("AGG17",),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("search", "scalar", "terms", "retrieval", "graph", "pipeline_stages", "quality", "streams", "relational", "layout", "resolve", "ranking", "code", "catalogue", "extension")
+MODULES = ("search", "scalar", "terms", "retrieval", "graph", "pipeline_stages", "quality", "streams", "relational", "layout", "resolve", "ranking", "code", "catalogue", "extension", "writing")
 
 
 def _collect(attr: str) -> dict:

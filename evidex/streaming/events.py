@@ -47,3 +47,59 @@ def upserted(stream: DataFrame, key: str, order: str) -> DataFrame:
     rows = drained(stream)
     newest = Window.partitionBy(key).orderBy(F.desc(order))
     return rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+
+
+def changed_only(stream: DataFrame, known: DataFrame, key: str, digest: str) -> DataFrame:
+    """Rows of a stream whose digest is not the known one of their key, batch by batch; each batch is a partition of its own.
+
+    A batch that is run again after a failure overwrites its own folder, so nothing is written twice.
+    """
+    spark = stream.sparkSession
+    known = stored(known.select(key, digest))
+    root = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4()}"
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.join(known, [key, digest], "left_anti").write.mode("overwrite").parquet(f"{root}/out/batch={n}")
+
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out/batch=*")
+
+
+def progress(stream: DataFrame, every: str | None = None) -> DataFrame:
+    """batch, n of the progress events of a stream; with ``every`` it is triggered at that interval until all is read."""
+    spark = stream.sparkSession
+    stored(spark.range(1))
+    root = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4()}"
+    w = stream.writeStream.format("noop").option("checkpointLocation", f"{root}/progress")
+    q = (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+    if every:
+        q.processAllAvailable()
+        q.stop()
+    else:
+        q.awaitTermination()
+    rows = [(p.batchId, p.numInputRows) for p in q.recentProgress if p.numInputRows > 0]
+    return spark.createDataFrame(rows, "batch long, n long")
+
+
+def assembled(parts: DataFrame) -> DataFrame:
+    """doc_id, n_parts, n_chars of each document once all its parts (doc_id, i, of, n) have come in, in any order and batch.
+
+    The state of a document is how many parts have come and their characters; it goes when the document is whole.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(key, batches, state: GroupState):  # noqa: ANN001, ANN202
+        n, chars = state.get if state.exists else (0, 0)
+        of = 0
+        for df in batches:
+            n, chars, of = n + len(df), chars + int(df["n"].sum()), int(df["of"].max())
+        if n >= of:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"doc_id": [key[0]], "n_parts": [n], "n_chars": [chars]})
+        else:
+            state.update((n, chars))
+
+    return parts.groupBy("doc_id").applyInPandasWithState(run, "doc_id long, n_parts long, n_chars long", "n long, chars long", "append", GroupStateTimeout.NoTimeout)
