@@ -37,8 +37,10 @@ from .components import components
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Members of a tree's leaf; a split whose larger side holds more than this share is none.
 LEAF, SPLIT = 384, 0.9
-#: Distinct fingerprints up to which one block is matched; each further block serves 2**8 times as many.
-FEW = 1 << 25
+#: Members from which a shard is divided by more bits, and blocks of bits that are matched at most.
+CROWD, DEEPEST = 1 << 16, 4
+#: Large shards whose names are broadcast at most (20 bytes each); more of them are joined.
+LARGE = 200_000
 
 
 def fingerprint(text: str, k: int = SHINGLE) -> int:
@@ -141,15 +143,8 @@ def links(f: np.ndarray, r: int = RADIUS) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def masks(n: int, r: int = RADIUS) -> list[int]:
-    """The choices of bits on which a shard's members agree, for n distinct fingerprints.
-
-    With r + k blocks every pair at distance r agrees on k blocks; more blocks give smaller shards
-    and more copies of each fingerprint.
-    """
-    k, most = 1, FEW
-    while n > most and k < 4:
-        k, most = k + 1, most << 8
+def masks(k: int, r: int = RADIUS) -> list[int]:
+    """Choices of bits on which a shard's members agree: k of r + k blocks, as every pair at distance r does on one choice."""
     blocks = [sum(1 << i for i in b.tolist()) for b in np.array_split(np.arange(64), r + k)]
     return [sum(c) for c in itertools.combinations(blocks, k)]
 
@@ -158,12 +153,33 @@ EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def shard_edges(nodes: DataFrame, r: int = RADIUS) -> DataFrame:
-    """Edges (a, b: nodes) that connect what is within r bits; ``nodes``: node, f, each f once."""
+    """Edges (a, b: nodes) that connect what is within r bits; ``nodes``: node, f, each f once.
+
+    Shards agree on one block of bits at first. What is in a shard of more than CROWD is dealt out anew by two
+    blocks, and so on: a linked pair meets in a small shard, or both go on. So shards stay bounded for any number
+    of fingerprints and in any large group, unless more than CROWD agree on four of eight blocks.
+    """
     S.tune(nodes.sparkSession)
-    choice = masks(nodes.count(), r)
-    signed = [m - (1 << 64) if m >> 63 else m for m in choice]
-    shards = nodes.select("node", "f", F.posexplode(F.array(*[F.col("f").bitwiseAND(F.lit(m)) for m in signed])).alias("choice", "key"))
-    shards = shards.repartition("choice", "key").sortWithinPartitions("choice", "key", "node")
+    out = None
+    for k in range(1, DEEPEST + 1):
+        signed = [m - (1 << 64) if m >> 63 else m for m in masks(k, r)]
+        rows = nodes.select("node", "f", F.posexplode(F.array(*[F.col("f").bitwiseAND(F.lit(m)) for m in signed])).alias("choice", "key"))
+        crowds = S.stored(rows.groupBy("choice", "key").agg(F.count("*").alias("m")).where(F.col("m") > CROWD).drop("m")) if k < DEEPEST else None
+        n = crowds.limit(LARGE + 1).count() if k < DEEPEST else 0
+        if n:
+            crowds = F.broadcast(crowds) if n <= LARGE else crowds
+            nodes = S.stored(rows.join(crowds, ["choice", "key"], "left_semi").select("node", "f").distinct())
+            rows = rows.join(crowds, ["choice", "key"], "left_anti")
+        part = _tree_edges(rows, r)
+        out = part if out is None else out.union(part)
+        if not n:
+            break
+    return out.distinct()
+
+
+def _tree_edges(rows: DataFrame, r: int) -> DataFrame:
+    """Edges within each shard (choice, key) of ``rows`` (node, f)."""
+    shards = rows.select("choice", "key", "node", "f").repartition("choice", "key").sortWithinPartitions("choice", "key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, np.int64)] * 4
@@ -184,7 +200,7 @@ def shard_edges(nodes: DataFrame, r: int = RADIUS) -> DataFrame:
             if found and len(pairs := np.concatenate(found)):
                 yield S.batch(EDGES, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]))
 
-    return shards.select("node", "f", F.col("choice").cast("long"), "key").mapInArrow(run, "a long, b long").distinct()
+    return shards.select("node", "f", F.col("choice").cast("long"), "key").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, r: int = RADIUS) -> DataFrame:
@@ -211,8 +227,6 @@ RUN, WIDE, WORDS = 5, 8, 4
 TABLES, AGREE = 24, 0.92
 #: Members of a shard that are compared at once; a larger shard is dealt out anew in each table.
 MEMBERS = 1024
-#: Large shards that are broadcast at most (20 bytes each); more of them are joined.
-LARGE = 200_000
 
 
 def radius(similarity: float, bits: int = 64 * WIDE) -> int:

@@ -52,7 +52,21 @@ def test_links_connect_what_brute_force_connects(kind):
     assert len(pairs) <= 40 * len(f)
 
 
-@pytest.mark.parametrize("n", [10, 1 << 26, 1 << 35])
+@pytest.mark.parametrize("crowd", [1, 6, 50])
+def test_crowded_shards_are_divided_and_lose_no_link(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    g = np.random.default_rng(9)
+    f = g.integers(0, 2**63, 40).astype(np.uint64)[g.integers(0, 40, 600)]
+    for _ in range(4):
+        f = f ^ (np.uint64(1) << g.integers(0, 64, 600).astype(np.uint64))
+    f = np.unique(f)
+    near = np.nonzero(np.triu(np.bitwise_count(f[:, None] ^ f[None, :]) <= 4, 1))
+    nodes = spark.createDataFrame([(i, int(x)) for i, x in enumerate(f.view(np.int64))], "node long, f long")
+    edges = [tuple(e) for e in simhash.shard_edges(nodes).collect()]
+    assert groups(len(f), edges) == groups(len(f), zip(*map(np.ndarray.tolist, near), strict=True))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
 def test_a_pair_within_the_radius_agrees_on_a_choice_of_bits(n):
     masks = simhash.masks(n)
     g = np.random.default_rng(n)
