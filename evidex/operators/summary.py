@@ -17,14 +17,20 @@ def sentences(blocks: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "k")).cast("long")).select("doc_id", "n", "sentence")
 
 
-def likeness(terms: list[set[str]]) -> np.ndarray:
-    """Shared terms over the logarithms of both sizes; nothing on the diagonal."""
+def incidence(texts: list[str]) -> np.ndarray:
+    """Which terms (columns) each text (row) has, as 0 and 1."""
+    terms = [set(t.lower().split()) for t in texts]
     names = {t: i for i, t in enumerate(sorted(set().union(*terms)))}
-    m = np.zeros((len(terms), len(names)))
+    m = np.zeros((len(terms), len(names)), np.float32)
     for i, own in enumerate(terms):
         m[i, [names[t] for t in own]] = 1
-    n = np.log1p(m.sum(1))
-    out = (m @ m.T) / np.maximum(n[:, None] + n[None, :], 1e-9)
+    return m
+
+
+def likeness(m: np.ndarray) -> np.ndarray:
+    """Shared terms over the logarithms of both sizes; nothing on the diagonal."""
+    n = np.log1p(m.sum(1, dtype=np.float64))
+    out = (m @ m.T).astype(np.float64) / np.maximum(n[:, None] + n[None, :], 1e-9)
     np.fill_diagonal(out, 0)
     return out
 
@@ -45,27 +51,23 @@ def page_rank(weights: np.ndarray) -> np.ndarray:
 
 def choose(texts: list[str], k: int) -> list[int]:
     """Places of the k sentences of the best mix of rank, new terms and novelty, in order of the text."""
-    terms = [set(t.lower().split()) for t in texts]
-    rank = page_rank(likeness(terms))
+    m = incidence(texts)
+    rank = page_rank(likeness(m))
     rank = rank / rank.max()
+    both, n = (m @ m.T).astype(np.float64), m.sum(1, dtype=np.float64)
+    alike = both / np.maximum(n[:, None] + n[None, :] - both, 1)
     chosen: list[int] = []
-    seen: set[str] = set()
-    every = set().union(*terms)
+    unseen, near = np.ones(m.shape[1], np.float32), np.zeros(len(m))
     while len(chosen) < min(k, len(texts)):
-        best, value = -1, -1.0
-        for i, own in enumerate(terms):
-            if i in chosen:
-                continue
-            near = max((len(own & terms[j]) / max(1, len(own | terms[j])) for j in chosen), default=0.0)
-            if near >= 0.8:
-                continue
-            v = 0.6 * rank[i] + 0.25 * len(own - seen) / max(1, len(every)) + 0.15 * (1 - near)
-            if v > value:
-                best, value = i, v
-        if best < 0:
+        value = 0.6 * rank + 0.25 * (m @ unseen) / max(1, m.shape[1]) + 0.15 * (1 - near)
+        value[near >= 0.8] = -1
+        value[chosen] = -1
+        best = int(value.argmax())
+        if value[best] < 0:
             break
         chosen.append(best)
-        seen |= terms[best]
+        unseen[m[best] > 0] = 0
+        near = np.maximum(near, alike[best])
     return sorted(chosen)
 
 

@@ -25,9 +25,19 @@ def build_session(app: str = "evidex", master: str | None = None, **conf: str) -
     return b.getOrCreate()
 
 
+#: Tables of long texts, of which a row is much work.
+TEXTS = {"documents", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the parquet tables below ``sf_dir``; any path Spark's readers open is fine."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the parquet tables below ``sf_dir``; any path Spark's readers open is fine.
+
+    A table of texts that has fewer splits than the session has cores (a small file of one row group) is
+    dealt out to all of them; a large one is read as it is, without a shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
 def stored(df: DataFrame) -> DataFrame:

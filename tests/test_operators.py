@@ -102,6 +102,6 @@ def test_summaries():
     chosen = summary.choose(texts, 2)
     assert len(chosen) == 2 and not {0, 1} <= set(chosen)
     assert summary.choose(["a b c"], 3) == [0]
-    w = summary.likeness([set(t.split()) for t in texts])
+    w = summary.likeness(summary.incidence(texts))
     rank = summary.page_rank(w)
     assert abs(rank.sum() - 1) < 1e-6 and (w == w.T).all()
