@@ -88,3 +88,25 @@ def summaries(blocks: DataFrame, k: int = 3) -> DataFrame:
         return df.iloc[choose(df["sentence"].tolist(), k)][["doc_id", "n", "sentence", "of"]]
 
     return rows.groupBy("doc_id").applyInPandas(run, "doc_id long, n long, sentence string, of long")
+
+
+def markdown_blocks(lines: DataFrame) -> DataFrame:
+    """doc_id, block, kind, depth, first, last of Markdown lines (doc_id, pos, line): runs of lines of one kind.
+
+    Kinds: code (fenced or indented), heading (also underlined), break, quote, list, table, paragraph. Headings, breaks
+    and list items are blocks of their own; blank lines part blocks. ``depth`` is a heading's level or a list's indentation.
+    """
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    line, after = F.col("line"), F.lead("line", 1, "").over(w)
+    fence = line.rlike(r"^ {0,3}(?:```|~~~)")
+    inside = F.sum(fence.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) % 2 == 1
+    kind = (
+        F.when(fence | inside, "code").when(F.trim(line) == "", "blank").when(line.rlike(r"^#{1,6}\s"), "heading").when(line.rlike(r"^ {0,3}(?:=+|-+)\s*$") & (F.trim(F.lag("line", 1, "").over(w)) != ""), "underline")
+        .when(line.rlike(r"^ {0,3}(?:[-*_]\s*){3,}$"), "break").when(line.rlike(r"^\s*>"), "quote").when(line.rlike(r"^\s*(?:[-+*]|[0-9]+[.)])\s"), "list").when(line.rlike(r"^\s*\|.*\|\s*$"), "table")
+        .when(line.rlike(r"^ {4}\S"), "code").when(after.rlike(r"^ {0,3}(?:=+|-+)\s*$"), "heading").otherwise("paragraph")
+    )
+    depth = F.when(F.col("kind") == "heading", F.greatest(F.length(F.regexp_extract("line", r"^(#*)", 1)), F.lit(1))).when(F.col("kind") == "list", F.length(F.regexp_extract("line", r"^( *)", 1)) / 2).otherwise(0).cast("long")
+    rows = lines.withColumn("kind", kind).withColumn("depth", depth)
+    new = ~F.col("kind").eqNullSafe(F.lag("kind").over(w)) | F.col("kind").isin("heading", "break", "list")
+    rows = rows.withColumn("block", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("kind not in ('blank', 'underline')")
+    return rows.groupBy("doc_id", "block", "kind").agg(F.max("depth").alias("depth"), F.min("pos").alias("first"), F.max("pos").alias("last"))
