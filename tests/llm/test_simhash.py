@@ -158,3 +158,45 @@ def test_similar_on_odd_documents(spark, odd_docs, odd_rows, no_docs):
     assert len(got) == len(odd_rows) and simhash.similar(no_docs).count() == 0
     of = dict(got)
     assert of[0] == of[1] == of[2] == 0 and of[4] == of[3] == 3 and of[5] == 5 and of[21] == of[20] == 20 and of[7] == 7
+
+
+def partly(g, k, n):
+    """Texts of n words and copies of them with a block appended, cut off or replaced, at a resemblance of 0.8 to 0.85."""
+    out = []
+    for i in range(k):
+        base = [f"b{i}x{j}" for j in range(n)]
+        more = [f"c{i}x{j}" for j in range(n // 6)]
+        changed = base + more if i % 3 == 0 else base[: -(n // 6)] if i % 3 == 1 else [*base[: n // 2], *more[: n // 14], *base[n // 2 + n // 14 :]]
+        out += [" ".join(base), " ".join(changed)]
+    return out
+
+
+def exact_groups(texts):
+    sets = [runs(t) for t in texts]
+    near = [(i, j) for i, a in enumerate(sets) for j in range(i) if 5 * len(a & sets[j]) >= 4 * len(a | sets[j])]
+    return groups(len(texts), near), near
+
+
+def found(spark, texts):
+    got = dict(simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect())
+    return [got[i] for i in range(len(texts))]
+
+
+def test_appended_and_truncated_copies_are_found_at_any_size(spark):
+    texts = partly(np.random.default_rng(0), 60, 150)
+    want, near = exact_groups(texts)
+    assert len(near) == 60 and found(spark, texts) == want
+
+
+def test_two_sets_at_the_threshold_share_a_member_of_their_prefixes():
+    g = np.random.default_rng(2)
+    for _ in range(2000):
+        n, m = g.integers(1, 60, 2)
+        pool = np.unique(g.integers(0, 1 << 63, 200).astype(np.uint64))
+        a = np.sort(g.choice(pool, n, replace=False))
+        b = np.union1d(g.choice(a, g.integers(max(1, n - n // 5), n + 1), replace=False), g.choice(pool, m // 8, replace=False))
+        last = np.sort(g.choice(pool, 40, replace=False))
+        shared = len(np.intersect1d(a, b))
+        if 5 * shared >= 4 * (len(a) + len(b) - shared):
+            assert set(simhash.prefix(a, 0.8, last).tolist()) & set(simhash.prefix(b, 0.8, last).tolist())
+            assert np.bitwise_count((simhash.bitmap(a) ^ simhash.bitmap(b)).view(np.uint64)).sum() <= len(a) + len(b) - 2 * shared
