@@ -200,3 +200,14 @@ def test_two_sets_at_the_threshold_share_a_member_of_their_prefixes():
         if 5 * shared >= 4 * (len(a) + len(b) - shared):
             assert set(simhash.prefix(a, 0.8, last).tolist()) & set(simhash.prefix(b, 0.8, last).tolist())
             assert np.bitwise_count((simhash.bitmap(a) ^ simhash.bitmap(b)).view(np.uint64)).sum() <= len(a) + len(b) - 2 * shared
+
+
+def test_small_groups_in_a_crowded_shard_are_found(spark, monkeypatch):
+    """All texts have most of their runs in common, so a shard holds all of them; only pairs of them are near copies."""
+    monkeypatch.setattr(simhash, "MEMBERS", 10)
+    template, texts = [f"t{i}" for i in range(170)], []
+    for i in range(60):
+        own = [f"o{i}x{j}" for j in range(30)]
+        texts += [" ".join(template + own), " ".join(template + own[:-1] + ["other"])]
+    want, near = exact_groups(texts)
+    assert len(near) == 60 and found(spark, texts) == want
