@@ -211,3 +211,14 @@ def test_small_groups_in_a_crowded_shard_are_found(spark, monkeypatch):
         texts += [" ".join(template + own), " ".join(template + own[:-1] + ["other"])]
     want, near = exact_groups(texts)
     assert len(near) == 60 and found(spark, texts) == want
+
+
+def test_short_texts_below_the_threshold_are_kept(spark):
+    """Nine words of which the last differs share four of six runs; 30 words of which the last differs, 25 of 27."""
+    texts = []
+    for i in range(60):
+        for n in (9, 30):
+            base = [f"s{i}n{n}x{j}" for j in range(n)]
+            texts += [" ".join(base), " ".join(base[:-1] + ["other"])]
+    want, near = exact_groups(texts)
+    assert len(near) == 60 and found(spark, texts) == want
