@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -21,12 +23,26 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for what is computed within: rows of a few numbers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_checkpoint(spark: SparkSession) -> None:
-    """The session's own checkpoint folder; one of this machine only where none is named."""
+    """The session's own checkpoint folder. Where none is named, one of this machine serves a local session only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
     sc.setCheckpointDir(path or os.path.join(tempfile.gettempdir(), "evidex-checkpoints"))
 
 

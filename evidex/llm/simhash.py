@@ -12,26 +12,21 @@ to 32 that half of the members are within 4 of any border; hence the cluster's l
 Equal fingerprints are one node; a shard gives at most one link a member (a spanning forest of what
 is linked there), never all pairs.
 
-64 bits and a radius of 4 find little beyond copies: at a similarity of 0.8 fingerprints differ in ten bits
-of 64 on average, and no longer SimHash tells 0.8 surely. similar() therefore compares the sets of runs of five
-words themselves: two sets that resemble by 0.8 share a run among the first fifth of either's in any common order, so
-shards of these runs lose no pair at any size of the corpus, and each link is verified on the sets.
+64 bits and a radius of 4 find little beyond copies; module similar links texts at a similarity of 0.8.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _spark as S
-from . import _words as W
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -221,301 +216,5 @@ def near_duplicates(docs: DataFrame, r: int = RADIUS) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Words of a run, and longs of a text's bitmap, at first and where a pair is still possible (for long texts).
-RUN, WIDE, WIDER = 5, 8, 256
-#: Members from which a shard is crowded: its run is looked at last, and what crowds all the same is dealt out in cells of pairs of parts.
-MEMBERS = 1024
-#: How often runs that crowd are put last at most.
-ROUNDS = 3
-#: Set hashes that a task remembers, so as not to give out copies again.
-SEEN = 1 << 18
-
-
-def radius(similarity: float, bits: int = 64 * WIDE) -> int:
-    """Bits in which all but a fortieth of the fingerprints of texts of this resemblance (Jaccard) differ at most."""
-    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return round(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
-
-
-def wide(h: np.ndarray, off: np.ndarray, words: int) -> np.ndarray:
-    """So many words of SimHash of each text's distinct hashes: a bit is 1 if set in over half of them."""
-    n = len(off) - 1
-    doc = np.repeat(np.arange(n), np.diff(off))
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc = h[first], doc[first]
-    size, out = np.bincount(doc, minlength=n), np.zeros((n, words), np.uint64)
-    for i in range(words):
-        ones = np.zeros((n, 64), np.int64)
-        for at in range(0, len(h), 1 << 16):  # however long a text is, so many bits are spread out at once
-            d = doc[at : at + (1 << 16)]
-            bits = np.unpackbits(W.mix(h[at : at + (1 << 16)] + np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            start = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
-            ones[d[start]] += np.add.reduceat(bits, start, axis=0, dtype=np.int64)
-        out[:, i] = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return out
-
-
-def _least(n, similarity: float):  # noqa: ANN001, ANN202
-    """The smallest whole number that is at least ``similarity`` of n."""
-    return np.ceil(np.asarray(n) * similarity - 1e-9).astype(np.int64)
-
-
-def run_sets(texts: list[str]) -> Iterator[np.ndarray]:
-    """Each text's distinct hashes of its runs of RUN words, sorted; a text of fewer words has one, one of none has none."""
-    for i, j in S.chunks(texts, 1 << 19):
-        h, off = W.shingles(*W.many([t.encode() for t in texts[i:j]]), RUN)
-        for a, b in itertools.pairwise(off.tolist()):
-            yield np.unique(h[a:b])
-
-
-def _name(h: np.ndarray) -> int:
-    """A set's name: the hash of its sorted members, as a signed long."""
-    x = xxhash.xxh64_intdigest(h.tobytes(), SEED)
-    return x - (1 << 64) if x >> 63 else x
-
-
-def prefix(h: np.ndarray, similarity: float, last: np.ndarray) -> np.ndarray:
-    """The first members of a set, in one order for all sets, of which two sets that resemble by ``similarity`` share one at least.
-
-    They share ceil(similarity n) of either's n members, so the first they share is not among the last ceil(similarity n) - 1
-    of either. The order is that of the hashes, those in ``last`` (sorted) after all others.
-    """
-    if len(last):
-        there = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
-        h = np.concatenate((h[~there], h[there]))
-    return h[: len(h) - int(_least(len(h), similarity)) + 1] if len(h) else h
-
-
-def bitmap(h: np.ndarray, wide: int = WIDE) -> np.ndarray:
-    """So many longs; a bit tells whether an odd number of members fall on it, so two sets differ in as many members at least as their bitmaps in bits."""
-    return np.packbits(np.bincount((h & np.uint64(64 * wide - 1)).astype(np.int64), minlength=64 * wide) & 1).view(np.int64)
-
-
-def _marks(docs: DataFrame) -> DataFrame:
-    """doc_id, s (name of the set of runs), n (its size) and its bitmap of every row."""
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("doc_id", pa.int64()), ("s", pa.int64()), ("n", pa.int64()), ("bits", longs)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s, n, bits = [], [], []
-            for h in run_sets(b.column(1).to_pylist()):
-                s.append(_name(h))
-                n.append(len(h))
-                bits.append(bitmap(h))
-            yield S.batch(schema, b.column(0), s, n, pa.array(bits, longs))
-
-    return S.id_text(docs).mapInArrow(run, "doc_id long, s long, n long, bits array<long>")
-
-
-def _shards(docs: DataFrame, similarity: float, last: np.ndarray) -> DataFrame:
-    """key (a run's hash), s, n, m of the m sets, two or more, that have the run in their prefix."""
-    out = pa.schema([("key", pa.int64()), ("s", pa.int64()), ("n", pa.int64()), ("m", pa.int64())])
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            keys, s, n = [], [], []
-            for h in run_sets(b.column(1).to_pylist()):
-                if (name := _name(h)) in seen:
-                    continue
-                if len(seen) < SEEN:
-                    seen.add(name)
-                keys.append(prefix(h, similarity, last))
-                s.append(name)
-                n.append(len(h))
-            if keys:
-                many = [len(k) for k in keys]
-                rows = np.concatenate(keys).view(np.int64), np.repeat(np.array(s, np.int64), many), np.repeat(np.array(n, np.int64), many)
-                for at in range(0, len(rows[0]), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in rows], names=["key", "s", "n"])
-
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for b in itertools.chain(batches, (None,)):
-            if b is not None:
-                if not b.num_rows:
-                    continue
-                held.append(np.stack([c.to_numpy() for c in b.columns], 1))
-                if held[-1][-1, 0] == held[0][0, 0]:  # one shard goes on
-                    continue
-            if not held:
-                continue
-            rows = np.concatenate(held)
-            end = len(rows) if b is None else int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-            rows, held = rows[:end], [rows[end:]]
-            if not len(rows):
-                continue
-            first = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))  # copies from other tasks
-            rows = rows[first]
-            start = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
-            m = np.diff(np.append(start, len(rows)))
-            m = np.repeat(m, m)
-            if (m > 1).any():
-                yield S.batch(out, *rows[m > 1].T, m[m > 1])
-
-    rows = S.id_text(docs).where("doc_id is not null").mapInArrow(spread, "key long, s long, n long")
-    return rows.repartition("key").sortWithinPartitions("key", "s").mapInArrow(several, "key long, s long, n long, m long")
-
-
-def _crowd_last(docs: DataFrame, similarity: float) -> DataFrame:
-    """The shards, with runs that crowd one put last in the order of all sets as long as that finds new ones.
-
-    Any order is exact; a run that many texts have is then in the prefix only of texts that have little else.
-    """
-    last = np.zeros(0, np.uint64)
-    for _ in range(ROUNDS):
-        shards = S.stored(_shards(docs, similarity, last))
-        new = [r.key for r in shards.where(F.col("m") > MEMBERS).select("key").distinct().limit(LARGE).collect()]
-        found = np.union1d(last, np.array(new, np.int64).view(np.uint64))
-        if len(found) == len(last) or len(found) > LARGE:
-            break
-        last = found
-    else:
-        shards = S.stored(_shards(docs, similarity, last))
-    return shards
-
-
-def _possible(n: tuple, bits: tuple, similarity: float) -> np.ndarray:
-    """Whether sets of these sizes and bitmaps can resemble by ``similarity``; never false if they do."""
-    both = n[0] + n[1]
-    differ = both - 2 * _least(both, similarity / (1 + similarity))
-    return (np.minimum(*n) >= _least(np.maximum(*n), similarity)) & (np.bitwise_count((bits[0] ^ bits[1]).view(np.uint64)).sum(-1, dtype=np.int64) <= differ)
-
-
-def _possible_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float, wide: int = WIDE) -> DataFrame:
-    """The ``pairs`` (a, b) that can resemble by ``similarity`` by their sizes and bitmaps."""
-    of = lambda x: nodes.select(F.col("s").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bits = tuple(b.column(i).flatten().to_numpy().reshape(-1, wide) for i in (4, 5))
-            yield S.batch(EDGES, b.column(0), b.column(1)).filter(pa.array(_possible((b.column(2).to_numpy(), b.column(3).to_numpy()), bits, similarity)))
-
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
-
-
-def _cell_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of sets of different components that meet in a shard and can resemble; ``rows``: key, m, s, n, c, bits.
-
-    A shard of more than MEMBERS is cut into parts, and each pair of parts is a cell, so no task compares more than
-    two parts at once and every pair of members meets in a cell.
-    """
-    parts = F.ceil(F.col("m") / MEMBERS).cast("long")
-    rows = rows.withColumn("p", F.pmod(F.xxhash64("s"), parts)).withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("bits", "key", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "p", "s", "n", "c")
-    rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "s")
-
-    def pairs(ids: np.ndarray, bits: np.ndarray) -> Iterator[np.ndarray]:
-        across = ids[0, 1] != ids[0, 2]
-        for at in range(0, len(ids), 64):
-            a, f = ids[at : at + 64], bits[at : at + 64]
-            b, g = ids[at + 1 :], bits[at + 1 :]
-            fit = a[:, None, 6] != b[None, :, 6]
-            fit &= np.arange(len(a))[:, None] <= np.arange(len(b))[None, :]
-            if across:
-                fit &= a[:, None, 3] != b[None, :, 3]
-            i, j = np.nonzero(fit)
-            ok = _possible((a[i, 5], b[j, 5]), (f[i], g[j]), similarity)
-            if ok.any():
-                yield np.stack((a[i[ok], 4], b[j[ok], 4]), 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-        for b in itertools.chain(batches, (None,)):
-            if b is not None:
-                now = (np.stack([c.to_numpy() for c in b.columns[1:]], 1), b.column(0).flatten().to_numpy().reshape(-1, WIDE))
-                held = now if held is None else tuple(map(np.concatenate, zip(held, now, strict=True)))
-            if held is None or not len(held[0]):
-                continue
-            ids, bits = held
-            cut = np.flatnonzero((ids[1:, :3] != ids[:-1, :3]).any(1)) + 1
-            start, end = np.concatenate(([0], cut)), np.append(cut, len(ids))
-            if b is not None:  # the last cell may go on
-                start, end, held = start[:-1], end[:-1], (ids[start[-1] :], bits[start[-1] :])
-            for s, e in zip(start.tolist(), end.tolist(), strict=True):
-                if e - s > 1:
-                    for found in pairs(ids[s:e], bits[s:e]):
-                        yield S.batch(EDGES, np.minimum(*found.T), np.maximum(*found.T))
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b: names of sets) that resemble by ``similarity``, from the sets themselves."""
-    pairs = S.stored(pairs)
-    wanted = S.stored(pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct())
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("s", pa.int64()), ("h", longs)])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, j in S.chunks(texts, 1 << 19):
-                h = list(run_sets(texts[i:j]))
-                yield S.batch(schema, [_name(x) for x in h], pa.array([x.view(np.int64) for x in h], longs))
-
-    few = wanted.limit(LARGE + 1).count() <= LARGE
-    rows = S.id_text(docs).where("doc_id is not null").mapInArrow(sets, "s long, h array<long>").join(F.broadcast(wanted) if few else wanted, "s", "left_semi")
-    rows = S.stored(rows.dropDuplicates(["s"]))
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = [x.values.to_numpy().view(np.uint64) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in h], pa.int64()), pa.array([bitmap(x, WIDER) for x in h], longs)], names=["s", "n", "bits"])
-
-    pairs = _possible_pairs(pairs, rows.mapInArrow(bits, "s long, n long, bits array<long>"), similarity, WIDER)
-    both = pairs.join(rows.select(F.col("s").alias("a"), F.col("h").alias("g")), "a").join(rows.select(F.col("s").alias("b"), "h"), "b").select("a", "b", "g", "h")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for g, h in zip(b.column(2), b.column(3), strict=True):
-                g, h = g.values.to_numpy(), h.values.to_numpy()
-                shared = len(np.intersect1d(g, h, assume_unique=True))
-                keep.append(shared >= int(_least(len(g) + len(h) - shared, similarity)))
-            yield S.batch(EDGES, b.column(0), b.column(1)).filter(pa.array(keep, pa.bool_()))
-
-    return S.stored(both.mapInArrow(run, "a long, b long"))
-
-
-def similar_edges(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b: names) that connect exactly what pairs of sets at ``similarity`` or more connect; ``nodes``: s, n, bits.
-
-    Each two neighbours of a shard are compared first, which links a group of near copies by few pairs; then
-    all pairs of a shard whose components differ still.
-    """
-    shards = _crowd_last(docs, similarity)
-    before = lambda c: F.lag(c).over(Window.partitionBy("key").orderBy("n", "s"))
-    near = shards.select("s", "n", before("s").alias("t"), before("n").alias("k")).where(F.col("k") >= F.col("n") * similarity - 1e-9)
-    near = near.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
-    first = _verified(docs, _possible_pairs(near, nodes, similarity), similarity)
-    found = components(first).withColumnRenamed("node", "s").withColumnRenamed("component", "c")
-    rows = S.stored(shards.join(found, "s", "left").withColumn("c", F.coalesce("c", "s")))
-    split = rows.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    rows = rows.join(split, "key", "left_semi").join(nodes.drop("n"), "s")
-    return first.union(_verified(docs, _cell_pairs(rows, similarity), similarity))
-
-
-def similar(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id of every row of ``docs``: texts linked at a resemblance of ``similarity`` or more.
-
-    Resemblance is that of the sets of runs of five words (64-bit hashes), found and verified exactly. component_id is the
-    smallest doc_id that chains of links reach. Equal sets are one node, so copies are never paired; texts without a
-    word are alike. Rows whose doc_id is null link nobody and have the component of their set, or
-    null. Other columns are ignored; an empty table gives no rows.
-    """
-    S.tune(docs.sparkSession)
-    marks = S.stored(_marks(docs))
-    nodes = S.stored(marks.where("doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-    found = components(similar_edges(docs, nodes.drop("least"), similarity)).withColumnRenamed("node", "s")
-    labels = nodes.join(found, "s", "left").select("s", "least", F.coalesce("component", "s").alias("component"))
-    ids = labels.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marks.select("doc_id", "s").join(labels.join(ids, "component").select("s", "component_id"), "s", "left").select("doc_id", "component_id")
-
-
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(S.read(spark, sf_dir, "documents"))

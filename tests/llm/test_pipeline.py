@@ -1,9 +1,7 @@
-import numpy as np
 import pytest
 
 from evidex.llm import _spark as S
-from evidex.llm import _words as words
-from evidex.llm import bpe, lines, quality, simhash, tiling
+from evidex.llm import bpe, lines, quality, tiling
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 DATA = "/root/testdata/sf0.001"
@@ -18,22 +16,10 @@ def test_stages_against_brute_force(spark):
     from test_lines import brute
 
     rows = {d: t for d, t, _, _ in brute(list(rows.items()))}
-    ids = list(rows)
-    h, off = words.many([rows[d].encode() for d in ids])
-    prints = dict(zip(ids, simhash.wide(*words.shingles(h, off, 5), simhash.WIDE), strict=True))
-    parent = {d: d for d in rows}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in rows:
-        for b in rows:
-            if a < b and np.bitwise_count(prints[a] ^ prints[b]).sum() <= simhash.radius(0.8):
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    rows = {d: t for d, t in rows.items() if find(d) == d}
+    from test_similar import exact_groups
+
+    ids = sorted(rows)
+    rows = {d: rows[d] for d, g in zip(ids, exact_groups([rows[d] for d in ids])[0], strict=True) if ids[g] == d}
     block = tiling.Items(*map(list, zip(*((r.item_id, r.text) for r in items.collect()), strict=True)))
     rows = {d: t for d, t in rows.items() if not block.found([t])}
     v = bpe.vocabulary(bpe.default_vocabulary())

@@ -94,131 +94,3 @@ def test_odd_documents(spark, odd_docs, odd_rows, no_docs):
     want = [(d, f"{x:016x}", least.get(c)) for (d, _), x, c in zip(odd_rows, f, label, strict=True)]
     assert got == sorted(want, key=repr)
     assert simhash.near_duplicates(no_docs).count() == 0
-
-
-def runs(text, k=5):
-    words = text.lower().split()
-    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
-
-
-def resemblance(a, b):
-    a, b = runs(a), runs(b)
-    return len(a & b) / len(a | b) if a | b else 1.0
-
-
-def edited(g, words, n):
-    out = list(words)
-    for i in g.choice(len(out), n, replace=False).tolist():
-        out[i] = f"new{g.integers(1 << 30)}"
-    return " ".join(out)
-
-
-def test_wide_fingerprint_is_the_majority_of_distinct_hashes():
-    h = np.random.default_rng(1).integers(0, 1 << 63, 70_000).astype(np.uint64)
-    h[10:14] = h[3]
-    off = np.array([0, 0, 5, 20, 20, 70_000])
-    got = simhash.wide(h, off, 3)
-    for i in range(5):
-        own = np.unique(h[off[i] : off[i + 1]])
-        for w in range(3):
-            bits = np.unpackbits(simhash.W.mix(own + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0)
-            assert got[i, w] == sum(1 << b for b in range(64) if 2 * int(bits[b]) > len(own))
-
-
-@pytest.mark.parametrize("members", [simhash.MEMBERS, 40])
-def test_similar_finds_near_copies_and_leaves_others(spark, monkeypatch, members):
-    """Groups of near copies, one of them far larger than a shard may be; unrelated texts of the same words."""
-    monkeypatch.setattr(simhash, "MEMBERS", members)
-    g = np.random.default_rng(5)
-    vocabulary = [f"w{i}" for i in range(400)]
-    make = lambda: [vocabulary[int(i)] for i in (g.random(250) ** 2 * 400).astype(int)]
-    texts, group = [], []
-    for k in range(40):
-        base = make()
-        texts += [" ".join(base)] + [edited(g, base, 5) for _ in range(3)]
-        group += [k] * 4
-    base = make()
-    texts += [" ".join(base)] + [edited(g, base, 3) for _ in range(300)]
-    group += [40] * 301
-    for k in range(41, 200):
-        texts.append(" ".join(make()))
-        group.append(k)
-    rows = [(i, t) for i, t in enumerate(texts)]
-    got = dict(simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    least = {}
-    for i, k in enumerate(group):
-        least.setdefault(k, i)
-    near = [i for i, k in enumerate(group) if i == least[k] or resemblance(texts[i], texts[least[k]]) >= 0.8]
-    assert sum(got[i] == least[group[i]] for i in near) >= 0.97 * len(near)
-    assert all(group[c] == group[i] for i, c in got.items())
-
-
-def test_similar_on_odd_documents(spark, odd_docs, odd_rows, no_docs):
-    got = sorted(map(tuple, simhash.similar(odd_docs).collect()), key=repr)
-    assert len(got) == len(odd_rows) and simhash.similar(no_docs).count() == 0
-    of = dict(got)
-    assert of[0] == of[1] == of[2] == 0 and of[4] == of[3] == 3 and of[5] == 5 and of[21] == of[20] == 20 and of[7] == 7
-
-
-def partly(g, k, n):
-    """Texts of n words and copies of them with a block appended, cut off or replaced, at a resemblance of 0.8 to 0.85."""
-    out = []
-    for i in range(k):
-        base = [f"b{i}x{j}" for j in range(n)]
-        more = [f"c{i}x{j}" for j in range(n // 6)]
-        changed = base + more if i % 3 == 0 else base[: -(n // 6)] if i % 3 == 1 else [*base[: n // 2], *more[: n // 14], *base[n // 2 + n // 14 :]]
-        out += [" ".join(base), " ".join(changed)]
-    return out
-
-
-def exact_groups(texts):
-    sets = [runs(t) for t in texts]
-    near = [(i, j) for i, a in enumerate(sets) for j in range(i) if 5 * len(a & sets[j]) >= 4 * len(a | sets[j])]
-    return groups(len(texts), near), near
-
-
-def found(spark, texts):
-    got = dict(simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect())
-    return [got[i] for i in range(len(texts))]
-
-
-def test_appended_and_truncated_copies_are_found_at_any_size(spark):
-    texts = partly(np.random.default_rng(0), 60, 150)
-    want, near = exact_groups(texts)
-    assert len(near) == 60 and found(spark, texts) == want
-
-
-def test_two_sets_at_the_threshold_share_a_member_of_their_prefixes():
-    g = np.random.default_rng(2)
-    for _ in range(2000):
-        n, m = g.integers(1, 60, 2)
-        pool = np.unique(g.integers(0, 1 << 63, 200).astype(np.uint64))
-        a = np.sort(g.choice(pool, n, replace=False))
-        b = np.union1d(g.choice(a, g.integers(max(1, n - n // 5), n + 1), replace=False), g.choice(pool, m // 8, replace=False))
-        last = np.sort(g.choice(pool, 40, replace=False))
-        shared = len(np.intersect1d(a, b))
-        if 5 * shared >= 4 * (len(a) + len(b) - shared):
-            assert set(simhash.prefix(a, 0.8, last).tolist()) & set(simhash.prefix(b, 0.8, last).tolist())
-            assert np.bitwise_count((simhash.bitmap(a) ^ simhash.bitmap(b)).view(np.uint64)).sum() <= len(a) + len(b) - 2 * shared
-
-
-def test_small_groups_in_a_crowded_shard_are_found(spark, monkeypatch):
-    """All texts have most of their runs in common, so a shard holds all of them; only pairs of them are near copies."""
-    monkeypatch.setattr(simhash, "MEMBERS", 10)
-    template, texts = [f"t{i}" for i in range(170)], []
-    for i in range(60):
-        own = [f"o{i}x{j}" for j in range(30)]
-        texts += [" ".join(template + own), " ".join(template + own[:-1] + ["other"])]
-    want, near = exact_groups(texts)
-    assert len(near) == 60 and found(spark, texts) == want
-
-
-def test_short_texts_below_the_threshold_are_kept(spark):
-    """Nine words of which the last differs share four of six runs; 30 words of which the last differs, 25 of 27."""
-    texts = []
-    for i in range(60):
-        for n in (9, 30):
-            base = [f"s{i}n{n}x{j}" for j in range(n)]
-            texts += [" ".join(base), " ".join(base[:-1] + ["other"])]
-    want, near = exact_groups(texts)
-    assert len(near) == 60 and found(spark, texts) == want
