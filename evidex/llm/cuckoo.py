@@ -70,7 +70,8 @@ class Cuckoo:
 
 
 def build(keys: np.ndarray) -> Cuckoo:
-    """Filter of distinct keys."""
+    """Filter of the keys; equal ones count once, so that a table large enough is always found."""
+    keys = np.unique(keys)
     capacity = len(keys)
     while not (f := Cuckoo(capacity)).insert(keys):
         capacity *= 2

@@ -2,7 +2,7 @@
 
 The exact tables hold, for each key of a line and each document, how many lines refer to it. What is
 dropped follows from them alone, so a deleted document takes back what it caused. Cuckoo filters, one
-for each first byte of the key's 128-bit hash, say of most keys that a table cannot hold them; only
+for each beginning of the key's 128-bit hash, say of most keys that a table cannot hold them; only
 the rest is looked up.
 """
 
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,8 +74,8 @@ def _numbers(k: pa.Array) -> np.ndarray:
     return flat[::2].copy()
 
 
-def filters(keys: DataFrame) -> DataFrame:
-    """shard (first byte) and bits (a filter's table) of distinct keys ``k``."""
+def filters(keys: DataFrame, width: int = 1) -> DataFrame:
+    """shard (first bytes) and bits (a filter's table) of distinct keys ``k``."""
     schema = pa.schema([("shard", pa.binary()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,14 +83,10 @@ def filters(keys: DataFrame) -> DataFrame:
         for shard, own in itertools.groupby(rows, lambda r: r[0]):
             yield S.batch(schema, [shard], [build(np.array([n for _, n in own], np.int64)).table.tobytes()])
 
-    shards = keys.select(F.substring("k", 1, 1).alias("shard"), "k").repartition("shard").sortWithinPartitions("shard")
+    shards = keys.select(F.substring("k", 1, width).alias("shard"), "k").repartition("shard").sortWithinPartitions("shard")
     return shards.mapInArrow(run, "shard binary, bits binary")
 
 
-def _opened(rows: list) -> dict[int, Cuckoo]:
-    return {r[0][0]: Cuckoo(table=np.frombuffer(r[1], np.uint16).reshape(-1, 4)) for r in rows}
-
-
 def _maybe(shards: dict[int, Cuckoo], k: pa.Array) -> np.ndarray:
     """Which keys their shard's filter may hold."""
     numbers = _numbers(k)
@@ -125,11 +122,11 @@ def drops(refs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     return lost.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_list("k").alias("drop_keys"))
 
 
-def split_kept(text: str, gone: set[bytes], length: int = LENGTH) -> tuple[str, int, int]:
-    """The text without lines of these keys, its number of lines before, and how many are dropped."""
+def split_kept(text: str, gone: set[bytes], length: int = LENGTH) -> tuple[str, int]:
+    """The text without lines of these keys, and how many are dropped."""
     lines = text.split("\n")
-    kept = [x for x in lines if len(x) < length or key(x.encode(), length) not in gone] if gone else lines
-    return "\n".join(kept), len(lines), len(lines) - len(kept)
+    kept = [x for x in lines if len(x) < length or key(x.encode(), length) not in gone]
+    return "\n".join(kept), len(lines) - len(kept)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, documents: int = DOCUMENTS) -> DataFrame:
@@ -159,18 +156,25 @@ def _applied(docs: DataFrame, length: int, documents: int, counts: bool) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, gone = b.column(place).to_pylist(), b.column(len(names)).to_pylist()
-            got = [split_kept(t or "", set(g or ()), length) for t, g in zip(texts, gone, strict=True)]
-            columns = b.columns[: len(names)]
-            changed = [g[2] > 0 for g in got]
-            columns[place] = pa.array([g[0] if c else t for g, c, t in zip(got, changed, texts, strict=True)], b.schema.field(place).type)
+            text, lists, columns = b.column(place), b.column(len(names)), b.columns[: len(names)]
+            lose = pc.is_valid(lists)
+            dropped = np.zeros(len(text), np.int64)
+            at = np.flatnonzero(lose.to_numpy(zero_copy_only=False))
+            if len(at):  # only the texts that lose lines become objects, one at a time
+                kept, sizes = [], []
+                for i in at.tolist():
+                    new, dropped[i] = split_kept(text[i].as_py(), set(lists[i].as_py()), length)
+                    kept.append(new)
+                    sizes.append(len(new))
+                columns[place] = pc.replace_with_mask(text, lose, pa.array(kept, text.type))
+                if chars is not None and not counts:
+                    columns[chars] = pc.replace_with_mask(b.column(chars), lose, pa.array(sizes, b.column(chars).type))
+            fields = [pa.field(n, c.type) for n, c in zip(names, columns, strict=True)]
             if counts:
-                columns += [pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())]
-            elif chars is not None:
-                old = b.column(chars).to_pylist()
-                columns[chars] = pa.array([len(g[0]) if c else n for g, c, n in zip(got, changed, old, strict=True)], b.schema.field(chars).type)
-            fields = [b.schema.field(i) for i in range(len(names))] + ([pa.field("n_lines", pa.int64()), pa.field("n_dropped", pa.int64())] if counts else [])
-            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(f.name, f.type) for f in fields]))
+                lines = pc.add(pc.fill_null(pc.count_substring(text, "\n"), 0), 1)
+                columns += [lines.cast(pa.int64()), pa.array(dropped)]
+                fields += [pa.field("n_lines", pa.int64()), pa.field("n_dropped", pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
     schema = docs.schema
     if counts:
@@ -185,11 +189,12 @@ class LineIndex:
     what its documents added; a key's count is the sum. ``filters`` holds the cuckoo filters of the
     keys with references: an insertion looks up only those of its keys that the filters may hold, and
     a deletion takes the keys without references out of them. The batch of ``refs`` is written last;
-    a call that was cut off leaves a batch of filters that the next call overwrites.
+    a call that was cut off leaves a batch of filters that the next call overwrites. A shard is the keys with
+    the same first ``width`` bytes: two make 65,536 shards, each a few MB for 100,000 million keys. Filters stay on the executors.
     """
 
-    def __init__(self, spark: SparkSession, path: str, length: int = LENGTH):
-        self.spark, self.path, self.length, self.batch = S.tune(spark), path.rstrip("/"), length, 0
+    def __init__(self, spark: SparkSession, path: str, length: int = LENGTH, width: int = 2):
+        self.spark, self.path, self.length, self.width, self.batch = S.tune(spark), path.rstrip("/"), length, width, 0
         root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/refs")
         fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         while fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/refs/batch={self.batch + 1}/_SUCCESS")):
@@ -226,19 +231,33 @@ class LineIndex:
                 f.delete(np.unique(numbers))
             return pa.table({"shard": pa.array([shard[0].as_py()], pa.binary()), "bits": pa.array([b"" if full else f.table.tobytes()], pa.binary())})
 
-        new = keys.select(F.substring("k", 1, 1).alias("shard"), "k")
+        new = self._sharded(keys)
         done = S.stored(self._filters().groupBy("shard").cogroup(new.groupBy("shard")).applyInArrow(run, "shard binary, bits binary"))
         over = done.where("length(bits) = 0")
         held = self.refs().select("k").union(keys) if add else self.refs().select("k")
-        anew = filters(held.distinct().join(F.broadcast(over.select("shard")), F.substring("k", 1, 1) == F.col("shard"), "left_semi"))
+        anew = filters(held.distinct().join(over.select("shard"), F.substring("k", 1, self.width) == F.col("shard"), "left_semi"), self.width)
         return done.where("length(bits) > 0").union(anew)
 
+    def _sharded(self, keys: DataFrame) -> DataFrame:
+        return keys.select(F.substring("k", 1, self.width).alias("shard"), "k")
+
+    def _probed(self, keys: DataFrame) -> DataFrame:
+        """k and whether its shard's filter may hold it."""
+
+        def run(shard, old, new):  # noqa: ANN001, ANN202
+            k = new.column("k").combine_chunks() if new.num_rows else pa.array([], pa.binary())
+            table = old.column("bits")[0].as_py() if old.num_rows else None
+            maybe = Cuckoo(table=np.frombuffer(table, np.uint16).reshape(-1, 4)).contains(_numbers(k)) if table and len(k) else np.zeros(len(k), bool)
+            return pa.table({"k": k, "maybe": pa.array(maybe)})
+
+        return self._filters().groupBy("shard").cogroup(self._sharded(keys).groupBy("shard")).applyInArrow(run, "k binary, maybe boolean")
+
     def insert(self, docs: DataFrame) -> None:
-        """Adds documents; their ids must not be in the index."""
+        """Adds documents; ValueError if one with keys is in the index already."""
         new = S.stored(line_refs(docs, self.length))
-        keys = S.stored(new.select("k").distinct())
-        bits = {r[0][0]: r[1] for r in self._filters().collect()} if self.batch else {}
-        maybe = keys.mapInArrow(_Probe(bits), "k binary, maybe boolean")
+        if self.refs().join(new.select("doc_id").distinct(), "doc_id", "left_semi").limit(1).count():
+            raise ValueError("a document is in the index already: delete it first")
+        maybe = S.stored(self._probed(new.select("k").distinct()))
         sure, ask = maybe.where("not maybe").select("k"), maybe.where("maybe").select("k")
         fresh = sure.union(ask.join(self.refs().select("k").distinct(), "k", "left_anti"))
         self._write(new, self._changed(fresh, add=True))
@@ -256,18 +275,6 @@ class LineIndex:
         return drops(self.refs(), documents)
 
 
-class _Probe:
-    """k and whether the filters may hold it."""
-
-    def __init__(self, bits: dict[int, bytes]):
-        self.bits = bits
-
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = _opened([(bytes([s]), x) for s, x in self.bits.items()])
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_maybe(shards, b.column(0)))], names=["k", "maybe"])
-
-
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup(S.read(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from evidex.llm import cuckoo, lines
 
@@ -91,5 +92,13 @@ def test_index_is_reversible(spark, tmp_path):
     index.delete(frame(rows[50:]).select("doc_id"))
     assert dropped(index) == first
     keys = {bytes(r.k) for r in index.refs().select("k").distinct().collect()}
-    shards = lines._opened(index._filters().collect())
-    assert sum(int((f.table > 0).sum()) for f in shards.values()) == len(keys)
+    tables = [np.frombuffer(r.bits, np.uint16) for r in index._filters().collect()]
+    assert sum(int((t > 0).sum()) for t in tables) == len(keys)
+    with pytest.raises(ValueError):
+        index.insert(frame(rows[:1]))
+
+
+def test_equal_keys_count_once_in_a_filter():
+    keys = np.repeat(np.arange(3, dtype=np.int64), 20)
+    f = cuckoo.build(keys)
+    assert f.contains(keys).all() and int((f.table > 0).sum()) == 3
