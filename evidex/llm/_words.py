@@ -100,3 +100,24 @@ def shingles(h: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     else:
         got = acc[place]
     return mix(got), out
+
+
+def running(h: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running (Karp-Rabin) hashes of each text's runs of k words, and where each text's begin; fewer words: none.
+
+    One sum runs over all words, each times a power of the base; a window's hash is the difference of the sum at
+    its two ends, brought to the same power, so that each step costs the same however long the window is.
+    """
+    count = np.maximum(np.diff(off) - k + 1, 0)
+    out = np.concatenate(([0], np.cumsum(count)))
+    place = np.arange(out[-1]) - np.repeat(out[:-1] - off[:-1], count)
+    found = np.zeros(len(place), U)
+    for at in range(0, max(0, len(h) - k + 1), BLOCK):  # the powers stay few
+        end = min(len(h), at + BLOCK + k - 1)
+        up, down = _powers(end - at)
+        total = np.zeros(end - at + 1, U)
+        np.cumsum(h[at:end] * up[: end - at], out=total[1:])
+        lo, hi = np.searchsorted(place, (at, at + BLOCK))
+        p = place[lo:hi] - at
+        found[lo:hi] = (total[p + k] - total[p]) * down[p]
+    return mix(found), out

@@ -61,11 +61,8 @@ class Formatter:
         for before, after in (*template.marks.values(), template.other[::2], (template.other[1], " x")):
             if not (before.strip() and after.strip() and before[-1].isspace() and after[0].isspace()) or "\\" in before + after:
                 raise ValueError(f"unfit marks: {before!r}, {after!r}")
-        text = r"((?:[^\\]|\\)*?)"
-        known = [rf"{re.escape(a)}{text}{re.escape(b)}" for a, b in template.marks.values()]
-        a, b, c = map(re.escape, template.other)
-        self.turn = re.compile("|".join([*known, f"{a}{text}{b}{text}{c}"]), re.S)
-        self.roles = list(template.marks)
+        # Of marks that begin alike, the longest.
+        self.begins = sorted(template.marks.items(), key=lambda x: -len(x[1][0]))
 
     def escape(self, text: str) -> str:
         return self.risky.sub(r"\1\\", text)
@@ -86,16 +83,28 @@ class Formatter:
     def read(self, formatted: str) -> list[tuple[str, str]]:
         """Roles and texts of formatted turns; ValueError if something else stands between them."""
         out, at = [], 0
+
+        def upto(mark: str, start: int) -> int:
+            """Where the text ends: a mark never occurs in an escaped text, so it is its first place."""
+            if (end := formatted.find(mark, start)) < 0:
+                raise ValueError(f"no {mark!r} after {start}")
+            return end
+
+        before, between, after = self.t.other
         while at < len(formatted):
-            m = self.turn.match(formatted, at)
-            if not m:
-                raise ValueError(f"no turn at {at}: {formatted[at : at + 40]!r}")
-            g = m.lastindex
-            if g <= len(self.roles):
-                out.append((self.roles[g - 1], self.unescape(m[g])))
+            for role, (begin, close) in self.begins:
+                if formatted.startswith(begin, at):
+                    start = at + len(begin)
+                    break
             else:
-                out.append((self.unescape(m[g - 1]), self.unescape(m[g])))
-            at = m.end()
+                if not formatted.startswith(before, at):
+                    raise ValueError(f"no turn at {at}: {formatted[at : at + 40]!r}")
+                middle = upto(between, at + len(before))
+                role = self.unescape(formatted[at + len(before) : middle])
+                start, close = middle + len(between), after
+            end = upto(close, start)
+            out.append((role, self.unescape(formatted[start:end])))
+            at = end + len(close)
         return out
 
 

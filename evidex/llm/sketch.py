@@ -1,7 +1,7 @@
 """Document fingerprints: threshold-scaled sketches (operator 3).
 
 A sketch keeps every hash of a text's runs of five words that lies below a fixed fraction of the hash
-range, and at least the FLOOR smallest ones, so that short texts have one too. Its bound tells below
+range. Texts of a few runs, of which hardly any lie there, keep the FLOOR smallest instead. Its bound tells below
 which hash it is complete: two sketches are compared below the smaller bound, where both hold every
 hash of their text. So the share of one text's shingles that another has is estimated alike for very
 unequal texts, and the sketch of a union is the union of the sketches, cut in the same way.
@@ -11,18 +11,20 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _spark as S
 from . import _words as W
 
-#: Words of a shingle, share of hashes kept, hashes kept at least (if there are as many).
-SHINGLE, FRACTION, FLOOR = 5, 1 / 16, 64
+#: Words of a shingle, share of hashes kept, hashes kept at least (if there are as many: texts of under 64 runs have fewer below the share).
+SHINGLE, FRACTION, FLOOR = 5, 1 / 4, 16
 ALL = (1 << 64) - 1
 Sketch = tuple[np.ndarray, int]
 
@@ -96,6 +98,21 @@ def sketches(docs: DataFrame, fraction: float = FRACTION, floor: int = FLOOR) ->
     return S.id_text(docs).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def _numbers(values: list[int]) -> Column:
+    """A constant array, one literal however long it is."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
+def _place(borders: list[int], at: Column) -> Column:
+    """How many of the ascending borders are at most ``at``: first in steps of the square root, then within a step."""
+    if not borders:
+        return F.lit(0)
+    step = math.isqrt(len(borders)) + 1
+    below = lambda some: F.size(F.filter(some, lambda b: b <= at))
+    steps = below(_numbers(borders[::step]))
+    return F.when(steps == 0, 0).otherwise((steps - 1) * step + below(F.slice(_numbers(borders), (steps - 1) * step + 1, F.lit(step))))
+
+
 def in_sequence(docs: DataFrame) -> DataFrame:
     """Rows (part, carried, doc_id, text), sorted within partitions, in which each part is a range of
     doc_id with all its rows in order, followed by the first row after it (carried = 1).
@@ -110,12 +127,11 @@ def in_sequence(docs: DataFrame) -> DataFrame:
     ranges = 4 * parts  # a partition holds several ranges, so that their numbers of rows even out
     borders = rows.agg(F.percentile_approx("at", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
     borders = sorted(set(borders))
-    part = F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b <= F.col("at"))) if borders else F.lit(0)
-    rows = rows.withColumn("part", part)
+    rows = rows.withColumn("part", _place(borders, F.col("at")))
     first = dict(rows.groupBy("part").agg(F.min("at")).collect())  # a long for each range
     used = sorted(first) or [0]
     before = {p: used[i - 1] for i, p in enumerate(used)}
-    lookup = lambda d, none: F.element_at(F.array(*[F.lit(d.get(i, none)) for i in range(len(borders) + 1)]), F.col("part") + 1)
+    lookup = lambda d, none: F.element_at(_numbers([d.get(i, none) for i in range(len(borders) + 1)]), F.col("part") + 1)
     own, carried = F.struct("part", F.lit(0).alias("carried")), F.struct(lookup(before, 0).cast("int").alias("part"), F.lit(1).alias("carried"))
     places = F.when(F.col("at") == lookup(first, 0), F.array(own, carried)).otherwise(F.array(own))
     placed = rows.select("doc_id", "text", "at", F.explode(places).alias("p")).select("p.part", "p.carried", "doc_id", "at", "text")

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import pytest
 
@@ -36,3 +37,21 @@ def test_odd_conversations(spark):
     assert chat.digests(chat.segments(df.limit(0))).count() == 0
     loss = [r for r in chat.segments(df).collect() if r.loss]
     assert sorted(r.conv_id for r in loss) == [1, 2, 3, 4]
+
+
+def test_reading_back_takes_a_few_times_the_text():
+    f = chat.Formatter()
+    text = "a <s> b \\ " * 500_000
+    formatted = "".join(s for s, _ in f.segments("user", text))
+    tracemalloc.start()
+    assert f.read(formatted) == [("user", text)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * len(text)
+    text = "word " * 1_000_000
+    formatted = "".join(s for s, _ in f.segments("tool", text))
+    tracemalloc.start()
+    assert f.read(formatted) == [("tool", text)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(text)

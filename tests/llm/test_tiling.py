@@ -1,6 +1,10 @@
 import random
+import tracemalloc
 
-from evidex.llm import tiling
+import numpy as np
+import pytest
+
+from evidex.llm import _words, tiling
 
 
 def brute_tiles(a, b, k):
@@ -23,7 +27,10 @@ def brute_tiles(a, b, k):
         out.append(n)
 
 
-def test_tiles_against_brute_force():
+@pytest.mark.parametrize("pairs", [tiling.PAIRS, 0])
+def test_tiles_against_brute_force(monkeypatch, pairs):
+    """Also where pairs of equal seeds are never held."""
+    monkeypatch.setattr(tiling, "PAIRS", pairs)
     r = random.Random(3)
     for _ in range(60):
         words = r.choice(("ab", "abcdef", "abcdefghijklmnopqrstuvwxyz"))
@@ -64,3 +71,40 @@ def test_items_in_several_blocks(spark, monkeypatch, odd_docs):
     docs = spark.createDataFrame([(i, f"so word{i} and four others follow {'pad ' * 50}") for i in range(5)], "doc_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in tiling.contaminated(docs, items).collect()) == [(i, i) for i in range(5)]
     assert tiling.contaminated(odd_docs, items).count() == 0
+
+
+def test_running_hashes_are_of_their_window_alone(monkeypatch):
+    monkeypatch.setattr(_words, "BLOCK", 16)
+    monkeypatch.setattr(_words, "_POWERS", [])
+    r = random.Random(1)
+    texts = [[r.choice("abc") for _ in range(r.randint(0, 60))] for _ in range(30)]
+    h, off = _words.many([" ".join(t).encode() for t in texts])
+    for k in (1, 3, 5):
+        got, at = _words.running(h, off, k)
+        windows = [tuple(t[i : i + k]) for t in texts for i in range(len(t) - k + 1)]
+        assert len(got) == len(windows) == at[-1]
+        of = {}
+        for w, x in zip(windows, got.tolist(), strict=True):
+            assert of.setdefault(w, x) == x
+        assert len(set(of.values())) == len(of)
+
+
+def test_equal_hashes_are_checked_on_the_words(monkeypatch):
+    """With one hash for all windows, what is found is the same."""
+    docs = ["x w1 w2 w3 w4 w5 w6 y", "a b c d e f g"]
+    want = tiling.Items([1], ["w1 w2 w3 w4 w5 w6"]).found(docs)
+    running = _words.running
+    monkeypatch.setattr(_words, "running", lambda h, off, k: (running(h, off, k)[0] * np.uint64(0), running(h, off, k)[1]))
+    for pairs in (tiling.PAIRS, 0):
+        monkeypatch.setattr(tiling, "PAIRS", pairs)
+        assert tiling.Items([1], ["w1 w2 w3 w4 w5 w6"]).found(docs) == want and len(want) == 1
+
+
+def test_repeats_of_a_word_take_linear_memory():
+    """20,000 equal words against an item of 2,000: 40 million pairs of equal seeds."""
+    block = tiling.Items([1, 2], ["a " * 2000, "b " * 3 + "a " * 1990])
+    tracemalloc.start()
+    got = block.found(["a " * 20000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(t, i, n, w) for t, i, _, n, w in got] == [(0, 0, 1, 2000), (0, 1, 1, 1990)] and peak < 100e6
