@@ -1,13 +1,16 @@
 """SimHash near-duplicates with vantage-point trees (operator 4).
 
-Fingerprints are partitioned by Hamming distance in two steps. Across the cluster, a shard is a set of
-fingerprints at distance zero from one another on some of the 64 bits: the bits are cut into blocks,
-and a pair at distance r differs in at most r blocks, so that it lies at distance zero on the others.
-Each fingerprint is sent to the shard of every choice of blocks (the shards whose borders it may
-touch), so every linked pair meets in one shard at least. Within a shard a vantage-point tree splits
-the fingerprints at the median distance from one of them; by the triangle inequality only those
-within r of the border go to both sides. On all 64 bits, distances between unrelated texts lie so close
-to 32 that half of the members are within 4 of any border; hence the cluster's level looks at some bits.
+Fingerprints are partitioned by Hamming distance, in vantage-point trees at two levels. Across the cluster, the
+64 bits are cut into three parts: a pair at distance 4 differs in at most one bit of one of them. Each part has
+a tree whose vantage points follow from a node's place in it, so it needs no data, has no root in one place and can be as
+deep as the corpus asks for. A node parts its members by their distance to its point; those within one bit of the border may
+have a partner beyond it (triangle inequality) and go to both sides. Leaves are shards, so every linked pair meets in one at
+least. Within a shard a tree over all 64 bits splits the fingerprints at the distance to one of them, with
+borders of the whole radius.
+
+All 64 bits at once would not do for the cluster's tree: distances between unrelated texts lie so close to 32 that three
+quarters of the members are within 4 of any border. Shards that stay crowded, as more than some 2**22 values of
+a part can't be told apart, are divided by choices of blocks of bits on which a linked pair agrees.
 
 Equal fingerprints are one node; a shard gives at most one link a member (a spanning forest of what
 is linked there), never all pairs.
@@ -18,6 +21,7 @@ is linked there), never all pairs.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _spark as S
+from . import _words as W
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Members of a tree's leaf; a split whose larger side holds more than this share is none.
-LEAF, SPLIT = 384, 0.9
+LEAF, SPLIT = 128, 0.9
+#: Parts of the bits with a tree each across the cluster; members that its leaves should have; its levels at most.
+PARTS, SHARD, LEVELS = 3, 1024, 12
 #: Members from which a shard is divided by more bits, and blocks of bits that are matched at most.
 CROWD, DEEPEST = 1 << 16, 4
 #: Large shards whose names are broadcast at most (20 bytes each); more of them are joined.
@@ -147,28 +154,75 @@ def masks(k: int, r: int = RADIUS) -> list[int]:
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def part_masks() -> list[int]:
+    """The bits of each part."""
+    return [sum(1 << i for i in b.tolist()) for b in np.array_split(np.arange(64), PARTS)]
+
+
+def levels(n: int, r: int = RADIUS) -> int:
+    """Levels after which a leaf has about SHARD of n fingerprints, if they spread as those of unrelated texts do."""
+    bits, near = 64 // PARTS, r // PARTS
+    share = sum(math.comb(bits, d) for d in range(bits // 2 + 1)) / 2**bits
+    twice = sum(math.comb(bits, d) for d in range(max(0, bits // 2 - near + 1), bits // 2 + 1)) / 2**bits
+    larger = max(share, 1 - share + twice)
+    return min(LEVELS, math.ceil(math.log(n / SHARD) / -math.log(larger))) if n > SHARD else 0
+
+
+def tree_places(f: np.ndarray, mask: int, which: int, depth: int, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves of one part's tree and, for each, which of the fingerprints is in it."""
+    at, path, bits = np.arange(len(f)), np.ones(len(f), np.uint64), np.uint64(mask)
+    cut = mask.bit_count() // 2
+    for _ in range(depth):
+        point = W.mix(path * np.uint64(2 * PARTS + 1) + np.uint64(which)) & bits
+        d = np.bitwise_count((f[at] & bits) ^ point).astype(np.int64)
+        inner, outer = d <= cut, d > cut - near
+        at, path = np.concatenate((at[inner], at[outer])), np.concatenate((path[inner] * np.uint64(2), path[outer] * np.uint64(2) + np.uint64(1)))
+    return path, at
+
+
+ROWS = pa.schema([(c, pa.int64()) for c in ("choice", "key", "node", "f")])
+
+
+def tree_shards(nodes: DataFrame, n: int, r: int = RADIUS) -> DataFrame:
+    """choice (part), key (leaf), node, f: each of the n ``nodes`` (node, f) in all leaves whose borders it may touch."""
+    depth, masks_, near = levels(n, r), part_masks(), r // PARTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, f = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for which, mask in enumerate(masks_):
+                path, at = tree_places(f.view(np.uint64), mask, which, depth, near)
+                yield S.batch(ROWS, np.full(len(at), which), path.view(np.int64), node[at], f[at])
+
+    return nodes.select("node", "f").mapInArrow(run, "choice long, key long, node long, f long")
+
+
+def _apart(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of shards (choice, key) of at most CROWD members, and the nodes of the others (None: there are none)."""
+    crowds = S.stored(rows.groupBy("choice", "key").agg(F.count("*").alias("m")).where(F.col("m") > CROWD).drop("m"))
+    if not (n := crowds.limit(LARGE + 1).count()):
+        return rows, None
+    crowds = F.broadcast(crowds) if n <= LARGE else crowds
+    return rows.join(crowds, ["choice", "key"], "left_anti"), S.stored(rows.join(crowds, ["choice", "key"], "left_semi").select("node", "f").distinct())
+
+
 def shard_edges(nodes: DataFrame, r: int = RADIUS) -> DataFrame:
     """Edges (a, b: nodes) that connect what is within r bits; ``nodes``: node, f, each f once.
 
-    Shards agree on one block of bits at first. What is in a shard of more than CROWD is dealt out anew by two
-    blocks, and so on: a linked pair meets in a small shard, or both go on. So shards stay bounded for any number
-    of fingerprints and in any large group, unless more than CROWD agree on four of eight blocks.
+    What is in a leaf of more than CROWD is dealt out anew by one block of bits, then by two, and so on: a linked pair meets in
+    a small shard, or both go on. So shards stay bounded for any number of fingerprints and in any large group, unless more
+    than CROWD agree on four of eight blocks.
     """
     S.tune(nodes.sparkSession)
-    out = None
+    few, crowd = _apart(tree_shards(nodes, nodes.count(), r))
+    out = _tree_edges(few, r)
     for k in range(1, DEEPEST + 1):
-        signed = [m - (1 << 64) if m >> 63 else m for m in masks(k, r)]
-        rows = nodes.select("node", "f", F.posexplode(F.array(*[F.col("f").bitwiseAND(F.lit(m)) for m in signed])).alias("choice", "key"))
-        crowds = S.stored(rows.groupBy("choice", "key").agg(F.count("*").alias("m")).where(F.col("m") > CROWD).drop("m")) if k < DEEPEST else None
-        n = crowds.limit(LARGE + 1).count() if k < DEEPEST else 0
-        if n:
-            crowds = F.broadcast(crowds) if n <= LARGE else crowds
-            nodes = S.stored(rows.join(crowds, ["choice", "key"], "left_semi").select("node", "f").distinct())
-            rows = rows.join(crowds, ["choice", "key"], "left_anti")
-        part = _tree_edges(rows, r)
-        out = part if out is None else out.union(part)
-        if not n:
+        if crowd is None:
             break
+        signed = [m - (1 << 64) if m >> 63 else m for m in masks(k, r)]
+        rows = crowd.select("node", "f", F.posexplode(F.array(*[F.col("f").bitwiseAND(F.lit(m)) for m in signed])).alias("choice", "key"))
+        few, crowd = _apart(rows) if k < DEEPEST else (rows, None)
+        out = out.union(_tree_edges(few, r))
     return out.distinct()
 
 

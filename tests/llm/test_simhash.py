@@ -52,20 +52,60 @@ def test_links_connect_what_brute_force_connects(kind):
     assert len(pairs) <= 40 * len(f)
 
 
-@pytest.mark.parametrize("crowd", [1, 6, 50])
-def test_crowded_shards_are_divided_and_lose_no_link(spark, monkeypatch, crowd):
-    monkeypatch.setattr(simhash, "CROWD", crowd)
-    g = np.random.default_rng(9)
-    f = g.integers(0, 2**63, 40).astype(np.uint64)[g.integers(0, 40, 600)]
+def bunch(n, seed):
+    """Distinct fingerprints around centres, at all distances up to four and more."""
+    g = np.random.default_rng(seed)
+    f = g.integers(0, 2**63, max(1, n // 15)).astype(np.uint64)[g.integers(0, max(1, n // 15), n)]
     for _ in range(4):
-        f = f ^ (np.uint64(1) << g.integers(0, 64, 600).astype(np.uint64))
-    f = np.unique(f)
+        f = f ^ (np.uint64(1) << g.integers(0, 64, n).astype(np.uint64))
+    return np.unique(f)
+
+
+@pytest.mark.parametrize(("crowd", "shard"), [(1, 1024), (6, 1024), (50, 1024), (1 << 16, 1), (1 << 16, 20), (50, 20)])
+def test_shards_lose_no_link(spark, monkeypatch, crowd, shard):
+    """Leaves of trees of several depths across the cluster, and crowded ones divided by blocks."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    f = bunch(600, 9)
     near = np.nonzero(np.triu(np.bitwise_count(f[:, None] ^ f[None, :]) <= 4, 1))
     nodes = spark.createDataFrame([(i, int(x)) for i, x in enumerate(f.view(np.int64))], "node long, f long")
     edges = [tuple(e) for e in simhash.shard_edges(nodes).collect()]
     assert groups(len(f), edges) == groups(len(f), zip(*map(np.ndarray.tolist, near), strict=True))
 
 
+def test_every_linked_pair_has_a_leaf_in_common():
+    """Pairs at distance 4, however the bits lie, in trees of twelve levels; unrelated ones rarely meet."""
+    g = np.random.default_rng(8)
+    f = g.integers(0, 2**63, 4000).astype(np.uint64)
+    other = f.copy()
+    for k in range(4):
+        other ^= np.uint64(1) << np.uint64((7 + 11 * k) % 64) if k % 2 else np.uint64(1) << g.integers(0, 64, len(f)).astype(np.uint64)
+    met, chance = np.zeros(len(f), bool), np.zeros(len(f), bool)
+    for which, mask in enumerate(simhash.part_masks()):
+        leaves = [[set() for _ in f] for _ in range(2)]
+        for side, some in zip(leaves, (f, other), strict=True):
+            for p, i in zip(*map(np.ndarray.tolist, simhash.tree_places(some, mask, which, 12, 1)), strict=True):
+                side[i].add(p)
+        met |= [bool(a & b) for a, b in zip(*leaves, strict=True)]
+        chance |= [bool(a & b) for a, b in zip(leaves[0], leaves[1][1:] + leaves[1][:1], strict=True)]
+    assert met.all() and chance.mean() < 0.1
+
+
+def test_trees_split_at_the_size_of_the_tables(spark, monkeypatch):
+    """10,000 fingerprints: the cluster's tree has several levels, and the trees of its leaves have several leaves."""
+    f = np.unique(np.random.default_rng(6).integers(0, 2**63, 10_000).astype(np.uint64))
+    assert simhash.levels(len(f)) >= 4 and simhash.levels(1 << 40) == simhash.LEVELS
+    nodes = spark.createDataFrame([(i, int(x)) for i, x in enumerate(f.view(np.int64))], "node long, f long")
+    shards = {}
+    for r in simhash.tree_shards(nodes, len(f)).collect():
+        shards.setdefault((r.choice, r.key), []).append(r.f)
+    assert len(shards) > 60 and max(map(len, shards.values())) < 2 * simhash.SHARD
+    leaves, leaf = [], simhash._leaf
+    monkeypatch.setattr(simhash, "_leaf", lambda some, r: leaves.append(len(some)) or leaf(some, r))
+    simhash.links(np.array(next(iter(shards.values())), np.int64).view(np.uint64))
+    assert len(leaves) > 4 and max(leaves) <= simhash.LEAF
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4])
 def test_a_pair_within_the_radius_agrees_on_a_choice_of_bits(n):
     masks = simhash.masks(n)
