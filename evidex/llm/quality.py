@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors (operator 7).
 
-Indicators of n-grams (three bytes of a text in a row; pairs of words as "the same again" and its
-share) are scaled by the class's log-count ratios; a linear hinge loss is fitted on them by
+Indicators of n-grams (three bytes of a text in a row; eight words in a row, each by whether it is the one
+before it again) are scaled by the class's log-count ratios; a linear hinge loss is fitted on them by
 coordinate descent in the dual. The margin becomes a probability by a logistic curve that is fitted on
 rows that the weights have not seen.
 """
@@ -23,7 +23,8 @@ from . import _words as W
 ROWS, PASSES, COST, SMOOTH = 4000, 15, 1.0, 1.0
 #: From this score on, a document is predicted to be of quality 1.
 THRESHOLD = 0.3
-REPEATS = np.array([0.02, 0.05, 0.1, 0.2, 0.4])
+#: Words in a row of which it is told whether each is the one before it again; a place for each case, before those of the bytes.
+AGAIN = 8
 
 
 def places(texts: list[str]) -> list[np.ndarray]:
@@ -35,13 +36,13 @@ def places(texts: list[str]) -> list[np.ndarray]:
         for k, data in enumerate(raw):
             b = np.frombuffer(b" " + data + b" ", np.uint8).astype(np.uint32)
             code = b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:] if data else b[:0]
-            code = (code * np.uint32(0x9E3779B1)) >> np.uint32(14)
+            code = (1 << AGAIN) + ((code * np.uint32(0x9E3779B1)).astype(np.uint64) * np.uint64(C.PLACES - (1 << AGAIN)) >> np.uint64(32)).astype(np.int64)
             n = np.arange(len(code))
             stamp[code] = n
-            at = code[stamp[code] == n].astype(np.int64)
             words = h[off[k] : off[k + 1]]
-            share = (words[1:] == words[:-1]).mean() if len(words) > 1 else 0.0
-            out.append(np.concatenate((at, np.flatnonzero(share >= REPEATS))))
+            same = (words[1:] == words[:-1]).astype(np.int64)
+            runs = sum(same[i : len(same) - AGAIN + 1 + i] << i for i in range(AGAIN)) if len(same) >= AGAIN else same[:0]
+            out.append(np.concatenate((np.unique(runs), code[stamp[code] == n])))
     return out
 
 
@@ -54,6 +55,11 @@ class Model(NamedTuple):
     slope: float
     offset: float
 
+    @property
+    def learned(self) -> bool:
+        """Whether there were labels of both classes to learn from."""
+        return bool(self.weight.any())
+
     def margin(self, at: list[np.ndarray]) -> np.ndarray:
         return np.array([self.weight[a].sum() / np.sqrt(self.square[a].sum() + 1e-9) + self.bias for a in at])
 
@@ -112,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs``' rows (doc_id, held_out, score, predicted) from whole texts.
+    """doc_id, held_out, score and predicted of every row of ``docs``, from whole texts.
 
     A null or empty text has no indicators and gets the score of the bias alone. Rows may repeat; no
     row is dropped; a null doc_id is kept and counts as held out. No shuffle.
@@ -129,6 +135,13 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the classifier does not reject; all where the labels are of
+    one class or too few, so that nothing can be learned. Null texts are empty; repeated rows get the same score."""
+    model = fit(docs, labels)
+    return S.keep_rows(docs, lambda texts: model.score(texts) >= threshold) if model.learned else docs
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = S.read(spark, sf_dir, "documents")
     return score(docs, fit(docs, S.read(spark, sf_dir, "labels")))
