@@ -1,3 +1,6 @@
+import os
+import re
+
 import pytest
 
 from evidex.llm import _spark as S
@@ -23,7 +26,10 @@ def test_stages_against_brute_force(spark):
     block = tiling.Items(*map(list, zip(*((r.item_id, r.text) for r in items.collect()), strict=True)))
     rows = {d: t for d, t in rows.items() if not block.found([t])}
     v = bpe.vocabulary(bpe.default_vocabulary())
-    got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, DATA).collect()}
+    out = corpus_pipeline.run(spark, DATA)
+    got = {r.doc_id: r.n_tokens for r in out.collect()}
+    folder = out.inputFiles()[0].rsplit("/", 2)[0].removeprefix("file:")
+    assert os.listdir(re.sub("^/+", "/", folder)) == ["4-bpe"]
     assert got == {d: len(v.encode([t])[0]) // 4 for d, t in rows.items()}
     assert 0 < len(got) < docs.count()
 
