@@ -1,10 +1,10 @@
 """Personal data: rules and a character-level BiLSTM-CRF (operator 5).
 
 The rules find what follows the usual written forms. The tagger adds what it is sure of in other forms.
-A span of any kind contains a digit or an at sign and reaches at most REACH characters from one, so
-only the stretches around those characters are tagged. A stretch is cut into overlapping windows, all
-windows of a batch are decoded at once, and each character takes the tag of the window in which it
-stands farthest from the edges; spans are read from the joined tags of the whole stretch.
+A span of any kind contains a digit, an at sign or a cue of one that is written out (CUES), and reaches at most REACH
+characters from one, so only the stretches around those are tagged. A stretch is cut into overlapping windows; each
+character's scores are those of the windows it stands in, weighed by how far it is from their edges, and one
+path of tags is decoded over the whole stretch.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from . import _spark as S
 from . import tagger as T
 
-#: Characters of context on either side of a digit or at sign; windows decoded at once.
-REACH, AT_ONCE = T.LENGTH // 2, 1024
-#: Probability that each character's tag must have for a span to be added.
-SURE = 0.85
+#: Characters of context on either side of an anchor; windows decoded at once.
+REACH, AT_ONCE = T.LENGTH, 1024
+#: Probability that each character's tag must have for a span to be added; chosen on labelled texts with decoys made by another seed.
+SURE = 0.7
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 CHAIN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
@@ -31,6 +31,17 @@ PART = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+")
 ANCHOR = re.compile(r"[0-9@]")
+#: At signs and full stops that are written out: what a text must contain, and where it counts.
+CUES = (
+    ("dot", re.compile(r"(?<![A-Za-z])dot(?![A-Za-z])")), ("DOT", re.compile(r"(?<![A-Za-z])DOT(?![A-Za-z])")),
+    ("(", re.compile(r"\( ?(?:at|AT) ?\)")), ("[", re.compile(r"\[ ?(?:at|AT) ?\]")), (" at ", re.compile(r" at (?=[A-Za-z0-9-]+\.[A-Za-z])")),
+)
+#: An address with its signs written out: local part, at sign, host.
+WORD = r"[A-Za-z0-9._%+-]+"
+STOP = r"(?: ?[(\[]?(?:dot|DOT|\.)[)\]]? ?)"
+SPELT = re.compile(rf"({WORD}(?:{STOP}{WORD})*?)( ?[(\[] ?(?:@|at|AT) ?[)\]] ?| @ | (?:at|AT) |@)([A-Za-z0-9-]+(?:{STOP}[A-Za-z0-9-]+)+)")
+#: Characters of a stretch that are decoded as one path at most; a longer one is cut where nothing stands, surest.
+LONG = 4096
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -88,11 +99,18 @@ def base(text: str) -> list[tuple[str, int, int]]:
     return [(k, a, b) for k in T.KINDS for a, b in found[k]]
 
 
+def anchors(text: str) -> list[int]:
+    """Places of digits, at signs and cues, ascending."""
+    out = [m.start() for m in ANCHOR.finditer(text)]
+    more = [m.start() for cue, pattern in CUES if cue in text for m in pattern.finditer(text)]
+    return sorted(out + more) if more else out
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Ranges around digits and at signs, joined where they touch."""
+    """Ranges around anchors, joined where they touch."""
     out: list[list[int]] = []
-    for m in ANCHOR.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.start() + REACH)
+    for at in anchors(text):
+        a, b = max(0, at - REACH), min(len(text), at + REACH)
         if out and a <= out[-1][1]:
             out[-1][1] = b
         else:
@@ -104,7 +122,10 @@ def plausible(kind: str, s: str) -> bool:
     """Whether a tagged string has what its kind needs."""
     digits = sum(c in "0123456789" for c in s)
     if kind == "email":
-        return "@" in s and len(s) >= 6 and s[-1].isalnum() and s[0] in LOCAL and bool(re.search(r"\.|dot", s[s.index("@") :]))
+        if not (m := SPELT.fullmatch(s)) or len(s) < 6 or not s[-1].isalnum():
+            return False
+        # "look at this.example" is no address: a bare "at" takes a written-out stop, or a local part with a sign or digit.
+        return m[2].strip().lower() != "at" or bool(re.search("dot", s, re.I) or re.search("[._0-9]", m[1]))
     if kind == "ip":
         parts = re.findall(r"[0-9]+", s)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -119,16 +140,16 @@ class Tagger:
     def __init__(self, weights: T.Weights, sure: float = SURE):
         self.w, self.sure = weights, sure
 
-    def tags(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tags of windows and the probability of each."""
-        path, sure = np.zeros(rows.shape, np.int64), np.zeros(rows.shape)
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        """Scores of the tags of windows."""
+        return np.concatenate([T.lstm(self.w, rows[i : i + AT_ONCE]) for i in range(0, len(rows), AT_ONCE)]).astype(np.float64)
+
+    def paths(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best path of each row of scores and the probability of each of its tags."""
         move = self.w.move.astype(np.float64)
-        for i in range(0, len(rows), AT_ONCE):
-            score = T.lstm(self.w, rows[i : i + AT_ONCE]).astype(np.float64)
-            path[i : i + AT_ONCE] = v = T.viterbi(move, score)
-            p, _, _ = T.marginals(move, score)
-            sure[i : i + AT_ONCE] = np.take_along_axis(p, v[:, :, None], 2)[:, :, 0]
-        return path, sure
+        path = T.viterbi(move, score)
+        p, _, _ = T.marginals(move, score)
+        return path, np.take_along_axis(p, path[:, :, None], 2)[:, :, 0]
 
     def spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
         """Plausible spans of each text."""
@@ -159,31 +180,46 @@ class Tagger:
                 part = x[at : at + T.LENGTH]
                 rows[k, : len(part)] = part
                 k += 1
-        path, sure = self.tags(rows)
-        k = 0
+        score = self.scores(rows)
+        inward = np.minimum(np.arange(T.LENGTH) + 1, np.arange(T.LENGTH, 0, -1)).astype(float)
+        pieces, k = [], 0
         for (d, a, _, x), s in zip(todo, starts, strict=True):
-            n = len(x)
-            tag, p = np.zeros(n, np.int64), np.zeros(n)
-            for i, at in enumerate(s):  # of two windows, the nearer middle
-                lo = at if i == 0 else at + half // 2
-                hi = n if i == len(s) - 1 else at + half + half // 2
-                hi = min(hi, n)
-                tag[lo:hi], p[lo:hi] = path[k + i, lo - at : hi - at], sure[k + i, lo - at : hi - at]
+            total, weight = np.zeros((len(x), T.TAGS)), np.zeros(len(x))
+            for i, at in enumerate(s):
+                n = min(T.LENGTH, len(x) - at)
+                total[at : at + n] += inward[:n, None] * score[k + i, :n]
+                weight[at : at + n] += inward[:n]
             k += len(s)
-            i, text = 0, texts[d]
-            while i < n:
-                t = int(tag[i])
-                if not t:
-                    i += 1
-                    continue
-                kind, j = (t - 1) // 2, i + 1
-                while j < n and tag[j] == 2 + 2 * kind:
-                    j += 1
-                if p[i:j].min() >= self.sure and plausible(T.KINDS[kind], text[a + i : a + j]):
-                    left, right = text[a + i - 1 : a + i] if a + i else "", text[a + j : a + j + 1]
-                    if not (left.isalnum() or right.isalnum()):
-                        out[d].append((T.KINDS[kind], a + i, a + j))
-                i = j
+            total /= weight[:, None]
+            while len(total) > LONG:
+                outside = total[LONG - T.LENGTH : LONG, 0] - total[LONG - T.LENGTH : LONG, 1:].max(1)
+                cut = LONG - T.LENGTH + int(outside.argmax()) + 1
+                pieces.append((d, a, total[:cut]))
+                a, total = a + cut, total[cut:]
+            pieces.append((d, a, total))
+        pieces.sort(key=lambda p: len(p[2]))
+        while pieces:  # pieces of about one length are decoded together
+            longest = len(pieces[-1][2])
+            n = next((i for i in range(1, len(pieces)) if (i + 1) * longest > 1 << 16 or len(pieces[-1 - i][2]) < 0.7 * longest), len(pieces))
+            some, pieces = pieces[-n:], pieces[:-n]
+            padded = np.full((n, longest, T.TAGS), -20.0)
+            padded[:, :, 0] = 20.0
+            for row, (_, _, x) in zip(padded, some, strict=True):
+                row[: len(x)] = x
+            for (d, a, x), path, sure in zip(some, *self.paths(padded), strict=True):
+                out[d] += self._read(texts[d], a, path[: len(x)], sure[: len(x)])
+
+    def _read(self, text: str, a: int, tag: np.ndarray, p: np.ndarray) -> Iterator[tuple[str, int, int]]:
+        """The plausible spans of a path that begins at place a of the text."""
+        begins = np.flatnonzero(tag % 2 == 1)
+        for i in begins.tolist():
+            kind, j = (int(tag[i]) - 1) // 2, i + 1
+            while j < len(tag) and tag[j] == 2 + 2 * kind:
+                j += 1
+            if p[i:j].min() >= self.sure and plausible(T.KINDS[kind], text[a + i : a + j]):
+                left, right = text[a + i - 1 : a + i] if a + i else "", text[a + j : a + j + 1]
+                if not (left.isalnum() or right.isalnum()):
+                    yield T.KINDS[kind], a + i, a + j
 
 
 def written(spans: list[tuple[str, int, int]]) -> str:

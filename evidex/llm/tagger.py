@@ -13,7 +13,7 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)
 HIDDEN, LENGTH = 16, 96
 #: Labelled windows, passes over them, windows a step, rate of Adam, seed.
-WINDOWS, PASSES, BATCH, RATE, SEED = 3000, 10, 48, 0.02, 7
+WINDOWS, PASSES, BATCH, RATE, SEED = 4500, 9, 48, 0.02, 7
 #: Characters: padding, each printable ASCII character, white space, other letters, others.
 SIZE = 1 + 95 + 3
 _ASCII = np.full(128, 98)
@@ -143,7 +143,7 @@ def gradient(p: Weights, x: np.ndarray, y: np.ndarray) -> tuple[float, Weights]:
 
 def _word(r: random.Random) -> str:
     parts = r.choice((("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha"), ("en", "er", "ch", "ei", "un", "ge", "st", "ü", "ß", "lich"), ("é", "è", "que", "ou", "ai", "le", "ment", "tion"), ("ción", "es", "o", "a", "ñ", "ar", "mente")))
-    w = "".join(r.choices(parts, k=r.randint(1, 4)))
+    w = _name(r) if r.random() < 0.2 else "".join(r.choices(parts, k=r.randint(1, 4)))
     w = w.capitalize() if r.random() < 0.1 else w.upper() if r.random() < 0.05 else w
     return w + r.choice(("", "", "", "", "", ",", ".", ":", "!!", "%%%", ")"))
 
@@ -153,7 +153,11 @@ def _digits(r: random.Random, n: int) -> str:
 
 
 def _name(r: random.Random) -> str:
-    return "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9)))
+    """Letters at random or consonants and vowels in turn, as names and hosts have them."""
+    if r.random() < 0.4:
+        return "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9)))
+    ends = "bcdfghjklmnprstvwxz"
+    return "".join(r.choice(("", "", "s", "st", "m")) + r.choice(ends) + r.choice(("a", "e", "i", "o", "u", "ai", "ee", "y")) for _ in range(r.randint(1, 3))) + r.choice(("", "n", "th", "r", "l", "x", "ple"))
 
 
 def example(r: random.Random, kind: str) -> str:
@@ -161,8 +165,11 @@ def example(r: random.Random, kind: str) -> str:
     if kind == "email":
         local = r.choice(("{a}.{b}", "{a}", "{a}{n}", "{a}_{b}", "{a}.{n}", "{a}+{b}")).format(a=_name(r), b=_name(r), n=r.randint(1, 99))
         host = ".".join([_name(r) + r.choice(("", "", str(r.randint(1, 9)))), *([_name(r)] if r.random() < 0.4 else []), r.choice(("com", "org", "net", "de", "fr", "es", "io"))])
-        at = r.choice(("@", "@", "@", " @ ", "(@)", "[@]"))
-        return local + at + (host if r.random() < 0.75 else host.replace(".", r.choice((" dot ", "(dot)", "[.]", " . "))))
+        if r.random() < 0.55:
+            at = r.choice(("@", "@", "@", " @ ", "(@)", "[@]"))
+            return local + at + (host if r.random() < 0.75 else host.replace(".", r.choice((" dot ", "(dot)", "[.]", " . "))))
+        at, dot = r.choice(((" at ", " dot "), (" at ", " dot "), (" (at) ", " (dot) "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" AT ", " DOT "), (" (at) ", "."), ("[at]", ".")))
+        return (local.replace(".", dot) if r.random() < 0.3 else local) + at + host.replace(".", dot)
     if kind == "ip":
         parts = [str(r.randint(0, 255)) for _ in range(4)]
         return r.choice((".", ".", ".", "[.]", "(.)", " . ")).join(parts)
@@ -180,6 +187,7 @@ def decoy(r: random.Random) -> str:
     return r.choice((
         f'token = "{hexes}"', hexes, f"{r.randint(1, 9)}.{r.randint(0, 9)}", f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}", str(r.randint(0, 99999)), _digits(r, r.randint(5, 9)), _digits(r, r.randint(20, 30)),
         f"{r.randint(1900, 2040)}-{r.randint(1, 12):02}-{r.randint(1, 31):02}", f"{r.randint(1, 31)}/{r.randint(1, 12)}/{r.randint(1900, 2040)}", f"{r.randint(0, 23):02}:{r.randint(0, 59):02}", f"{r.randint(1, 999)},{_digits(r, 3)}.{_digits(r, 2)}", f"${r.randint(1, 9999)}", f"{r.randint(1, 100)}%",
+        f"{_name(r)} at {_name(r)}", f"look at {_name(r)}.{_name(r)}", f"at the dot of {_name(r)}", f"the {_name(r)} dot,", f"(at {_name(r)})", f"see {_name(r)}.com at once",
         f"@{_name(r)}", f"https://{_name(r)}.com/en/{r.randint(1, 999)}.html?page={r.randint(1, 9)}", f"CC BY-NC {r.randint(1, 4)}.0", f"version {r.randint(1, 9)}", f"[{r.randint(1, 99)}]", f"{_name(r)}{r.randint(1, 99)}", f"{r.randint(1000, 9999)} {r.randint(1000, 9999)}", f"0x{hexes[:8]}", f"{hexes[:8]}-{hexes[1:5]}-{hexes[2:6]}-{hexes[3:7]}-{hexes[4:12]}"[:36],
     ))
 

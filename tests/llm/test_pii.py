@@ -80,7 +80,8 @@ def spans_of(tags):
 
 def test_held_out_spans(weights):
     x, y = tagger.labelled(300, 99)
-    path, sure = pii.Tagger(weights).tags(x)
+    t = pii.Tagger(weights)
+    path, sure = t.paths(t.scores(x))
     want = spans_of(y)
     got = {s for s in spans_of(path) if sure[s[0], s[2] : s[3]].min() >= pii.SURE}
     assert len(got & want) / len(got) > 0.95 and len(got & want) / len(want) > 0.75
@@ -94,6 +95,44 @@ def test_windows_are_joined_in_long_texts(weights):
     assert t.spans(["", "no digits at all", "On 2024-01-05 version 4.0.12 of 123456 items", 'token = "c80fd45a66f8564ae70609f7b2a26100e64e830e"']) == [[]] * 4
 
 
+def test_addresses_that_are_written_out(weights):
+    t = pii.Tagger(weights)
+    said = ["john.smith at example dot com", "john (at) example (dot) org", "mary_jones[at]server[dot]net", "kim88 AT mail DOT de", "anna.b (at) firma.de"]
+    texts = [f"words and more of them, write to {s} for the rest" for s in said]
+    found = [[text[a:b] for k, a, b in spans if k == "email"] for text, spans in zip(texts, t.spans(texts), strict=True)]
+    assert sum(f == [s] for f, s in zip(found, said, strict=True)) >= 4, found
+    assert t.spans(["We met at noon. The dot is small.", "look at this.example and at the dot", "at home (at last) dot dot dot", "He was at work.And then"]) == [[]] * 4
+
+
+def test_the_gate_costs_no_span(weights):
+    """Held-out labelled texts, tagged as a whole and in the stretches around anchors: every kind is found as often."""
+    r = random.Random(321)
+    texts, want = [], []
+    for i in range(200):
+        kind = tagger.KINDS[i % 4]
+        s, before, after = tagger.example(r, kind), " ".join(tagger._word(r) for _ in range(40)), " ".join(tagger._word(r) for _ in range(40))
+        texts.append(f"{before} {s} {after}")
+        want.append((kind, len(before) + 1, len(before) + 1 + len(s)))
+    t = pii.Tagger(weights)
+    gated = t.spans(texts)
+    whole: list = [[] for _ in texts]
+    t._decode(texts, [(d, 0, len(x), tagger.codes(x)) for d, x in enumerate(texts)], whole)
+    assert all(any(a <= s[1] and s[2] <= b for a, b in pii.stretches(x)) for x, s in zip(texts, want, strict=True))
+    hit = [sum(s in got for s, got in zip(want, some, strict=True)) for some in (gated, whole)]
+    assert hit[0] >= hit[1] - 3 and hit[0] > 120
+    assert sum(len(set(g) - {s}) for g, s in zip(gated, want, strict=True)) <= 10
+
+
+def test_one_path_over_a_long_stretch(weights, monkeypatch):
+    t = pii.Tagger(weights)
+    text = " ".join(f"item {i} call (559) 555-38{i:02}" if i % 5 == 0 else f"number {i}" for i in range(60))
+    whole = t.spans([text])
+    assert sum(k == "phone" for k, _, _ in whole[0]) >= 10
+    monkeypatch.setattr(pii, "LONG", 200)
+    cut = t.spans([text])
+    assert len(set(cut[0]) ^ set(whole[0])) <= 1
+
+
 def test_odd_documents(spark, odd_docs, odd_rows, no_docs, weights):
     extra = [(50, "a.b@c.de and +1 (559) 555-3817, 10.0.0.1; 4111 1111 1111 1111"), (51, "é" * 1000 + " x@y.z " * 3)]
     docs = odd_docs.select("doc_id", "text", "f").union(spark.createDataFrame([(*r, "c") for r in extra], "doc_id long, text string, f string"))
