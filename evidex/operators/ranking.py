@@ -172,8 +172,8 @@ def kept_clauses(clauses: DataFrame, k: int = 2) -> DataFrame:
 def term_likeness(terms: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """doc_id, left, right, likeness: symmetric BM25 of a document's clauses, v / (1 + v).
 
-    ``terms``: doc_id, i, term, tf. Clauses meet on shared terms; a term of a third of them is left to them alone,
-    as its weight is next to nothing, only if ``terms`` was cut so before.
+    ``terms``: doc_id, i, term, tf. Clauses meet on shared terms, all of them, by an equi-join on document and term; the
+    matrix of a document has as many cells as pairs of its clauses that share one.
     """
     size = terms.groupBy("doc_id", "i").agg(F.sum("tf").alias("len"))
     doc = size.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))

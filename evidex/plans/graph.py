@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
@@ -10,20 +10,22 @@ from ..session import table
 from ..sources.text import blocks
 from .search import BLOCKS_SQL
 
-# Suppliers stand for modules: one imports another if a part comes from both, the next larger supplier of the part.
-_EDGES = """e AS (
-  SELECT DISTINCT l_suppkey AS source, nxt AS target FROM (
-    SELECT l_suppkey, lead(l_suppkey) OVER (PARTITION BY l_partkey % 40 ORDER BY l_orderkey, l_linenumber, l_suppkey) AS nxt
-    FROM lineitem WHERE l_quantity >= 50 AND l_orderkey % 8 = 0)
-  WHERE nxt IS NOT NULL AND nxt <> l_suppkey)"""
+# Suppliers stand for modules: each imports the IMPORTS suppliers that come most often after it in an order, over all rows of lineitem.
+IMPORTS = 3
+_EDGES = f"""e AS (
+  SELECT source, target FROM (
+    SELECT source, target, count(*) AS n FROM (
+      SELECT l_suppkey AS source, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS target FROM lineitem)
+    WHERE target IS NOT NULL AND target <> source GROUP BY source, target)
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, target) <= {IMPORTS})"""
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_orderkey % 8 = 0")
-    nxt = F.lead("l_suppkey").over(Window.partitionBy(F.col("l_partkey") % 40).orderBy("l_orderkey", "l_linenumber", "l_suppkey"))
-    return rows.select(F.col("l_suppkey").alias("source"), nxt.alias("target")).where("target is not null and target <> source").distinct()
+    rows = table(spark, sf_dir, "lineitem")
+    after = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    pairs = rows.select(F.col("l_suppkey").alias("source"), after.alias("target")).where("target is not null and target <> source").groupBy("source", "target").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "target"))
+    return pairs.withColumn("place", place).where(F.col("place") <= IMPORTS).select("source", "target")
 
 
 def ctx06_bounded_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:

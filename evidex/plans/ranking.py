@@ -38,8 +38,8 @@ _LATIN, _HAN = "abcdefghijklmnopqrstuvwxyz", "一乙二十丁七卜八人入儿
 
 
 def agg06_new_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beginnings of lines, their Latin letters written as Han characters."""
-    rows = _blocks(spark, sf_dir).select("doc_id", "pos", F.translate(F.lower(F.substring("body", 1, 60)), _LATIN, _HAN).alias("t"))
+    """Whole lines, their Latin letters written as Han characters."""
+    rows = _blocks(spark, sf_dir).select("doc_id", "pos", F.translate(F.lower("body"), _LATIN, _HAN).alias("t"))
     found = K.new_words(rows.select("doc_id", "pos", F.inline(K.grams("t", 2, 4))))
     return found.select("doc_id", F.col("rank").cast("long"), "term", "freq", "support", "left_entropy", "right_entropy", "score")
 
@@ -111,10 +111,8 @@ def sum10_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sum07_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of terms that occur in two to eight clauses of a document; more common ones tell clauses apart little."""
     t = _blocks(spark, sf_dir).select("doc_id", F.col("pos").alias("i"), F.explode(F.regexp_extract_all(F.lower("body"), F.lit(f"({T.TERM})"), 1)).alias("term")).groupBy("doc_id", "i", "term").agg(F.count("*").alias("tf"))
-    df = t.groupBy("doc_id", "term").agg(F.count("*").alias("n")).where("n between 2 and 8").drop("n")
-    return K.term_likeness(t.join(df, ["doc_id", "term"], "left_semi"))
+    return K.term_likeness(t)
 
 
 def sum02_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,9 +247,9 @@ ORACLE = {
     "agg04_thresholds": f"""WITH {_B}, g AS (SELECT doc_id, count(*) AS l, sum(n) AS c FROM b GROUP BY doc_id)
         SELECT doc_id, (CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN greatest(1, ceil(l * 0.05e0)) WHEN 2 THEN greatest(2, ceil(l * 0.03e0)) ELSE CASE WHEN c < 1000 THEN greatest(1, ceil(l * 0.01e0)) ELSE greatest(3, ceil(l * 0.01e0)) END END)::BIGINT AS min_support,
           (CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN greatest(2, ceil(c / 2000e0)) WHEN 2 THEN greatest(2, ceil(c / 3000e0)) ELSE CASE WHEN c < 1000 THEN 2 ELSE greatest(5, ceil(c / 5000e0)) END END)::BIGINT AS min_freq FROM g""",
-    "agg06_new_words": f"""WITH {_B}, t AS (SELECT doc_id, pos, unnest(regexp_split_to_array(translate(lower(substring(body, 1, 60)), '{_LATIN}', '{_HAN}'), '[，。！？；：、,.!?;:\\n\\r\\t ]+')) AS s FROM b),
+    "agg06_new_words": f"""WITH {_B}, t AS (SELECT doc_id, pos, unnest(regexp_split_to_array(translate(lower(body), '{_LATIN}', '{_HAN}'), '[，。！？；：、,.!?;:\\n\\r\\t ]+')) AS s FROM b),
         r AS (SELECT doc_id, pos, regexp_replace(s, '[^一-鿿]', '', 'g') AS s FROM t),
-        g AS (SELECT doc_id, pos, s, i, k FROM r, range(1, 60) a(i), range(2, 5) z(k) WHERE i + k - 1 <= length(s)),
+        g AS (SELECT doc_id, pos, s, i, k FROM (SELECT *, unnest(range(1, length(s))) AS i FROM r), range(2, 5) z(k) WHERE i + k - 1 <= length(s)),
         o AS (SELECT doc_id, pos, substring(s, i, k) AS term, CASE WHEN i > 1 THEN s[i - 1] ELSE '<BOS>' END AS lf, CASE WHEN i + k <= length(s) THEN s[i + k] ELSE '<EOS>' END AS rt FROM g),
         f AS (SELECT doc_id, term, count(*) AS freq, count(DISTINCT pos) AS support FROM o GROUP BY ALL HAVING count(*) >= 2),
         l AS (SELECT doc_id, term, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS le FROM (SELECT doc_id, term, lf, count(*) AS n FROM o GROUP BY ALL) GROUP BY ALL),
@@ -307,7 +305,7 @@ ORACLE = {
         SELECT source, count(*) AS n_hits FROM blocks JOIN documents USING (doc_id) JOIN top USING (source) WHERE contains(lower(body), 'tion') GROUP BY source""",
     "sum02_assembly": f"""WITH {_B}, u AS (SELECT doc_id, body, min(pos) AS pos FROM b GROUP BY ALL), s AS (SELECT doc_id, pos, length(body) AS n, coalesce(sum(length(body) + 2) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM u)
         SELECT doc_id, pos, start, start + n AS "end" FROM s""",
-    "sum07_likeness": f"""WITH {LEAVES_SQL}, d AS (SELECT doc_id, term, count(*) AS df FROM leaves GROUP BY ALL HAVING count(*) BETWEEN 2 AND 8), t AS (SELECT doc_id, pos AS i, term, tf, df FROM leaves JOIN d USING (doc_id, term)),
+    "sum07_likeness": f"""WITH {LEAVES_SQL}, d AS (SELECT doc_id, term, count(*) AS df FROM leaves GROUP BY ALL), t AS (SELECT doc_id, pos AS i, term, tf, df FROM leaves JOIN d USING (doc_id, term)),
         z AS (SELECT doc_id, i, sum(tf) AS len FROM t GROUP BY ALL), q AS (SELECT doc_id, count(*) AS n, avg(len) AS mean FROM z GROUP BY doc_id),
         p AS (SELECT doc_id, term, i, ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * len / mean)) AS p FROM t JOIN z USING (doc_id, i) JOIN q USING (doc_id)),
         v AS (SELECT x.doc_id, x.i AS "left", y.i AS "right", sum((x.p + y.p) / 2) AS v FROM p x JOIN p y ON x.doc_id = y.doc_id AND x.term = y.term AND x.i < y.i GROUP BY ALL)

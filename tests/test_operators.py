@@ -105,3 +105,23 @@ def test_summaries():
     w = summary.likeness(summary.incidence(texts))
     rank = summary.page_rank(w)
     assert abs(rank.sum() - 1) < 1e-6 and (w == w.T).all()
+
+
+def test_cycles_against_reachability(spark):
+    """Several components, tails, chains between components, a loop of one node, and a random graph."""
+    r = random.Random(3)
+    graphs = [
+        [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (5, 6), (6, 6), (7, 1), (6, 8)], [(2, 1), (1, 2), (0, 1)], [(1, 1)], [(1, 2)], [],
+        [(r.randrange(60), r.randrange(60)) for _ in range(70)], [(i, (i + 1) % 40) for i in range(40)],
+    ]
+    for edges in graphs:
+        reach = {a: {b for x, b in edges if x == a} for a in {x for e in edges for x in e}}
+        for _ in reach:
+            reach = {a: own | {c for b in own for c in reach[b]} for a, own in reach.items()}
+        want = set()
+        for a, own in reach.items():
+            if a in own:
+                component = {b for b in own if a in reach[b]}
+                want.add((a, min(component), len(component)))
+        got = {tuple(x) for x in graph.cycles(spark.createDataFrame(edges, "source long, target long")).collect()}
+        assert got == want
