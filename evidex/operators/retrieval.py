@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import functools
+import hashlib
+import itertools
+import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,35 +93,126 @@ def first_fit(rows: DataFrame, key: str, budget: int, schema: str) -> DataFrame:
     return rows.groupBy(key).applyInPandas(run, f"{schema}, status string")
 
 
+# Share of relevance against repetition, least factor of a fit to the intent, power of the cost.
+RELEVANCE, LEAST_INTENT, COST_POWER = 0.75, 0.25, 0.15
+
+
 def mmr(rows: DataFrame, key: str, budget: int, schema: str) -> DataFrame:
-    """Maximal marginal relevance under a token cap over few rows a key: id, score, cost, simhash (long)."""
+    """Maximal marginal relevance under a token cap: id, score, cost, simhash (long, 64 bits), and, if there, coverage and intent (factors) a row.
+
+    The next row is, of those that still fit, the one of the highest utility; ties go to the higher score, then the smaller id.
+    A group is the hits of one ``key``; likeness to what is chosen is kept as one number a row.
+    """
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        left, chosen, spent = df.sort_values(["score", "id"], ascending=[False, True]).to_dict("records"), [], 0
-        while left:
-            def value(r: dict) -> float:
-                near = max((1 - ((int(r["simhash"]) ^ int(c["simhash"])) & ((1 << 64) - 1)).bit_count() / 64 for c in chosen), default=0.0)
-                return (0.75 * r["score"] - 0.25 * near) / (1 + r["cost"]) ** 0.15
-
-            best = max(left, key=lambda r: (value(r), -r["id"]))
-            left.remove(best)
-            if spent + best["cost"] <= budget:
-                spent += best["cost"]
-                chosen.append(best | {"place": len(chosen) + 1})
-        return pd.DataFrame(chosen, columns=[*df.columns, "place"])
+        df = df.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
+        cost, marks = np.maximum(df["cost"].to_numpy(float), 1), df["simhash"].to_numpy(np.int64).view(np.uint64)
+        relevant = df["score"].to_numpy(float) / (df["score"].max() or 1.0)
+        given = lambda c: df[c].to_numpy(float) if c in df else np.ones(len(df))
+        factor = given("coverage") * np.maximum(LEAST_INTENT, given("intent")) / (1 + cost) ** COST_POWER
+        near, free, spent, chosen = np.zeros(len(df)), np.ones(len(df), bool), 0.0, []
+        while (fits := free & (spent + cost <= budget)).any():
+            utility = np.where(fits, (RELEVANCE * relevant - (1 - RELEVANCE) * near) * factor, -np.inf)
+            best = int(utility.argmax())  # rows are in order of ties
+            chosen.append(best)
+            free[best] = False
+            spent += cost[best]
+            near = np.maximum(near, 1 - np.bitwise_count(marks ^ marks[best]) / 64)
+        out = df.iloc[chosen].copy()
+        out["place"] = range(1, len(out) + 1)
+        return out
 
     return rows.groupBy(key).applyInPandas(run, schema)
 
 
-def near_pairs(rows: DataFrame, bits: int = 32, most: int = 3) -> DataFrame:
-    """a, b (a < b) of ids whose ``simhash`` differ in at most ``most`` bits: an equal band of most + 1, then the count."""
+def near_pairs(rows: DataFrame, bits: int = 32, most: int = 3, within: Sequence[str] = (), agree: Column | None = None) -> DataFrame:
+    """a, b (a < b) of ids whose ``simhash`` differ in at most ``most`` bits: an equal band of most + 1, then the count.
+
+    Pairs are looked for among rows with the same ``within`` (columns); ``agree`` is what else must hold of a pair, as a
+    condition on columns of ``rows`` with a_ and b_ before their names.
+    """
     width = bits // (most + 1)
-    band = lambda i: F.struct(F.lit(i).alias("band"), F.shiftright("simhash", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v"))
-    banded = rows.select("id", "simhash", F.explode(F.array(*map(band, range(most + 1)))).alias("x")).select("id", "simhash", "x.band", "x.v")
-    a, b = banded.alias("a"), banded.alias("b")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.id") < F.col("b.id")))
-    near = pairs.where(F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))) <= most)
-    return near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    band = lambda i: F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("simhash", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v"))
+    keys = [*within, "band", "v"]
+    banded = rows.select("*", F.explode(F.array(*map(band, range(most + 1)))).alias("x")).select(*rows.columns, "x.band", "x.v")
+    side = lambda n: banded.select(*[F.col(c).alias(c if c in keys else f"{n}_{c}") for c in banded.columns])
+    pairs = side("a").join(side("b"), keys).where("a_id < b_id")
+    near = pairs.where(F.bit_count(F.col("a_simhash").bitwiseXOR(F.col("b_simhash"))) <= most)
+    near = near if agree is None else near.where(agree)
+    return near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+
+
+# Width of feature vectors, weight of a number, least similarity of a neighbour.
+DIMENSIONS, NUMBER, NEAREST = 192, 4, 0.08
+_TOKENS = re.compile(r"[a-z0-9_+\-]+|[\u4e00-\u9fff]+")
+
+
+def feature_vector(text: str) -> np.ndarray:
+    """A vector of length one (or zero) from hashed features: words, numbers, pairs of Han characters, threes of Latin letters."""
+    out = np.zeros(DIMENSIONS)
+    features: Counter[str] = Counter()
+    for token in _TOKENS.findall(text.casefold()):
+        features[f"w:{token}"] += 1
+        if token.isdigit():
+            features[f"n:{token}"] += NUMBER
+        letters = token.replace("_", "").replace("-", "")
+        size = 2 if letters and all("\u4e00" <= c <= "\u9fff" for c in letters) else 3
+        if size == 2 or len(letters) >= 4:
+            features.update(f"c{size}:{letters[i : i + size]}" for i in range(len(letters) - size + 1))
+    for name, n in features.items():
+        h = hashlib.blake2b(name.encode(), digest_size=8).digest()
+        out[int.from_bytes(h[:4], "little") % DIMENSIONS] += n if h[4] & 1 else -n
+    size = np.sqrt((out * out).sum())
+    return out / size if size else out
+
+
+def feature_vectors(text: Column) -> Column:
+    """feature_vector() of a column, array<double>; null: zero."""
+
+    @F.pandas_udf("array<double>")
+    def run(t: pd.Series) -> pd.Series:
+        return t.fillna("").map(lambda x: feature_vector(x).tolist())
+
+    return run(text)
+
+
+#: Queries that are compared with a batch of rows at once, and sent to the executors at once.
+QUERIES_AT_ONCE = 4096
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0) -> DataFrame:
+    """query_id, id, similarity, rank: for each of a stated set of ``queries`` (id, v) the k nearest of all ``vectors`` (id, v) by cosine.
+
+    The queries come in blocks of QUERIES_AT_ONCE; each task keeps the k best of its rows for a query, and only these are shuffled, so a row
+    takes no part in the shuffle unless it is among them. A row is no neighbour of itself; ``least`` is the least similarity.
+    """
+    spark, parts, todo = vectors.sparkSession, [], queries.select("id", "v").toLocalIterator()
+    while block := list(itertools.islice(todo, QUERIES_AT_ONCE)):
+        ids = np.array([r.id for r in block], np.int64)
+        q = np.array([r.v for r in block], float)
+        q /= np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
+        sent = spark.sparkContext.broadcast((ids, q))
+
+        def run(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            ids, q = sent.value
+            best, of = np.full((len(ids), 0), -2.0), np.zeros((len(ids), 0), np.int64)
+            for b in it:
+                own = b.column(0).to_numpy()
+                v = np.array(b.column(1).to_pylist(), float).reshape(len(own), -1)
+                if not len(own):
+                    continue
+                s = np.round(q @ (v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)).T, 6)
+                s[ids[:, None] == own] = -2
+                best, of = np.concatenate((best, s), 1), np.concatenate((of, np.broadcast_to(own, s.shape)), 1)
+                keep = np.lexsort((of, -best), 1)[:, :k]
+                best, of = np.take_along_axis(best, keep, 1), np.take_along_axis(of, keep, 1)
+            at, j = np.nonzero(best >= max(least, -1.5))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(of[at, j]), pa.array(best[at, j])], names=["query_id", "id", "similarity"])
+
+        parts.append(vectors.select("id", "v").mapInArrow(run, "query_id long, id long, similarity double"))
+    found = functools.reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "query_id long, id long, similarity double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str, width: int) -> DataFrame:

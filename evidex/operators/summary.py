@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DAMPING, STEPS, TOLERANCE, CANDIDATES = 0.85, 50, 1e-4, 256
+from .ranking import discourse, signal_score
+
+# The ranking of sentences; weights of relevance, coverage, novelty and signals in the choice, of centrality in relevance;
+# likeness from which a sentence repeats one that is chosen, least value of a choice; weights of the proxy that bounds candidates.
+DAMPING, STEPS, TOLERANCE = 0.85, 50, 1e-4
+CHOICE, CENTRALITY, REPEATS, LEAST = (0.50, 0.25, 0.15, 0.10), 0.80, 0.8, 0.35
+PROXY = (0.60, 0.30, 0.10)
+TERMS = re.compile(r"[a-z][a-z0-9_+-]+|[\u4e00-\u9fff]+")
+
+
+def most_candidates(k: int) -> int:
+    return max(256, min(1024, 2 * k))
 
 
 def sentences(blocks: DataFrame) -> DataFrame:
@@ -17,22 +30,27 @@ def sentences(blocks: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "k")).cast("long")).select("doc_id", "n", "sentence")
 
 
-def incidence(texts: list[str]) -> np.ndarray:
-    """Which terms (columns) each text (row) has, as 0 and 1."""
-    terms = [set(t.lower().split()) for t in texts]
-    names = {t: i for i, t in enumerate(sorted(set().union(*terms)))}
-    m = np.zeros((len(terms), len(names)), np.float32)
-    for i, own in enumerate(terms):
-        m[i, [names[t] for t in own]] = 1
-    return m
+def portable_terms(text: str) -> list[str]:
+    """Latin tokens; single Han characters and pairs of them."""
+    out = []
+    for t in TERMS.findall(text.lower()):
+        out += [t] if t.isascii() else [*t, *(t[i : i + 2] for i in range(len(t) - 1))]
+    return out
 
 
-def likeness(m: np.ndarray) -> np.ndarray:
-    """Shared terms over the logarithms of both sizes; nothing on the diagonal."""
-    n = np.log1p(m.sum(1, dtype=np.float64))
-    out = (m @ m.T).astype(np.float64) / np.maximum(n[:, None] + n[None, :], 1e-9)
-    np.fill_diagonal(out, 0)
-    return out
+def likeness(texts: list[str], k1: float = 1.2, b: float = 0.75) -> np.ndarray:
+    """Symmetric BM25 of each two texts on the terms they share, v / (1 + v); nothing on the diagonal."""
+    terms = [portable_terms(t) for t in texts]
+    names = {t: i for i, t in enumerate(dict.fromkeys(t for own in terms for t in own))}
+    tf = np.zeros((len(texts), len(names)))
+    np.add.at(tf, (np.repeat(np.arange(len(terms)), [len(t) for t in terms]), [names[t] for own in terms for t in own]), 1)
+    has, size = (tf > 0).astype(float), tf.sum(1, keepdims=True)
+    df = has.sum(0)
+    part = np.log(1 + (len(texts) - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / max(size.mean(), 1e-9)) + (tf == 0))
+    v = part @ has.T
+    v = (v + v.T) / 2
+    np.fill_diagonal(v, 0)
+    return v / (1 + v)
 
 
 def page_rank(weights: np.ndarray) -> np.ndarray:
@@ -49,45 +67,55 @@ def page_rank(weights: np.ndarray) -> np.ndarray:
     return rank
 
 
-def choose(texts: list[str], k: int) -> list[int]:
-    """Places of the k sentences of the best mix of rank, new terms and novelty, in order of the text."""
-    m = incidence(texts)
-    rank = page_rank(likeness(m))
-    rank = rank / rank.max()
-    both, n = (m @ m.T).astype(np.float64), m.sum(1, dtype=np.float64)
-    alike = both / np.maximum(n[:, None] + n[None, :] - both, 1)
+def choose(texts: list[str], told: np.ndarray, signal: np.ndarray, k: int) -> list[int]:
+    """Places of up to k sentences, in order of the text, taken one at a time by relevance, what they cover, novelty and signals.
+
+    ``told``: the discourse score of each, below which its relevance does not fall. What a sentence covers is the mean
+    rise, over all sentences, of the greatest likeness to one that is chosen.
+    """
+    alike = likeness(texts)
+    rank = page_rank(alike)
+    relevance = np.clip(np.maximum(CENTRALITY * rank / max(rank.max(), 1e-6), told), 0, 1)
+    reach = alike + np.eye(len(texts))
+    covered, near, free = np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)
     chosen: list[int] = []
-    unseen, near = np.ones(m.shape[1], np.float32), np.zeros(len(m))
     while len(chosen) < min(k, len(texts)):
-        value = 0.6 * rank + 0.25 * (m @ unseen) / max(1, m.shape[1]) + 0.15 * (1 - near)
-        value[near >= 0.8] = -1
-        value[chosen] = -1
+        gain = np.maximum(reach - covered, 0).mean(1)
+        value = np.clip(np.stack((relevance, gain, 1 - near, signal), 1) @ CHOICE, 0, 1)
+        value[~free | (near >= REPEATS) | (value < LEAST)] = -1
         best = int(value.argmax())
         if value[best] < 0:
             break
         chosen.append(best)
-        unseen[m[best] > 0] = 0
-        near = np.maximum(near, alike[best])
+        free[best] = False
+        covered, near = np.maximum(covered, reach[best]), np.maximum(near, alike[best])
     return sorted(chosen)
 
 
+def candidates(rows: DataFrame, most: int) -> DataFrame:
+    """Of documents with more than ``most`` sentences (doc_id, n from 1, sentence, told, signal) three quarters of that by a proxy
+    of their value, and a quarter evenly spaced from the first to the last; adds ``of``, how many there were."""
+    own, few, spread = Window.partitionBy("doc_id"), most * 3 // 4, most - most * 3 // 4
+    proxy = PROXY[0] * F.col("told") + PROXY[1] * F.col("signal") + PROXY[2] * F.least(F.length("sentence"), F.lit(100)) / 100
+    rows = rows.withColumn("of", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy(F.desc(proxy), "n")))
+    # The k-th of ``spread`` places is k (of - 1) / (spread - 1), rounded down: a place is one if the next k leads back to it.
+    step = F.expr(f"((n - 1) * {spread - 1} + of - 2) div greatest(1, of - 1)")
+    even = F.expr("n - 1") == F.floor(step * (F.col("of") - 1) / (spread - 1))
+    return rows.where((F.col("of") <= most) | (F.col("place") <= few) | even).drop("place")
+
+
 def summaries(blocks: DataFrame, k: int = 3) -> DataFrame:
     """doc_id, n, sentence of each document's summary, and the document's number of sentences.
 
-    A document's candidates are bounded before they meet in one group: of more than CANDIDATES
-    sentences, the longest three quarters and a quarter evenly spaced.
+    A document's candidates are bounded (candidates()) before they meet in one group, so its matrix is bounded, too.
     """
-    rows = sentences(blocks)
-    own = Window.partitionBy("doc_id")
-    rows = rows.withColumn("of", F.count("*").over(own)).withColumn("by_length", F.row_number().over(own.orderBy(F.desc(F.length("sentence")), "n")))
-    spaced = (F.col("n") % F.greatest(F.lit(1), F.ceil(F.col("of") / (CANDIDATES // 4)))) == 0
-    rows = rows.where((F.col("of") <= CANDIDATES) | (F.col("by_length") <= CANDIDATES * 3 // 4) | spaced)
+    rows = sentences(blocks).withColumn("told", discourse(F.col("sentence"))).withColumn("signal", signal_score(F.col("sentence")))
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("n")
-        return df.iloc[choose(df["sentence"].tolist(), k)][["doc_id", "n", "sentence", "of"]]
+        return df.iloc[choose(df["sentence"].tolist(), df["told"].to_numpy(), df["signal"].to_numpy(), k)][["doc_id", "n", "sentence", "of"]]
 
-    return rows.groupBy("doc_id").applyInPandas(run, "doc_id long, n long, sentence string, of long")
+    return candidates(rows, most_candidates(k)).groupBy("doc_id").applyInPandas(run, "doc_id long, n long, sentence string, of long")
 
 
 def markdown_blocks(lines: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TERM = r"[a-z][a-z0-9_+-]+"
@@ -37,14 +39,14 @@ def document_frequency(leaves: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("term", "df", "docs", F.round(F.log(1 + (F.col("n") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 
-def follower_entropy(blocks: DataFrame) -> DataFrame:
-    """Entropy of what follows each term (the next term, or <EOS> at the end of its block)."""
+def follower_entropy(blocks: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, term, tf and the entropy of what follows the term (the next term, or <EOS> at the end of its block)."""
     words = F.regexp_extract_all(F.lower("body"), F.lit(f"({TERM})"), 1)
     after = F.concat(F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))), F.array(F.lit("<EOS>")))
-    pairs = blocks.select(words.alias("w")).select(F.inline(F.zip_with("w", after, lambda t, n: F.struct(t.alias("term"), n.alias("next"))))).where("term is not null")
-    n = pairs.groupBy("term", "next").agg(F.count("*").alias("n"))
+    pairs = blocks.select(*keys, words.alias("w")).select(*keys, F.inline(F.zip_with("w", after, lambda t, n: F.struct(t.alias("term"), n.alias("next"))))).where("term is not null")
+    n = pairs.groupBy(*keys, "term", "next").agg(F.count("*").alias("n"))
     # The entropy from sums that combine before the shuffle: ln(N) - sum(n ln n) / N.
-    return n.groupBy("term").agg(F.sum("n").alias("tf"), F.round(F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n"), 5).alias("entropy"))
+    return n.groupBy(*keys, "term").agg(F.sum("n").alias("tf"), F.round(F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n"), 5).alias("entropy"))
 
 
 def sketches(blocks: DataFrame, most: int = 360) -> DataFrame:
@@ -55,10 +57,15 @@ def sketches(blocks: DataFrame, most: int = 360) -> DataFrame:
     return ordered.select("doc_id", F.substring(F.array_join(F.transform("x", lambda r: r["s"]), " "), 1, most).alias("sketch"))
 
 
-def simhash(blocks: DataFrame, bits: int = 32) -> DataFrame:
-    """doc_id and a signed-counter SimHash of its terms' digests (no term: all ones)."""
-    terms = term_rows(blocks, "doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    h = F.conv(F.substring(F.md5("term"), 1, bits // 4), 16, 10).cast("long")
-    sums = [F.sum(F.when(h.bitwiseAND(F.lit(1 << b)) != 0, F.col("n")).otherwise(-F.col("n"))).alias(f"b{b}") for b in range(bits)]
-    out = terms.groupBy("doc_id").agg(*sums)
-    return out.select("doc_id", sum((F.when(F.col(f"b{b}") >= 0, F.lit(1 << b)).otherwise(F.lit(0)) for b in range(bits)), F.lit(0).cast("long")).alias("simhash"))
+def simhash(blocks: DataFrame, *keys: str, bits: int = 32) -> DataFrame:
+    """``keys`` (doc_id) and a signed-counter SimHash of their terms' digests, of 32 or 64 bits; keys without a term have no row."""
+    keys = keys or ("doc_id",)
+    terms = term_rows(blocks, *keys).groupBy(*keys, "term").agg(F.count("*").alias("n"))
+    digest = F.md5("term")
+    # Words of 32 bits, the last one first, so that 32 bits are the digest's beginning.
+    words = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long").alias(f"h{i}") for i in reversed(range(bits // 32))]
+    terms = terms.select(*keys, "n", *words)
+    word = lambda b: F.col(f"h{bits // 32 - 1 - b // 32}").bitwiseAND(F.lit(1 << b % 32)) != 0
+    out = terms.groupBy(*keys).agg(*[F.sum(F.when(word(b), F.col("n")).otherwise(-F.col("n"))).alias(f"b{b}") for b in range(bits)])
+    value = lambda b: F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long")
+    return out.select(*keys, functools.reduce(Column.bitwiseOR, (F.when(F.col(f"b{b}") >= 0, value(b)).otherwise(F.lit(0).cast("long")) for b in range(bits))).alias("simhash"))

@@ -68,7 +68,8 @@ def agg10_key_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def agg12_retrieval_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = T.leaf_terms(_blocks(spark, sf_dir))
-    stats = leaves.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")).withColumn("entropy", F.length("term") / 10.0)
+    stats = leaves.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    stats = stats.join(T.follower_entropy(_blocks(spark, sf_dir), "doc_id").drop("tf"), ["doc_id", "term"])
     n = leaves.groupBy("doc_id").agg(F.countDistinct("pos").alias("n"))
     return K.retrieval_terms(stats, n, K.TERMS_KEPT["document"])
 
@@ -178,10 +179,11 @@ def rnk08_routed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rnk10_distinct_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a document's fifty longest lines: equal texts once, then no line within three bits of a longer one."""
-    b = _blocks(spark, sf_dir).groupBy("doc_id", "body", "n").agg(F.min("pos").alias("pos"))
-    top = b.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "pos"))).where("r <= 50")
-    rows = top.select("doc_id", F.col("pos").alias("id"), F.col("n").cast("double").alias("score"), (F.expr("n div 2") * 7).cast("long").alias("simhash"))
-    return K.not_seen_before(rows)
+    """Distinct lines of each document, longest first, without those whose terms are nearly those of one before."""
+    b = _blocks(spark, sf_dir)
+    marks = T.simhash(b, "doc_id", "pos")
+    rows = b.groupBy("doc_id", "body", "n").agg(F.min("pos").alias("pos")).join(marks, ["doc_id", "pos"], "left")
+    return K.not_seen_before(rows.select("doc_id", F.col("pos").alias("id"), F.col("n").cast("double").alias("score"), F.coalesce("simhash", F.lit(0)).alias("simhash")))
 
 
 def rnk16_batch_read(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +271,9 @@ ORACLE = {
         g AS (SELECT doc_id, string_agg(term, ' ' ORDER BY i) AS phrase, count(*) AS n, avg(weight) AS m FROM p GROUP BY doc_id, run, c HAVING count(*) > 1)
         SELECT doc_id, phrase, n, count(*) AS times, round(max(m) * (1 + 0.1e0 * (n - 1)) * (1 + 0.1e0 * ln(1 + count(*))), 6) AS weight FROM g GROUP BY doc_id, phrase, n""",
     "agg12_retrieval_terms": f"""WITH {_STATS}, n AS (SELECT doc_id, count(DISTINCT pos) AS n FROM leaves GROUP BY doc_id),
-        s AS (SELECT doc_id, term, round(tf * ln(1 + (n + 0.5e0) / (support + 0.5e0)) * (1 + least(length(term), 8) / 8e0) * (1 + least(1e0, length(term) / 20e0)) * (1 + least(length(term), 8) / 8e0), 9) AS score FROM st JOIN n USING (doc_id))
+        w AS (SELECT doc_id, regexp_extract_all(lower(body), '{T.TERM}') AS w FROM blocks), f AS (SELECT doc_id, unnest(w) AS term, unnest(list_concat(w[2:], ['<EOS>'])) AS nxt FROM w WHERE len(w) > 0),
+        m AS (SELECT doc_id, term, nxt, count(*) AS m FROM f GROUP BY ALL), e AS (SELECT doc_id, term, round(ln(sum(m)) - sum(m * ln(m)) / sum(m), 5) AS entropy FROM m GROUP BY doc_id, term),
+        s AS (SELECT doc_id, term, round(tf * ln(1 + (n + 0.5e0) / (support + 0.5e0)) * (1 + least(length(term), 8) / 8e0) * (1 + least(1e0, entropy / 2e0)) * (1 + least(length(term), 8) / 8e0), 9) AS score FROM st JOIN n USING (doc_id) JOIN e USING (doc_id, term))
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank, term FROM s QUALIFY rank <= 16""",
     "agg13_term_skills": "SELECT term, count(DISTINCT p_partkey) AS df FROM (SELECT p_partkey, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS term FROM part) GROUP BY term",
     "agg18_digests": f"WITH {_B} SELECT doc_id, sha256('v1|' || string_agg(sha256(body), ',' ORDER BY pos)) AS digest FROM b GROUP BY doc_id",
@@ -285,7 +289,9 @@ ORACLE = {
     "fn24_signals": f"""WITH {_CLAUSES} SELECT d.doc_id, count(*) FILTER (WHERE regexp_matches(clause, '{K.SIGNALS["proper_noun"][1]}')) AS n_proper_noun, count(*) FILTER (WHERE regexp_matches(clause, '{K.SIGNALS["quantity"][1]}')) AS n_quantity,
         count(*) FILTER (WHERE regexp_matches(clause, '[0-9]')) AS n_number, count(*) FILTER (WHERE regexp_matches(clause, '{K.SIGNALS["acronym"][1]}')) AS n_acronym, round(sum({_DISCOURSE}), 4) AS discourse FROM c d GROUP BY d.doc_id""",
     "rnk10_distinct_hits": f"""WITH RECURSIVE {_B}, d AS (SELECT doc_id, body, n, min(pos) AS pos FROM b GROUP BY ALL),
-        t AS (SELECT doc_id, pos, n, (n // 2) * 7 AS h, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS r FROM d QUALIFY r <= 50),
+        o AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(body), '{T.TERM}')) AS term FROM blocks), w AS (SELECT doc_id, pos, ('0x' || substring(md5(term), 1, 8))::BIGINT AS h, count(*) AS m FROM o GROUP BY ALL),
+        u AS (SELECT doc_id, pos, z.z AS z, sum(CASE WHEN (h >> z.z) & 1 = 1 THEN m ELSE -m END) AS s FROM w CROSS JOIN range(32) z(z) GROUP BY ALL), k AS (SELECT doc_id, pos, sum(CASE WHEN s >= 0 THEN 1::BIGINT << z ELSE 0 END)::BIGINT AS h FROM u GROUP BY doc_id, pos),
+        t AS (SELECT doc_id, d.pos, n, coalesce(h, 0) AS h, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, d.pos) AS r FROM d LEFT JOIN k USING (doc_id, pos)),
         f(doc_id, r, id, kept, hs) AS (SELECT doc_id, r, pos, true, [h] FROM t WHERE r = 1
           UNION ALL SELECT t.doc_id, t.r, t.pos, len(list_filter(f.hs, lambda q: bit_count(xor(q, t.h)) <= 3)) = 0, CASE WHEN len(list_filter(f.hs, lambda q: bit_count(xor(q, t.h)) <= 3)) = 0 THEN list_append(f.hs, t.h) ELSE f.hs END FROM f JOIN t ON t.doc_id = f.doc_id AND t.r = f.r + 1)
         SELECT doc_id, id FROM f WHERE kept""",

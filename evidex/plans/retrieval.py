@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
 from ..operators import terms as T
+from ..operators.ranking import signal_score
 from ..session import table
 from ..sources.text import blocks
 from .search import BLOCKS_SQL
@@ -59,10 +60,18 @@ def joi24_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where("copies > 1")
 
 
+NUMBERS = r"[0-9]+(?:[.,][0-9]+)*"
+
+
 def joi19_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = T.simhash(_blocks(spark, sf_dir)).withColumnRenamed("doc_id", "id")
-    firsts = marks.groupBy("simhash").agg(F.min("id").alias("id"))  # equal marks are one row before they are paired
-    return R.near_pairs(firsts)
+    """Within a source: marks of 64 bits within three, the same numbers, and token counts that differ by two or a tenth at most."""
+    docs, b = table(spark, sf_dir, "documents"), _blocks(spark, sf_dir)
+    numbers = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({NUMBERS})"), 1))), " ")
+    n = T.term_rows(b, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    rows = docs.select("doc_id", "source", numbers.alias("numbers")).join(n, "doc_id").join(T.simhash(b, bits=64), "doc_id")
+    firsts = rows.groupBy("source", "numbers", "n", "simhash").agg(F.min("doc_id").alias("id"))  # equal ones are one row before they are paired
+    close = F.abs(F.col("a_n") - F.col("b_n")) <= F.greatest(F.lit(2.0), 0.1 * F.greatest("a_n", "b_n"))
+    return R.near_pairs(firsts, 64, 3, ("source", "numbers"), close)
 
 
 def joi09_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,27 +112,31 @@ def rnk15_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rnk12_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hits of a document; what a hit covers is its share of the units, and how it fits is what it shows of figures, dates and names."""
     b = _hits(spark, sf_dir)
-    top = b.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos"))).where("n <= 50")
-    rows = top.select("doc_id", F.col("pos").cast("long").alias("id"), "score", F.greatest(F.lit(1), F.expr("length(body) div 4")).cast("long").alias("cost"), F.xxhash64("body").alias("simhash"))
-    return R.mmr(rows, "doc_id", 400, "doc_id long, id long, score double, cost long, simhash long, place long")
+    marks = T.simhash(b, "doc_id", "pos", bits=64)
+    cost = F.greatest(F.lit(1), F.expr("length(body) div 4")).cast("long")
+    rows = b.join(marks, ["doc_id", "pos"]).select("doc_id", F.col("pos").cast("long").alias("id"), "score", cost.alias("cost"), "simhash", (F.col("matched") / len(UNITS)).alias("coverage"), signal_score(F.col("body")).alias("intent"))
+    return R.mmr(rows, "doc_id", 400, "doc_id long, id long, score double, cost long, simhash long, coverage double, intent double, place long")
 
 
 def ctx08_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = _hits(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos"))).where("n <= 50")
-    rows = top.select("doc_id", F.col("pos").cast("long").alias("id"), F.greatest(F.lit(1), F.expr("length(body) div 4")).cast("long").alias("cost"), "score", (F.col("n") == 1).alias("mandatory"))
+    """All hits of a document; the best one is mandatory."""
+    hits = _hits(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos")))
+    rows = hits.select("doc_id", F.col("pos").cast("long").alias("id"), F.greatest(F.lit(1), F.expr("length(body) div 4")).cast("long").alias("cost"), "score", (F.col("n") == 1).alias("mandatory"))
     return R.first_fit(rows, "doc_id", 200, "doc_id long, id long, cost long, score double, mandatory boolean")
 
 
 def rnk11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest by cosine for each vector whose id is divisible by 50; queries are taken against all rows."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = v.withColumn("n", F.sqrt(dot(F.col("e"), F.col("e"))))
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"), F.col("n").alias("qn"))
-    near = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot(F.col("e"), F.col("qe")) / (F.col("n") * F.col("qn")), 6).alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 5")
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return R.nearest(v, v.where("id % 50 = 0"), 5).withColumnRenamed("id", "vec_id")
+
+
+def rnk11_text_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of whole texts by their hashed features, at the least similarity of a neighbour."""
+    v = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), R.feature_vectors(F.col("text")).alias("v"))
+    return R.nearest(v, v.where("id % 50 = 0"), 5, R.NEAREST)
 
 
 _HITS = f"""{BLOCKS_SQL},
@@ -143,7 +156,7 @@ n AS (SELECT * FROM d WHERE doc_id % 11 <> 0)"""
 
 QUERIES = {
     f.__name__: f
-    for f in (ctx08_first_fit, joi02_index_health, joi09_overlaps, joi16_snapshot_diff, joi19_near_duplicates, joi24_exact_duplicates, rnk01_any_term_fallback, rnk01_collection_search, rnk03_rollup, rnk11_nearest, rnk12_mmr, rnk15_budget, win01_capped_page, win03_neighbours, win04_source_window)
+    for f in (ctx08_first_fit, joi02_index_health, joi09_overlaps, joi16_snapshot_diff, joi19_near_duplicates, joi24_exact_duplicates, rnk01_any_term_fallback, rnk01_collection_search, rnk03_rollup, rnk11_nearest, rnk11_text_neighbours, rnk12_mmr, rnk15_budget, win01_capped_page, win03_neighbours, win04_source_window)
 }
 ORACLE = {
     "rnk01_collection_search": f"WITH {_HITS} SELECT doc_id, pos, matched, hits, score, match_mode FROM hits ORDER BY score DESC, doc_id, pos LIMIT 100",
@@ -171,12 +184,16 @@ ORACLE = {
         s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS similarity FROM v JOIN v q ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
         SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s QUALIFY rank <= 5""",
 }
-from .terms import ORACLE as _TERMS  # noqa: E402
-
-ORACLE["joi19_near_duplicates"] = f"""WITH s AS ({_TERMS["agg17_simhash"]}), f AS (SELECT simhash, min(doc_id) AS id FROM s GROUP BY simhash)
-        SELECT x.id AS a, y.id AS b FROM f x JOIN f y ON x.id < y.id AND bit_count(xor(x.simhash, y.simhash)) <= 3"""
+from .terms import LEAVES_SQL  # noqa: E402
+
+ORACLE["joi19_near_duplicates"] = f"""WITH {LEAVES_SQL}, t AS (SELECT doc_id, ('0x' || substring(md5(term), 9, 8))::BIGINT AS lo, ('0x' || substring(md5(term), 1, 8))::BIGINT AS hi, sum(tf)::BIGINT AS n FROM leaves GROUP BY doc_id, term),
+        u AS (SELECT doc_id, b.b AS b, sum(CASE WHEN (lo >> b.b) & 1 = 1 THEN n ELSE -n END) AS s, sum(CASE WHEN (hi >> b.b) & 1 = 1 THEN n ELSE -n END) AS z, sum(n) AS n FROM t CROSS JOIN range(32) b(b) GROUP BY ALL),
+        m AS (SELECT doc_id, sum(CASE WHEN s >= 0 THEN 1::BIGINT << b ELSE 0 END)::BIGINT AS lo, sum(CASE WHEN z >= 0 THEN 1::BIGINT << b ELSE 0 END)::BIGINT AS hi, max(n)::BIGINT AS n FROM u GROUP BY doc_id),
+        f AS (SELECT source, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{NUMBERS}'))), ' ') AS numbers, n, lo, hi, min(doc_id) AS id FROM m JOIN documents USING (doc_id) GROUP BY ALL)
+        SELECT x.id AS a, y.id AS b FROM f x JOIN f y ON x.source = y.source AND x.numbers = y.numbers AND x.id < y.id
+        WHERE bit_count(xor(x.lo, y.lo)) + bit_count(xor(x.hi, y.hi)) <= 3 AND abs(x.n - y.n) <= greatest(2e0, 0.1e0 * greatest(x.n, y.n))"""
 COVERAGE = {
     "rnk01_collection_search": ("RNK01", "RNK02", "RNK06", "SRT01", "SRT02"), "rnk01_any_term_fallback": ("RNK01",), "rnk03_rollup": ("RNK03",), "win01_capped_page": ("WIN01", "WIN02", "WIN05", "LIM01", "LIM02"),
     "win03_neighbours": ("WIN03", "SRT06"), "win04_source_window": ("WIN04",), "joi24_exact_duplicates": ("JOI24",), "joi19_near_duplicates": ("JOI19", "FN20"), "joi09_overlaps": ("JOI09", "SUM13"),
-    "joi16_snapshot_diff": ("JOI16", "CG09"), "joi02_index_health": ("JOI02", "JOI03", "JOI04"), "rnk15_budget": ("RNK15",), "rnk12_mmr": ("RNK12",), "ctx08_first_fit": ("CTX08", "SKL06"), "rnk11_nearest": ("RNK11",),
+    "joi16_snapshot_diff": ("JOI16", "CG09"), "joi02_index_health": ("JOI02", "JOI03", "JOI04"), "rnk15_budget": ("RNK15",), "rnk12_mmr": ("RNK12",), "ctx08_first_fit": ("CTX08", "SKL06"), "rnk11_nearest": ("RNK11",), "rnk11_text_neighbours": ("RNK11",),
 }

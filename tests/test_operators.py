@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -99,12 +100,122 @@ def test_pages_tell_whether_more_follow(spark):
 
 def test_summaries():
     texts = ["the bank raised its capital ratio", "the bank raised its capital ratio again", "weather was fine in the north", "capital ratio of the bank matters"]
-    chosen = summary.choose(texts, 2)
-    assert len(chosen) == 2 and not {0, 1} <= set(chosen)
-    assert summary.choose(["a b c"], 3) == [0]
-    w = summary.likeness(summary.incidence(texts))
-    rank = summary.page_rank(w)
-    assert abs(rank.sum() - 1) < 1e-6 and (w == w.T).all()
+    alike = summary.likeness(texts)
+    assert np.allclose(alike, alike.T) and (alike.diagonal() == 0).all() and alike.max() < 1
+    assert abs(summary.page_rank(alike).sum() - 1) < 1e-6
+    assert summary.choose(["a b c"], np.array([1.0]), np.array([0.0]), 3) == [0] and summary.choose(["a b c"], np.array([0.0]), np.array([0.0]), 0) == []
+
+
+def brute_summary(texts, told, signal, k):
+    """The choice sentence by sentence, from sums over terms."""
+    terms = [summary.portable_terms(t) for t in texts]
+    n, mean = len(texts), max(sum(map(len, terms)) / len(texts), 1e-9)
+    df = {t: sum(t in x for x in terms) for x in terms for t in x}
+    part = lambda t, x: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * x.count(t) * 2.2 / (x.count(t) + 1.2 * (0.25 + 0.75 * len(x) / mean))
+    m = [[0.0] * n for _ in texts]
+    for i in range(n):
+        for j in range(n):
+            if i != j:
+                v = sum((part(t, terms[i]) + part(t, terms[j])) / 2 for t in set(terms[i]) & set(terms[j]))
+                m[i][j] = v / (1 + v)
+    rank = [1 / n] * n
+    for _ in range(50):
+        new = [0.15 / n + 0.85 * sum(rank[i] * (m[i][j] / sum(m[i]) if sum(m[i]) else 1 / n) for i in range(n)) for j in range(n)]
+        done = sum(abs(a - b) for a, b in zip(new, rank, strict=True)) < 1e-4
+        rank = new
+        if done:
+            break
+    chosen, covered = [], [0.0] * n
+    while len(chosen) < min(k, n):
+        best = None
+        for i in range(n):
+            overlap = max((m[i][c] for c in chosen), default=0.0)
+            if i in chosen or overlap >= 0.8:
+                continue
+            gain = sum(max(0.0, (1.0 if j == i else m[i][j]) - covered[j]) for j in range(n)) / n
+            value = min(1.0, 0.5 * min(1.0, max(0.8 * rank[i] / max(max(rank), 1e-6), told[i])) + 0.25 * gain + 0.15 * (1 - overlap) + 0.1 * signal[i])
+            if value >= 0.35 and (best is None or value > best[0] + 1e-12):
+                best = (value, i)
+        if best is None:
+            break
+        chosen.append(best[1])
+        covered = [max(c, 1.0 if j == best[1] else m[best[1]][j]) for j, c in enumerate(covered)]
+    return sorted(chosen)
+
+
+def test_choice_of_sentences_against_brute_force():
+    r = random.Random(5)
+    for _ in range(60):
+        texts = [" ".join(r.choice(("bank", "ratio", "rose", "fell", "資本", "資本比率", "north", "of", "x1")) for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 14))]
+        told, signal = [r.choice((0.25, 0.75, 1.0)) for _ in texts], [r.choice((0.0, 0.1, 0.4)) for _ in texts]
+        k = r.randint(1, 6)
+        assert summary.choose(texts, np.array(told), np.array(signal), k) == brute_summary(texts, told, signal, k)
+
+
+def test_candidates_are_bounded_by_worth_and_place(spark):
+    rows = [(d, i + 1, "x" * (i * 7 % 130), (0.25, 0.75, 1.0)[i * 5 % 3], i % 4 / 10) for d, n in ((1, 300), (2, 40), (3, 1), (4, 41)) for i in range(n)]
+    got = {}
+    for r in summary.candidates(spark.createDataFrame(rows, "doc_id long, n long, sentence string, told double, signal double"), 40).collect():
+        got.setdefault(r.doc_id, set()).add(r.n)
+    for d, n in ((1, 300), (2, 40), (3, 1), (4, 41)):
+        own = [x for x in rows if x[0] == d]
+        best = sorted(own, key=lambda x: (-(0.6 * x[3] + 0.3 * x[4] + 0.1 * min(len(x[2]), 100) / 100), x[1]))
+        want = {x[1] for x in own} if n <= 40 else {x[1] for x in best[:30]} | {1 + k * (n - 1) // 9 for k in range(10)}
+        assert got[d] == want
+
+
+def test_mmr_against_brute_force(spark):
+    r = random.Random(9)
+    rows = [(d, i, round(r.random(), 1), r.randint(0, 60), r.getrandbits(64) - (1 << 63) if r.random() < 0.6 else 7, r.random(), r.random()) for d in range(6) for i in range(r.randint(1, 15))]
+    kinds = "doc_id long, id long, score double, cost long, simhash long, coverage double, intent double"
+    got = {d: [] for d in range(6)}
+    for x in sorted(retrieval.mmr(spark.createDataFrame(rows, kinds), "doc_id", 120, f"{kinds}, place long").collect(), key=lambda x: x.place):
+        got[x.doc_id].append(x.id)
+    for d in range(6):
+        left, chosen, spent = [x for x in rows if x[0] == d], [], 0
+        top = max(x[2] for x in left) or 1.0
+        while True:
+            fit = [x for x in left if spent + max(1, x[3]) <= 120]
+            if not fit:
+                break
+            def utility(x):
+                near = max((1 - ((x[4] ^ c[4]) & (1 << 64) - 1).bit_count() / 64 for c in chosen), default=0.0)
+                return (0.75 * x[2] / top - 0.25 * near) * x[5] * max(0.25, x[6]) / (1 + max(1, x[3])) ** 0.15
+            best = max(fit, key=lambda x: (round(utility(x), 12), x[2], -x[1]))
+            chosen.append(best)
+            left.remove(best)
+            spent += max(1, best[3])
+        assert got[d] == [x[1] for x in chosen]
+
+
+def test_order_score_of_high_places(spark):
+    """Places beyond those whose code points would be surrogates, or have five digits."""
+    far = [0, 35327, 35328, 37375, 37376, 45567, 45568, 65535, 70000, 500000]
+    swapped = [*far[:4], far[5], far[4], *far[6:]]
+    df = spark.createDataFrame([(far, far), (swapped, far), (far[:5], far), (far[::-1], far), ([], [])], "f array<long>, g array<long>")
+    from evidex.operators.quality import edit_distance, order_score
+
+    want = [1 - edit_distance(f, g) / max(len(f), len(g), 1) for f, g in ((far, far), (swapped, far), (far[:5], far), (far[::-1], far), ([], []))]
+    assert [r[0] for r in df.select(order_score(F.col("f"), F.col("g"))).collect()] == want
+
+
+def test_feature_vectors_and_nearest(spark, monkeypatch):
+    v = retrieval.feature_vector
+    assert abs(v("capital ratio 12") @ v("capital ratio 12") - 1) < 1e-12 and not v("").any() and not v("!?").any()
+    assert v("report 2024") @ v("other 2024") > v("report 2024") @ v("other 2025") and v("資本比率") @ v("資本") > 0.2
+    g = np.random.default_rng(1)
+    m = g.normal(0, 1, (300, 8))
+    m[5] = m[3]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, v array<double>").repartition(3)
+    for at_once in (4096, 7):
+        monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", at_once)
+        got = {(r.query_id, r.rank): (r.id, r.similarity) for r in retrieval.nearest(df, df.where("id % 20 = 3"), 4, 0.3).collect()}
+        u = m / np.sqrt((m * m).sum(1, keepdims=True))
+        want = {}
+        for q in range(3, 300, 20):
+            s = [(-round(float(u[q] @ u[i]), 6), i) for i in range(300) if i != q]
+            want |= {(q, k + 1): (i, -x) for k, (x, i) in enumerate(sorted(s)[:4]) if -x >= 0.3}
+        assert {k: x[0] for k, x in got.items()} == {k: x[0] for k, x in want.items()}
 
 
 def test_cycles_against_reachability(spark):
