@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,87 @@ def role(title: Column, body: Column) -> Column:
     return out.otherwise("content")
 
 
+# Weight of a term by field, what an exact name adds and a negative term takes; coverage below which likeness counts, least likeness, its
+# factor; share of the best score that is kept; coverage and score below which, and lead within which, the task is too vague.
+FIELDS = {"name": 5.0, "description": 4.0, "trigger": 4.0, "enrichment": 2.0}
+EXACT, NEGATIVE, THIN, ALIKE, ALIKE_FACTOR, KEPT, VAGUE, LEAD = 100.0, 8.0, 0.2, 0.35, 2.0, 0.35, (0.15, 1.0), 0.08
+
+
+def mentioned(name: Column, task: str) -> Column:
+    """Whether a task names this: as a word of its own, or anywhere if it has Han characters."""
+    low, text = F.lower(name), F.lit(task.lower())
+    quoted = F.regexp_replace(low, r"([^a-z0-9\s\x{3400}-\x{9fff}])", r"\\$1")
+    return F.when(low.rlike(r"[\x{3400}-\x{9fff}]"), F.contains(text, low)).otherwise(F.regexp_like(text, F.concat(F.lit("(?<![a-z0-9])"), quoted, F.lit("(?![a-z0-9])"))))
+
+
+def _exactly(rows: DataFrame, k: int, *order: Column | str) -> DataFrame:
+    """The first k rows as exact routes: 100, 99 and so on."""
+    place = F.row_number().over(Window.orderBy("o")).cast("long")  # k rows at most
+    some = rows.select("skill_id", F.struct(*order).alias("o")).orderBy("o").limit(k)
+    return some.select(place.alias("place"), "skill_id").select("place", "skill_id", (101.0 - F.col("place")).alias("score"), F.lit(1.0).alias("coverage"), F.lit("exact").alias("route"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("code"))
+
+
+def _refused(rows: DataFrame, code: str, k: int) -> DataFrame:
+    """Candidates that a task does not tell apart, or none."""
+    place = F.row_number().over(Window.orderBy("skill_id")).cast("long")  # k rows at most
+    some = rows.select("skill_id").orderBy("skill_id").limit(k)
+    return some.select(place.alias("place"), "skill_id", F.lit(1.0).alias("score"), F.lit(1.0).alias("coverage"), F.lit("exact").alias("route"), F.lit("needs_narrowing").alias("status"), F.lit(code).alias("code"))
+
+
+def _by_name(hits: DataFrame, k: int) -> DataFrame:
+    """Of rows (n: order of the name, skill_id, priority) the one of the highest priority for each name; the first name with several refuses."""
+    best = hits.withColumn("p", F.rank().over(Window.partitionBy("n").orderBy(F.desc("priority")))).where("p = 1").withColumn("same", F.count("*").over(Window.partitionBy("n")))
+    doubt = best.where("same > 1").agg(F.min("n")).first()[0]
+    return _exactly(best, k, "n") if doubt is None else _refused(best.where(F.col("n") == F.lit(doubt)), "SKILL_AMBIGUOUS", k)
+
+
+def routed(skills: DataFrame, task: str, names: tuple[str, ...] = (), k: int = 3) -> DataFrame:
+    """place, skill_id, score, coverage, route, status, code of the skills that a task calls for; no skill: no rows.
+
+    ``skills``: skill_id, qualified_name, name, priority, and arrays of terms name_, description_, trigger_, enrichment_ and
+    negative_terms; ``ann``, if there, is a likeness of the skill to the task. Gates in turn: ``names`` asked for (an unknown one
+    gives no rows), qualified names that the task mentions, names that it mentions (the longest first), then terms
+    weighted by field and rarity. A gate that is open for nobody passes on; each looks at k rows at most beyond a sum.
+    """
+    if names:
+        wanted = skills.sparkSession.createDataFrame([(i, n.lower()) for i, n in enumerate(names)], "n long, wanted string")
+        ids = skills.select("skill_id", "priority", F.explode(F.array_distinct(F.array(F.lower("skill_id"), F.lower("qualified_name"), F.lower("name")))).alias("wanted"))
+        hits = ids.join(F.broadcast(wanted), "wanted").select("n", "skill_id", "priority").distinct()
+        known = hits.select("n").distinct().count() == len(names)
+        return _by_name(hits, k) if known else _refused(skills.limit(0), "SKILL_LOW_CONFIDENCE", k)
+    said = skills.where(mentioned(F.col("qualified_name"), task))
+    if not said.isEmpty():
+        return _exactly(said, k, -F.col("priority"), "qualified_name", "skill_id")
+    said = skills.where(mentioned(F.col("name"), task))
+    if not said.isEmpty():
+        return _by_name(said.select(F.struct(-F.length("name"), F.lower("name")).alias("n"), "skill_id", "priority"), k)
+    query = [r for r in skills.sparkSession.range(1).select(F.explode(lexical_terms(F.lit(task)))).toPandas().iloc[:, 0]]
+    if not query:
+        return _refused(skills.limit(0), "SKILL_LOW_CONFIDENCE", k)
+    q, low = F.array(*map(F.lit, query)), F.lit(task.lower())
+    own = skills.withColumn("every", F.array_distinct(F.concat(*[f"{f}_terms" for f in FIELDS])))
+    n = own.count()
+    df = own.select(F.explode(F.array_intersect("every", q)).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    rarity = {r.t: math.log(1 + (n + 0.5) / (r.df + 0.5)) for r in df.collect()}  # a row a term of the task
+    of = lambda t, f: F.when(F.array_contains(f"{f}_terms", t), FIELDS[f]).otherwise(0.0)
+    lexical = sum((rarity[t] * sum(of(t, f) for f in FIELDS) for t in query if t in rarity), F.lit(0.0))
+    exact = F.contains(low, F.lower("name")) | F.contains(low, F.lower("qualified_name"))
+    told_off = F.size(F.array_intersect("negative_terms", q))
+    rows = own.withColumn("exact", exact).withColumn("coverage", F.size(F.array_intersect("every", q)) / len(query)).withColumn("lexical", lexical)
+    alike = (F.col("coverage") < THIN) & (F.col("ann") >= ALIKE) if "ann" in skills.columns else F.lit(False)
+    more = F.col("ann") * ALIKE_FACTOR if "ann" in skills.columns else F.lit(0.0)
+    score = F.col("lexical") + F.when(F.col("exact"), EXACT).otherwise(-NEGATIVE * told_off) + F.when(alike, more).otherwise(0.0)
+    route = F.when(alike, F.when(F.col("lexical") > 0, "lexical+hnsw").otherwise("hnsw")).otherwise("lexical")
+    best = rows.select("skill_id", "qualified_name", "priority", "exact", "coverage", F.round(score, 9).alias("score"), route.alias("route")).where("score > 0").orderBy(F.desc("score"), F.desc("priority"), "qualified_name", "skill_id").limit(max(k, 2))
+    order = Window.orderBy(F.desc("score"), F.desc("priority"), "qualified_name", "skill_id")  # max(k, 2) rows at most
+    best = best.withColumn("place", F.row_number().over(order).cast("long"))
+    every = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    top, second = F.first("score").over(every), F.nth_value("score", 2).over(every)
+    vague = ~F.first("exact").over(every) & (((F.first("coverage").over(every) < VAGUE[0]) & (top < VAGUE[1])) | F.coalesce((top - second) / F.greatest(top, F.lit(1e-9)) < LEAD, F.lit(False)))
+    best = best.withColumn("top", top).withColumn("vague", vague).where((F.col("score") >= KEPT * F.col("top")) & (F.col("place") <= k))
+    return best.select("place", "skill_id", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"), "route", F.when(F.col("vague"), "needs_narrowing").otherwise("ok").alias("status"), F.when(F.col("vague"), "SKILL_LOW_CONFIDENCE").alias("code"))
+
+
 def block_scores(blocks: DataFrame, query: list[str]) -> DataFrame:
     """block, score of blocks (block, role, terms, new_words) that share a term with the query."""
     q = F.array(*map(F.lit, query))

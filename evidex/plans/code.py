@@ -74,10 +74,9 @@ def cg12_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cg14_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first fifty blind spots of the files of a nation."""
-    w = Window.orderBy("path", "line", "kind")
-    spots = _rows(spark, sf_dir).where("row = 'blindspot' and path like 'pkg/n1%'").orderBy("path", "line", "kind").limit(50)
-    return spots.withColumn("n", F.row_number().over(w).cast("long")).select("n", "path", "kind", "line")  # over fifty rows at most
+    """The blind spots of all files, numbered within each."""
+    spots = _rows(spark, sf_dir).where("row = 'blindspot'")
+    return spots.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("line", "kind")).cast("long")).select("n", "path", "kind", "line")
 
 
 def cg15_code_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +123,7 @@ ORACLE = {
     "cg11_impact_receipt": f"WITH {_F} SELECT 'helper_' || n AS callee, count(*) AS n_callers, count(*) AS n_public, CASE WHEN count(*) = 1 THEN 1 ELSE 0 END AS n_hard FROM f WHERE ok GROUP BY n",
     "cg12_evidence": f"WITH {_F} SELECT path, CASE WHEN k % 4 <> 0 THEN '{LINES[9]}' END AS block, CASE WHEN k % 4 <> 0 THEN 'ok' ELSE 'STALE' END AS status FROM f WHERE ok",
     "cg14_uncertainty": f"""WITH {_F}, s AS (SELECT path, kind, line FROM f, (VALUES ('STAR_IMPORT', 3), ('DYNAMIC_CALL', 16)) t(kind, line) WHERE ok UNION ALL SELECT path, 'SYNTAX_ERROR', 1 FROM f WHERE NOT ok)
-        SELECT row_number() OVER (ORDER BY path, line, kind) AS n, path, kind, line::BIGINT AS line FROM s WHERE path LIKE 'pkg/n1%' ORDER BY n LIMIT 50""",
+        SELECT row_number() OVER (PARTITION BY path ORDER BY line, kind) AS n, path, kind, line::BIGINT AS line FROM s""",
     "cg15_code_context": f"WITH {_F} SELECT path, 'helper_' || n AS name, 15::BIGINT AS line, 'def helper_' || n || '(x):' AS text FROM f WHERE ok",
     "ctx02_code_blocks": f"""WITH {_F}, u AS (SELECT n FROM f WHERE ok GROUP BY n HAVING count(*) = 1)
         SELECT module || '.S' || k AS block, module AS parent, 0::BIGINT AS n_calls FROM f WHERE ok UNION ALL SELECT module || '.helper_' || n, module, 0 FROM f WHERE ok

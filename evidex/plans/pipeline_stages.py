@@ -26,6 +26,12 @@ def src05_html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1)).alias("href")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
+def src05_html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = M.html_elements(table(spark, sf_dir, "pages"), "page_id", "html")
+    links = F.array_join(F.transform("links", lambda x: F.concat_ws(" -> ", x["label"], x["target"])), "; ")
+    return e.select(F.col("id").alias("page_id"), "pos", "type", "level", "body", "element_id", F.array_join("classes", " ").alias("classes"), links.alias("links"))
+
+
 def src03_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("# "), "source", F.lit("\n\n## "), "lang", F.lit("\n```\n# no heading\n```\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")))
     b = M.parsed(_docs(spark, sf_dir).select("doc_id", text.alias("t")), "doc_id", "t", "markdown")
@@ -142,7 +148,7 @@ def snk09_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (pip04_furniture, pip09_paragraphs, pip09_thread_runs, pip13_tables, pip15_footnotes, pip17_captions, pip19_heading_parents, pip22_chunks, snk01_json_round_trip, snk02_markdown, snk04_rag_records, snk08_violations, snk09_inspect, src02_formats, src03_markdown, src05_html_blocks, src05_html_links, src07_email, src08_notebook, src15_decoded)
+    for f in (pip04_furniture, pip09_paragraphs, pip09_thread_runs, pip13_tables, pip15_footnotes, pip17_captions, pip19_heading_parents, pip22_chunks, snk01_json_round_trip, snk02_markdown, snk04_rag_records, snk08_violations, snk09_inspect, src02_formats, src03_markdown, src05_html_blocks, src05_html_elements, src05_html_links, src07_email, src08_notebook, src15_decoded)
 }
 _GEO = f"""{BLOCKS_SQL},
 g AS (SELECT doc_id, (pos // 20)::BIGINT AS page, pos, body, length(body) AS n, (length(body) % 3) * 150e0 AS x0, (pos % 20) * 40e0 + CASE WHEN length(body) % 5 = 0 THEN 30e0 ELSE 0e0 END AS y0 FROM blocks)"""
@@ -189,7 +195,7 @@ ORACLE = {
     "snk09_inspect": f"WITH {BLOCKS_SQL} SELECT doc_id, count(*) AS n_blocks, sum(length(body))::BIGINT AS n_chars, count(*) FILTER (WHERE contains(body, ' | ')) AS n_tables FROM blocks GROUP BY doc_id",
 }
 COVERAGE = {
-    "src05_html_blocks": ("SRC05", "SRC06"), "src05_html_links": ("SRC05",), "src03_markdown": ("SRC03", "SRC04"), "src07_email": ("SRC07",), "src08_notebook": ("SRC08",), "src02_formats": ("SRC02",), "src15_decoded": ("SRC15",),
+    "src05_html_blocks": ("SRC05", "SRC06"), "src05_html_links": ("SRC05",), "src05_html_elements": ("SRC05",), "src03_markdown": ("SRC03", "SRC04"), "src07_email": ("SRC07",), "src08_notebook": ("SRC08",), "src02_formats": ("SRC02",), "src15_decoded": ("SRC15",),
     "pip04_furniture": ("PIP04", "NAT09"), "pip09_paragraphs": ("PIP09",), "pip09_thread_runs": ("PIP09",), "pip13_tables": ("PIP13",), "pip15_footnotes": ("PIP15", "JOI05"), "pip17_captions": ("PIP17", "FN19"), "pip19_heading_parents": ("PIP19",),
     "pip22_chunks": ("PIP22",), "snk01_json_round_trip": ("SNK01", "SRC18"), "snk02_markdown": ("SNK02",), "snk04_rag_records": ("SNK04",), "snk08_violations": ("SNK08",), "snk09_inspect": ("SNK09",),
 }

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Elements that are skipped, headings with their levels, elements that are paragraphs, elements without an end.
 HIDDEN = {"script", "style", "noscript", "template", "svg"}
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
 TEXTS = {"p", "li", "blockquote", "pre"}
@@ -36,11 +37,16 @@ class _Html(HTMLParser):
         self.open: tuple[str, int] | None = None
         self.text: list[str] = []
         self.rows: list[list[str]] = []
+        #: Of the block being read: its attributes, its links (target, pieces of the label); of each block that is out: id, classes, links.
+        self.attrs: dict[str, str] = {}
+        self.links: list[tuple[str, list[str]]] = []
+        self.in_link = False
+        self.details: list[tuple[str | None, list[str], list[tuple[str, str]]]] = []
 
     def emit(self) -> None:
         if not self.open:
             return
-        tag = self.open[0]
+        tag, before = self.open[0], len(self.out)
         if tag == "table":
             rows = [[re.sub(r"\s+", " ", c).strip() for c in r] for r in self.rows]
             rows = [r for r in rows if any(r)]
@@ -51,7 +57,10 @@ class _Html(HTMLParser):
             body = body.strip("\n") if tag == "pre" else re.sub(r"\s+", " ", body).strip()
             if body:
                 self.out.append(("heading" if tag in HEADINGS else "paragraph", HEADINGS.get(tag, 0), body))
-        self.open, self.text, self.rows = None, [], []
+        if len(self.out) > before:
+            links = [(target, re.sub(r"\s+", " ", "".join(label)).strip()) for target, label in self.links]
+            self.details.append((self.attrs.get("id"), (self.attrs.get("class") or "").split(), links))
+        self.open, self.text, self.rows, self.links, self.in_link = None, [], [], [], False
 
     def handle_starttag(self, tag, attrs):  # noqa: ANN001
         if tag in HIDDEN:
@@ -64,15 +73,22 @@ class _Html(HTMLParser):
         elif self.autoclose and self.open and self.open[0] != "table" and tag in BLOCKS:
             self.emit()
         if not self.open and not self.hidden and (tag in HEADINGS or tag in TEXTS or tag == "table"):
-            self.open = (tag, len(self.stack))
+            self.open, self.attrs = (tag, len(self.stack)), {k: v or "" for k, v in attrs}
         elif self.open and tag == "br":
             self.text.append("\n" if self.open[0] == "pre" else " ")
+        if self.open and tag == "a" and not self.hidden:
+            target = dict(attrs).get("href")
+            self.in_link = bool(target)
+            if target:
+                self.links.append((target, []))
         if tag not in VOID:
             self.stack.append(tag)
 
     def handle_endtag(self, tag):  # noqa: ANN001
         if tag in HIDDEN:
             self.hidden = max(0, self.hidden - 1)
+        if tag == "a":
+            self.in_link = False
         if tag in self.stack:
             while self.stack.pop() != tag:
                 pass
@@ -82,6 +98,8 @@ class _Html(HTMLParser):
     def handle_data(self, data):  # noqa: ANN001
         if self.hidden or not self.open:
             return
+        if self.in_link:
+            self.links[-1][1].append(data)
         if self.open[0] != "table":
             self.text.append(data)
         elif self.rows and self.rows[-1]:
@@ -100,6 +118,64 @@ def html_blocks(text: str, autoclose: bool = True) -> list[Block]:
     return p.out
 
 
+class _Cells(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.rows: list[list[list]] = []
+        self.open = self.done = False
+
+    def handle_starttag(self, tag, attrs):  # noqa: ANN001
+        if self.done:
+            return
+        if tag == "tr":
+            self.rows.append([])
+        elif tag in ("td", "th"):
+            span = [int(m[0]) if (m := re.match(r"[0-9]{1,3}", dict(attrs).get(k) or "")) else 1 for k in ("colspan", "rowspan")]
+            (self.rows or self.rows.append([]) or self.rows)[-1].append(["", *span])
+            self.open = True
+
+    def handle_endtag(self, tag):  # noqa: ANN001
+        self.open &= tag not in ("td", "th", "tr", "table")
+        self.done |= tag == "table"
+
+    def handle_data(self, data):  # noqa: ANN001
+        if self.open and not self.done:
+            self.rows[-1][-1][0] += data
+
+
+def table_cells(html: str) -> list[list[tuple[str, int, int]]]:
+    """Cells (text, columns, rows that it spans) of the rows of the first table; without one none."""
+    p = _Cells()
+    p.feed(html)
+    p.close()
+    return [[(re.sub(r"\s+", " ", t).strip(), c, r) for t, c, r in row] for row in p.rows]
+
+
+ELEMENTS = pa.schema([("id", pa.int64()), ("pos", pa.int64()), ("type", pa.string()), ("level", pa.int64()), ("body", pa.string()), ("element_id", pa.string()), ("classes", pa.list_(pa.string())), ("links", pa.list_(pa.struct([("target", pa.string()), ("label", pa.string())])))])
+
+
+def html_elements(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """id, pos, type, level, body of each block of a page with the id and classes of its element and the links in it (target, label).
+
+    A null page has no blocks. A label is the text of its link, without what is hidden; links without a target are none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                p = _Html(True)
+                p.feed(text or "")
+                p.close()
+                p.emit()
+                out += [(i, n, *block, e, c, [{"target": t, "label": x} for t, x in links]) for n, (block, (e, c, links)) in enumerate(zip(p.out, p.details, strict=True))]
+            columns = zip(*out, strict=True) if out else [[]] * len(ELEMENTS)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, ELEMENTS, strict=True)], schema=ELEMENTS)
+
+    rows = pages.select(F.col(key).cast("long").alias("id"), F.col(html).cast("string").alias("html"))
+    return rows.mapInArrow(run, "id long, pos long, type string, level long, body string, element_id string, classes array<string>, links array<struct<target: string, label: string>>")
+
+
 def clean_title(text: str, most: int = 120) -> str:
     """A heading without images, links and marks, at most ``most`` characters."""
     text = re.sub(r"!\[[^\]]*\]\([^)]*\)", "", text)

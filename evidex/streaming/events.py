@@ -40,13 +40,34 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
+def _each_batch(stream: DataFrame, do, mode: str = "append", every: str | None = None) -> str:  # noqa: ANN001
+    """Runs do(batch, number, folder) for each batch of a stream until all that is there is read; the folder of the run.
+
+    A batch that is run again after a failure has the same number.
+    """
+    spark = stream.sparkSession
+    stored(spark.range(1))  # sets the folder where none is named
+    root = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4()}"
+    w = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, n: do(batch, n, root)).option("checkpointLocation", f"{root}/progress")
+    q = (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+    if every:
+        q.processAllAvailable()
+        q.stop()
+    else:
+        q.awaitTermination()
+    return root
+
+
 def upserted(stream: DataFrame, key: str, order: str) -> DataFrame:
-    """The latest row of each key after a stream has been drained: batches are appended, the view is by window."""
-    from pyspark.sql import Window
+    """The latest row of each key after a stream has been drained.
 
-    rows = drained(stream)
-    newest = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    The state of a key is its latest row so far; a batch gives out the keys that it changed, so what is written and what the view
+    reads are rows of changed keys, not of the stream.
+    """
+    latest = stream.groupBy(key).agg(F.max_by(F.struct(*stream.columns), F.col(order)).alias("row"))
+    root = _each_batch(latest, lambda batch, n, root: batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}"), "update")
+    rows = stream.sparkSession.read.option("basePath", f"{root}/out").parquet(f"{root}/out/batch=*")
+    return rows.groupBy(key).agg(F.max_by("row", "batch").alias("row")).select("row.*")
 
 
 def changed_only(stream: DataFrame, known: DataFrame, key: str, digest: str) -> DataFrame:
@@ -54,32 +75,19 @@ def changed_only(stream: DataFrame, known: DataFrame, key: str, digest: str) ->
 
     A batch that is run again after a failure overwrites its own folder, so nothing is written twice.
     """
-    spark = stream.sparkSession
     known = stored(known.select(key, digest))
-    root = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4()}"
-
-    def write(batch: DataFrame, n: int) -> None:
-        batch.join(known, [key, digest], "left_anti").write.mode("overwrite").parquet(f"{root}/out/batch={n}")
-
-    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out/batch=*")
+    root = _each_batch(stream, lambda batch, n, root: batch.join(known, [key, digest], "left_anti").write.mode("overwrite").parquet(f"{root}/out/batch={n}"))
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out/batch=*")
 
 
 def progress(stream: DataFrame, every: str | None = None) -> DataFrame:
-    """batch, n of the progress events of a stream; with ``every`` it is triggered at that interval until all is read."""
-    spark = stream.sparkSession
-    stored(spark.range(1))
-    root = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4()}"
-    w = stream.writeStream.format("noop").option("checkpointLocation", f"{root}/progress")
-    q = (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
-    if every:
-        q.processAllAvailable()
-        q.stop()
-    else:
-        q.awaitTermination()
-    rows = [(p.batchId, p.numInputRows) for p in q.recentProgress if p.numInputRows > 0]
-    return spark.createDataFrame(rows, "batch long, n long")
+    """batch, n of all batches of a stream, however many; with ``every`` it is triggered at that interval until all is read.
+
+    A row for each batch comes to the driver, which counts it as it comes: events that the query keeps go after a hundred.
+    """
+    counts: dict[int, int] = {}
+    _each_batch(stream, lambda batch, n, root: counts.update({n: batch.count()}), every=every)
+    return stream.sparkSession.createDataFrame([(n, m) for n, m in sorted(counts.items()) if m], "batch long, n long")
 
 
 def assembled(parts: DataFrame) -> DataFrame:

@@ -236,3 +236,100 @@ def test_cycles_against_reachability(spark):
                 want.add((a, min(component), len(component)))
         got = {tuple(x) for x in graph.cycles(spark.createDataFrame(edges, "source long, target long")).collect()}
         assert got == want
+
+
+SKILL = "skill_id string, qualified_name string, name string, priority long, name_terms array<string>, description_terms array<string>, trigger_terms array<string>, enrichment_terms array<string>, negative_terms array<string>, ann double"
+
+
+def skill(i, q, n, p=0, d=(), t=(), e=(), neg=(), ann=0.0):
+    return (i, q, n, p, n.lower().split(), list(d), list(t), list(e), list(neg), ann)
+
+
+def test_routing_gates(spark):
+    from evidex.operators import catalogue
+
+    rows = [
+        skill("a", "team/pdf.tools", "pdf tools", 1, ["extract", "tables"], ["pdf"], neg=["scan"]), skill("b", "home/pdf.tools", "pdf tools", 2, ["merge", "pages"]), skill("c", "x/c++", "c++", 0, ["compile"]),
+        skill("d", "y/twin", "twin", 5), skill("e", "z/twin", "twin", 5), skill("f", "h/han", "資料", 0), skill("g", "k/charts", "charts", 0, ["draw", "tables"], e=["plot"]), skill("h", "l/far", "far", 0, ann=0.9),
+    ]
+    df = spark.createDataFrame(rows, SKILL)
+
+    def run(task, names=(), k=3):
+        got = sorted(catalogue.routed(df, task, names, k).collect(), key=lambda r: r.place)
+        return [r.skill_id for r in got], {r.status for r in got} | {r.code for r in got if r.code}
+
+    assert run("anything", ("PDF tools", "x/C++")) == (["b", "c"], {"ok"})
+    assert run("anything", ("pdf tools", "unknown")) == ([], set())
+    assert run("anything", ("twin",)) == (["d", "e"], {"needs_narrowing", "SKILL_AMBIGUOUS"})
+    assert run("use team/pdf.tools and x/c++ now") == (["a", "c"], {"ok"})
+    inside = catalogue.routed(df, "xteam/pdf.tools1 or teamXpdf.tools then").collect()  # no mention of its own, but it occurs
+    assert [(r.skill_id, r.route, r.score) for r in inside] == [("a", "lexical", 100.0)]
+    assert catalogue.routed(df, "xteam/pdfXtools then").count() == 0
+    assert run("the pdf tools, and charts") == (["b", "g"], {"ok"})
+    assert run("a twin of charts") == (["d", "e"], {"needs_narrowing", "SKILL_AMBIGUOUS"})
+    assert run("把資料整理") == (["f"], {"ok"})
+    assert run("the and for") == ([], set())
+    assert run("extract tables of pdf")[0][0] == "a" and run("extract tables of scan")[0][0] == "a"
+    assert run("draw plot somewhere")[0][0] == "g"
+    got = {r.skill_id: r for r in catalogue.routed(df, "nothing one two three four five six tables", k=5).collect()}
+    assert got["h"].route == "hnsw" and abs(got["h"].score - 1.8) < 1e-9
+    assert catalogue.routed(df.limit(0), "tables").count() == 0
+
+
+def test_scores_of_routing_by_hand(spark):
+    from evidex.operators import catalogue
+
+    rows = [skill("a", "q/a", "alpha beta", 0, ["gamma"], ["gamma"], ["delta"], ["omega"]), skill("b", "q/b", "beta", 0, ["gamma"]), skill("c", "q/c", "zeta", 0)]
+    got = {r.skill_id: r for r in catalogue.routed(spark.createDataFrame(rows, SKILL).drop("ann"), "gamma delta omega", k=3).collect()}
+    idf = lambda df: math.log(1 + 3.5 / (df + 0.5))
+    want = {"a": 8 * idf(2) + 2 * idf(1) - 8, "b": 4 * idf(2)}
+    top = max(want.values())
+    assert {k: r.score for k, r in got.items()} == {k: round(v, 6) for k, v in want.items() if v > 0 and v >= 0.35 * top}
+
+
+def test_tables_are_compared_as_grids(spark):
+    from evidex.operators import quality as Q
+    from evidex.sources import markup
+
+    assert Q.spread([[("a", 2, 1), "b"], ["c", ("d", 1, 2), "e"], ["f", "g"]]) == [["a", "a", "b"], ["c", "d", "e"], ["f", "d", "g"]]
+    html = "<p>x</p><table><tr><th colspan=2>h  1</th></tr><tr><td>a<td>b</tr></table><table><tr><td>other</td></tr></table>"
+    assert markup.table_cells(html) == [[("h 1", 2, 1)], [("a", 1, 1), ("b", 1, 1)]] and markup.table_cells("no table") == []
+    assert Q.teds(markup.table_cells(html), [["h 1", "h 1"], ["a", "b"]]) == 1.0
+    df = spark.createDataFrame([(html, html), (html, html.replace("<td>b", "<td>c")), (None, html)], "a string, b string")
+    assert [r[0] for r in df.select(Q.teds_html_column(F.col("a"), F.col("b"))).collect()] == [1.0, round(1 - 1 / 7, 6), None]
+
+
+def test_tree_distance_against_all_mappings():
+    """The recursion over forests, tried on every pair of small random trees."""
+    import functools
+
+    from evidex.operators import quality as Q
+
+    r = random.Random(2)
+
+    def tree(depth):
+        return (r.choice(("td:ab", "td:ac", "tr", "x")), tuple(tree(depth - 1) for _ in range(r.randint(0, 3 if depth else 0))))
+
+    def brute(a, b, texts):
+        def change(x, y):
+            if x == y:
+                return 0.0
+            if x.startswith("td:") and y.startswith("td:"):
+                return 0.5 if texts else 0.0
+            return 1.0
+
+        @functools.cache
+        def forest(x, y):
+            if not x or not y:
+                return float(sum(map(Q.size, x)) + sum(map(Q.size, y)))
+            (p, c), (q, d) = x[0], y[0]
+            return min(forest(c + x[1:], y) + 1, forest(x, d + y[1:]) + 1, forest(c, d) + forest(x[1:], y[1:]) + change(p, q))
+
+        return forest((a,), (b,))
+
+    for _ in range(300):
+        a, b = tree(2), tree(2)
+        for texts in (True, False):
+            assert abs(Q.tree_distance(a, b, texts) - brute(a, b, texts)) < 1e-9
+    wide = Q.table_tree([["c"] * 40] * 12)
+    assert Q.tree_distance(wide, wide) == 0.0

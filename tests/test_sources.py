@@ -44,3 +44,14 @@ def test_formats_and_encodings(spark):
     raw = spark.createDataFrame([("é".encode(),), ("﻿a".encode(),), ("文件".encode("big5"),), (b"\xff\xfe\xe9x",), (None,)], "b binary")
     got = [r[0] for r in raw.select(M.decoded(F.col("b"))).collect()]
     assert got[:3] == ["é", "a", "文件"] and got[3] is not None and got[4] is None
+
+
+def test_html_elements_carry_ids_classes_and_links(spark):
+    from evidex.sources import markup
+
+    html = """<h1 id="top" class="big  red">Title <a href="/a">one  <b>two</b></a></h1><div id="no"><p>text<script>x</script> <a>none</a> <a href="/b">B</a> and <a href="/c"></a></p></div><ul><li class=x>item</li></ul>"""
+    rows = markup.html_elements(spark.createDataFrame([(1, html), (2, None), (3, "plain")], "k long, h string"), "k", "h").orderBy("id", "pos").collect()
+    got = [(r.id, r.type, r.body, r.element_id, r.classes, [tuple(x) for x in r.links]) for r in rows]
+    assert got == [
+        (1, "heading", "Title one two", "top", ["big", "red"], [("/a", "one two")]), (1, "paragraph", "text none B and", None, [], [("/b", "B"), ("/c", "")]), (1, "paragraph", "item", None, ["x"], []),
+    ]
