@@ -74,8 +74,10 @@ def _refused(rows: DataFrame, code: str, k: int) -> DataFrame:
 def _by_name(hits: DataFrame, k: int) -> DataFrame:
     """Of rows (n: order of the name, skill_id, priority) the one of the highest priority for each name; the first name with several refuses."""
     best = hits.withColumn("p", F.rank().over(Window.partitionBy("n").orderBy(F.desc("priority")))).where("p = 1").withColumn("same", F.count("*").over(Window.partitionBy("n")))
-    doubt = best.where("same > 1").agg(F.min("n")).first()[0]
-    return _exactly(best, k, "n") if doubt is None else _refused(best.where(F.col("n") == F.lit(doubt)), "SKILL_AMBIGUOUS", k)
+    doubt = best.where("same > 1")
+    if doubt.isEmpty():
+        return _exactly(best, k, "n")
+    return _refused(doubt.join(F.broadcast(doubt.agg(F.min("n").alias("n"))), "n", "left_semi"), "SKILL_AMBIGUOUS", k)  # one row
 
 
 def routed(skills: DataFrame, task: str, names: tuple[str, ...] = (), k: int = 3) -> DataFrame:
