@@ -41,6 +41,57 @@ def cascade(names: DataFrame, *candidates: DataFrame) -> DataFrame:
     return names.select("ref").distinct().join(n, "ref", "left").select("ref", F.when(F.col("n") <= 8, F.col("target")).alias("target"), status.alias("status"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+#: Targets of a name alone from which it is left unresolved.
+POSSIBLE = 8
+
+
+def code_references(rows: DataFrame, bound: DataFrame) -> DataFrame:
+    """path, owner, kind, name, line, target, status, n of the calls, bases and decorators in code rows.
+
+    ``rows``: path, row, kind, name, owner, line (nodes and occurrences); ``bound``: path, kind, scope, name, target (what names stand
+    for). A name is, in turn: what an import or a known type of its first part makes of it, a method of the own class or, one
+    step up, of its bases, a symbol of the module; the first of these that is a node is it (RESOLVED). What an
+    import brings from outside is EXTERNAL. Else nodes with the same last name are POSSIBLE, up to eight, of which ``target`` is the
+    smallest. Each way is an equi-join.
+    """
+    nodes = rows.where("row = 'node'").select(F.col("name").alias("target"), "kind", "path").distinct()
+    module = nodes.where("kind = 'module'").select("path", F.col("target").alias("module"))
+    rest = lambda c: F.regexp_extract(c, r"^[^.]+\.(.+)$", 1)
+    first = lambda c: F.regexp_extract(c, r"^[^.]+", 0)
+    after = lambda base, tail: F.when(tail == "", base).otherwise(F.concat(base, F.lit("."), tail))
+    refs = rows.where("row = 'occurrence' and kind in ('call', 'base', 'decorator') and name <> ''").select("path", "owner", "kind", "name", "line").distinct()
+    refs = refs.join(module, "path").withColumn("first", first("name")).withColumn("rest", rest("name")).withColumn("above", F.regexp_replace("owner", r"\.[^.]+$", ""))
+    alias = bound.where("kind = 'alias'").select("path", F.col("name").alias("first"), F.col("target").alias("meant"))
+    # A written type or base is what an import makes of it, or a symbol of its module.
+    meant = bound.where("kind <> 'alias'").withColumn("first", first("target")).withColumn("tail", rest("target")).join(alias, ["path", "first"], "left").join(module, "path")
+    meant = meant.select("kind", "scope", "name", F.when(F.col("meant").isNotNull(), after(F.col("meant"), F.col("tail"))).otherwise(F.concat_ws(".", "module", "target")).alias("type"))
+    types = meant.where("kind = 'type'").select("scope", F.col("name").alias("var"), "type")
+    bases = meant.where("kind = 'base'").select(F.col("scope").alias("above"), "type")
+    own = refs.where("first = 'self' and rest <> ''")
+    keys = ["path", "owner", "kind", "name", "line"]
+    ways = [
+        refs.join(alias, ["path", "first"]).select(*keys, after(F.col("meant"), F.col("rest")).alias("target"), F.lit(0).alias("way")),
+        refs.where("rest <> ''").join(types, (F.col("owner") == F.col("scope")) & (F.col("first") == F.col("var"))).select(*keys, F.concat_ws(".", "type", "rest").alias("target"), F.lit(0).alias("way")),
+        own.join(types, (F.col("above") == F.col("scope")) & (first("rest") == F.col("var"))).where(rest("rest") != "").select(*keys, F.concat_ws(".", "type", rest("rest")).alias("target"), F.lit(0).alias("way")),
+        own.select(*keys, F.concat_ws(".", "above", "rest").alias("target"), F.lit(1).alias("way")),
+        own.join(bases, "above").select(*keys, F.concat_ws(".", "type", "rest").alias("target"), F.lit(2).alias("way")),
+        refs.select(*keys, F.concat_ws(".", "module", "name").alias("target"), F.lit(3).alias("way")),
+    ]
+    last = lambda c: F.regexp_extract(c, r"[^.]+$", 0)
+    alike = nodes.where("kind <> 'module'").select(last("target").alias("last"), "target").distinct()
+    by_name = refs.withColumn("last", last("name")).join(alike, "last").select(*keys, "target", F.lit(4).alias("way"))
+    known = reduce(DataFrame.union, ways).join(nodes.select("target").distinct(), "target", "left_semi").select(*keys, "target", "way").union(by_name)
+    best = known.withColumn("r", F.rank().over(Window.partitionBy(*keys).orderBy("way"))).where("r = 1").groupBy(*keys).agg(F.min("target").alias("target"), F.min("way").alias("way"), F.countDistinct("target").alias("n"))
+    roots = nodes.where("kind = 'module'").select(first("target").alias("root"), F.lit(True).alias("inside")).distinct()
+    outside = refs.join(alias, ["path", "first"]).withColumn("root", first("meant")).join(roots, "root", "left").where("inside is null").groupBy(*keys).agg(F.min(after(F.col("meant"), F.col("rest"))).alias("external"))
+    out = refs.select(*keys).join(outside, keys, "left").join(best, keys, "left")
+    sure = (F.col("way") < 4) & (F.col("n") == 1)
+    loose = F.col("n") <= POSSIBLE
+    status = F.when(sure, "RESOLVED").when(F.col("external").isNotNull(), "EXTERNAL").when(loose, "POSSIBLE").otherwise("UNRESOLVED")
+    target = F.when(sure, F.col("target")).when(F.col("external").isNotNull(), F.col("external")).when(loose, F.col("target"))
+    return out.select(*keys, target.alias("target"), status.alias("status"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def selected(nodes: DataFrame, selectors: DataFrame, most: int = 12) -> DataFrame:
     """selector, node, priority of the nodes that a selector names: by id, else qualified, else display name; ``most`` each."""
     parts = [selectors.join(nodes, selectors["selector"] == nodes[c]).select("selector", "node", F.lit(p).cast("long").alias("priority")) for p, c in enumerate(("node", "qualified_name", "display_name"))]

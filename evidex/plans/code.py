@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import resolve as R
 from ..session import table
 from ..sources import code as C
 
@@ -46,6 +47,13 @@ def cg03_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
+def cg04_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the calls, bases and decorators of all modules are resolved: by name and status."""
+    f = files(spark, sf_dir)
+    r = R.code_references(C.parsed(f), C.bindings(f))
+    return r.groupBy("kind", F.regexp_replace("name", "[0-9]+$", "").alias("name"), "status").agg(F.count("*").alias("n"), F.countDistinct("target").alias("n_targets"))
+
+
 def cg05_absolute_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = _rows(spark, sf_dir).where("kind = 'import' and name like '.%'").select("path", "owner", F.split("name", ":")[0].alias("from"))
     return i.groupBy(C.absolute(F.col("owner"), F.lit(False), F.col("from")).alias("module")).agg(F.count("*").alias("n"))
@@ -110,7 +118,7 @@ def src22_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(path.alias("path")).where(C.wanted(F.col("path")))
 
 
-QUERIES = {f.__name__: f for f in (cg01_code_rows, cg02_import_classes, cg03_sync, cg05_absolute_imports, cg06_packages, cg11_impact_receipt, cg12_evidence, cg14_uncertainty, cg15_code_context, ctx02_code_blocks, src19_scip, src22_scanned)}
+QUERIES = {f.__name__: f for f in (cg01_code_rows, cg02_import_classes, cg03_sync, cg04_resolution, cg05_absolute_imports, cg06_packages, cg11_impact_receipt, cg12_evidence, cg14_uncertainty, cg15_code_context, ctx02_code_blocks, src19_scip, src22_scanned)}
 _F = "f AS (SELECT s_suppkey AS k, s_nationkey AS n, 'pkg/n' || s_nationkey || '/s' || s_suppkey || '.py' AS path, 'pkg.n' || s_nationkey || '.s' || s_suppkey AS module, s_suppkey % 10 <> 0 AS ok FROM supplier)"
 _PER_FILE = "('node', 'class', 1), ('node', 'method', 1), ('node', 'function', 1), ('occurrence', 'import', 6), ('occurrence', 'decorator', 1), ('occurrence', 'base', 1), ('occurrence', 'call', 2), ('blindspot', 'STAR_IMPORT', 1), ('blindspot', 'DYNAMIC_CALL', 1)"
 ORACLE = {
@@ -132,6 +140,6 @@ ORACLE = {
     "src22_scanned": "SELECT CASE p_partkey % 5 WHEN 0 THEN 'src/' ELSE '' END || 'f' || p_partkey || '.py' AS path FROM part WHERE p_size % 3 <> 0 AND p_partkey % 5 IN (0, 3)",
 }
 COVERAGE = {
-    "cg01_code_rows": ("CG01", "UDF04"), "cg02_import_classes": ("CG02",), "cg03_sync": ("CG03",), "cg05_absolute_imports": ("CG05",), "cg06_packages": ("CG06",), "cg11_impact_receipt": ("CG11",), "cg12_evidence": ("CG12",), "cg14_uncertainty": ("CG14",), "cg15_code_context": ("CG15",),
+    "cg01_code_rows": ("CG01", "UDF04"), "cg02_import_classes": ("CG02",), "cg03_sync": ("CG03",), "cg04_resolution": ("CG04", "JOI11"), "cg05_absolute_imports": ("CG05",), "cg06_packages": ("CG06",), "cg11_impact_receipt": ("CG11",), "cg12_evidence": ("CG12",), "cg14_uncertainty": ("CG14",), "cg15_code_context": ("CG15",),
     "ctx02_code_blocks": ("CTX02",), "src19_scip": ("SRC19",), "src22_scanned": ("SRC22",),
 }

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "path string, row string, kind string, name string, owner string, line long, detail string"
-#: Calls whose target cannot be known from the text.
+# Calls whose target cannot be known from the text.
 DYNAMIC = {"eval", "exec", "getattr", "__import__", "importlib.import_module"}
 
 
@@ -120,6 +120,93 @@ def parsed(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
+BINDINGS = "path string, kind string, scope string, name string, target string"
+
+
+class _Bindings(ast.NodeVisitor):
+    """What names stand for: imports (alias), types of attributes, variables and parameters (type), bases of classes (base)."""
+
+    def __init__(self, path: str):
+        self.path, self.scope, self.classes, self.rows = path, [module_name(path)], [], []
+        self.package = self.scope[0].split(".")[: None if path.endswith("__init__.py") else -1]
+
+    def add(self, kind: str, scope: str, name: str, target: str) -> None:
+        if target:
+            self.rows.append((self.path, kind, scope, name, target))
+
+    def visit_Import(self, node: ast.Import) -> None:  # noqa: N802
+        for a in node.names:
+            self.add("alias", self.scope[0], a.asname or a.name.split(".")[0], a.name if a.asname else a.name.split(".")[0])
+
+    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:  # noqa: N802
+        above = self.package[: len(self.package) - node.level + 1] if node.level else []
+        base = ".".join([*above, *([node.module] if node.module else [])])
+        for a in node.names:
+            if a.name != "*":
+                self.add("alias", self.scope[0], a.asname or a.name, f"{base}.{a.name}" if base else a.name)
+
+    def visit_ClassDef(self, node: ast.ClassDef) -> None:  # noqa: N802
+        own = f"{self.scope[-1]}.{node.name}"
+        for b in node.bases:
+            self.add("base", own, "", dotted(b))
+        self.scope.append(own)
+        self.classes.append(own)
+        self.generic_visit(node)
+        self.scope.pop()
+        self.classes.pop()
+
+    def visit_FunctionDef(self, node: ast.FunctionDef) -> None:  # noqa: N802
+        own = f"{self.scope[-1]}.{node.name}"
+        for a in (*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs):
+            self.add("type", own, a.arg, dotted(a.annotation))
+        self.scope.append(own)
+        self.generic_visit(node)
+        self.scope.pop()
+
+    visit_AsyncFunctionDef = visit_FunctionDef
+
+    def bind(self, target: ast.AST, kind: str) -> None:
+        name = dotted(target)
+        if name.startswith("self.") and name.count(".") == 1 and self.classes:
+            self.add("type", self.classes[-1], name[5:], kind)
+        elif name and "." not in name:
+            self.add("type", self.scope[-1], name, kind)
+
+    def visit_Assign(self, node: ast.Assign) -> None:  # noqa: N802
+        value = node.value
+        kind = dotted(value.func) if isinstance(value, ast.Call) else ""
+        if isinstance(value, ast.Name):  # what a parameter or variable is known to be
+            kind = next((t for _, k, scope, name, t in reversed(self.rows) if k == "type" and scope == self.scope[-1] and name == value.id), "")
+        for t in node.targets:
+            self.bind(t, kind)
+        self.generic_visit(node)
+
+    def visit_AnnAssign(self, node: ast.AnnAssign) -> None:  # noqa: N802
+        self.bind(node.target, dotted(node.annotation))
+        self.generic_visit(node)
+
+
+def bindings_of(path: str, content: str | None) -> list[tuple]:
+    """Rows of one file; none of a file that does not parse."""
+    w = _Bindings(path)
+    try:
+        w.visit(ast.parse(content or ""))
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    return w.rows
+
+
+def bindings(files: DataFrame) -> DataFrame:
+    """path, kind (alias, type, base), scope, name, target (as it is written, imports as absolute names) of files (path, content)."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in BINDINGS.split(", ")]
+        for df in it:
+            yield pd.DataFrame([r for p, c in zip(df["path"], df["content"], strict=True) for r in bindings_of(p, c)], columns=columns)
+
+    return files.select("path", "content").mapInPandas(run, BINDINGS).distinct()
+
+
 def wanted(path: Column, include: str = "*.py", exclude: tuple[str, ...] = ("*/.git/*", "*/build/*", "*/node_modules/*", "*/__pycache__/*")) -> Column:
     """Whether a path is scanned: by one glob, and by none of others. A star also matches slashes."""
     glob = lambda g: "^" + "".join({"*": ".*", "?": "."}.get(c, "\\" + c if not c.isalnum() and c != "/" else c) for c in g) + "$"

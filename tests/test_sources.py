@@ -55,3 +55,46 @@ def test_html_elements_carry_ids_classes_and_links(spark):
     assert got == [
         (1, "heading", "Title one two", "top", ["big", "red"], [("/a", "one two")]), (1, "paragraph", "text none B and", None, [], [("/b", "B"), ("/c", "")]), (1, "paragraph", "item", None, ["x"], []),
     ]
+
+
+REPO = {
+    "pkg/__init__.py": "from .service import Service as Main\n",
+    "pkg/repository.py": "class Store:\n    def close(self):\n        pass\n\nclass Repository(Store):\n    def get(self, key):\n        return self.find(key)\n    def find(self, key):\n        self.close()\n        return key\n",
+    "pkg/service.py": "import json\nfrom .repository import Repository\n\nclass Service:\n    def __init__(self, repository: Repository):\n        self.repository = repository\n    def run(self, key):\n        return json.dumps(self.repository.get(key))\n",
+    "pkg/api.py": "from pkg import service as s\nfrom pkg.repository import Repository\n\ndef endpoint(key):\n    svc = s.Service(Repository())\n    return svc.run(key)\n",
+    "tests/test_api.py": "import pkg.api\n\ndef test_endpoint():\n    assert pkg.api.endpoint(1) and helper(2).go() and lonely(3)\n",
+    "broken.py": "def (:",
+}
+
+
+def test_references_are_resolved_by_import_type_class_base_and_name(spark):
+    from evidex.operators import graph, resolve
+    from evidex.sources import code
+
+    files = spark.createDataFrame([*REPO.items(), ("other.py", "def lonely(x):\n    return x\n")], "path string, content string")
+    rows = code.parsed(files)
+    got = {(r.owner, r.name): (r.status, r.target) for r in resolve.code_references(rows, code.bindings(files)).collect()}
+    assert got[("pkg.service.Service.run", "self.repository.get")] == ("RESOLVED", "pkg.repository.Repository.get")
+    assert got[("pkg.api.endpoint", "svc.run")] == ("RESOLVED", "pkg.service.Service.run")
+    assert got[("pkg.api.endpoint", "s.Service")] == ("RESOLVED", "pkg.service.Service") and got[("pkg.api.endpoint", "Repository")] == ("RESOLVED", "pkg.repository.Repository")
+    assert got[("pkg.repository.Repository.get", "self.find")] == ("RESOLVED", "pkg.repository.Repository.find")
+    assert got[("pkg.repository.Repository.find", "self.close")] == ("RESOLVED", "pkg.repository.Store.close")
+    assert got[("pkg.repository", "Store")] == ("RESOLVED", "pkg.repository.Store")
+    assert got[("pkg.service.Service.run", "json.dumps")] == ("EXTERNAL", "json.dumps")
+    assert got[("tests.test_api.test_endpoint", "pkg.api.endpoint")] == ("RESOLVED", "pkg.api.endpoint")
+    assert got[("tests.test_api.test_endpoint", "lonely")] == ("POSSIBLE", "other.lonely") and got[("tests.test_api.test_endpoint", "helper")] == ("UNRESOLVED", None)
+    edges = resolve.code_references(rows, code.bindings(files)).where("status = 'RESOLVED'").select(F.col("target").alias("source"), F.col("owner").alias("target"))
+    impact = {r.node for r in graph.bounded_bfs(edges, spark.createDataFrame([("pkg.repository.Repository.get",)], "node string"), 5).collect()}
+    assert {"pkg.service.Service.run", "pkg.api.endpoint", "tests.test_api.test_endpoint"} <= impact
+    assert resolve.code_references(code.parsed(files.limit(0)), code.bindings(files.limit(0))).count() == 0
+
+
+def test_many_targets_of_a_name_are_left_open(spark):
+    from evidex.operators import resolve
+    from evidex.sources import code
+
+    some = lambda n: spark.createDataFrame([("use.py", "def f(x):\n    x.go()\n"), *((f"m{i}.py", "class C:\n    def go(self):\n        pass\n") for i in range(n))], "path string, content string")
+    for n, status in ((8, "POSSIBLE"), (9, "UNRESOLVED")):
+        f = some(n)
+        r = resolve.code_references(code.parsed(f), code.bindings(f)).where("name = 'x.go'").first()
+        assert (r.status, r.n) == (status, n)
