@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import functools
+import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,3 +72,60 @@ def simhash(blocks: DataFrame, *keys: str, bits: int = 32) -> DataFrame:
     out = terms.groupBy(*keys).agg(*[F.sum(F.when(word(b), F.col("n")).otherwise(-F.col("n"))).alias(f"b{b}") for b in range(bits)])
     value = lambda b: F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long")
     return out.select(*keys, functools.reduce(Column.bitwiseOR, (F.when(F.col(f"b{b}") >= 0, value(b)).otherwise(F.lit(0).cast("long")) for b in range(bits))).alias("simhash"))
+
+
+#: Entries of a lexicon that are sent to the executors at most; of a larger one each text gets its own by a join.
+LEXICON = 500_000
+#: What a character that no entry holds counts, beside the rarest entry.
+UNKNOWN = 5.0
+
+
+def best_path(text: str, weight: dict[str, float], longest: int, unknown: float) -> list[str]:
+    """The words of a text by the best path through the graph of entries that occur in it: the highest sum of weights.
+
+    A character may stand alone at ``unknown``; of equal paths the one whose last word is longest, from the end on.
+    """
+    best, back = [0.0], [0]
+    for end in range(1, len(text) + 1):
+        top, at = best[end - 1] + weight.get(text[end - 1], unknown), end - 1
+        for start in range(max(0, end - longest), end - 1):
+            w = weight.get(text[start:end])
+            if w is not None and (best[start] + w > top or (best[start] + w == top and start < at)):
+                top, at = best[start] + w, start
+        best.append(top)
+        back.append(at)
+    out, end = [], len(text)
+    while end:
+        out.append(text[back[end] : end])
+        end = back[end]
+    return out[::-1]
+
+
+def segmented(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """id and words (array) of texts (id, text) without spaces, by a lexicon (entry, n: how often it occurs).
+
+    An entry weighs the logarithm of its share. A null or empty text has no words.
+    """
+    n, total, longest, rarest = lexicon.agg(F.count("*"), F.sum("n"), F.max(F.length("entry")), F.min("n")).first()
+    rows = texts.select("id", F.coalesce("text", F.lit("")).alias("text"))
+    if not n:
+        return rows.select("id", F.filter(F.split("text", ""), lambda c: c != "").alias("words"))
+    unknown = math.log(rarest / total) - UNKNOWN
+    weighed = lexicon.select("entry", F.log(F.col("n") / total).alias("w"))
+    if n <= LEXICON:
+        sent = texts.sparkSession.sparkContext.broadcast({r.entry: r.w for r in weighed.toLocalIterator()})
+        own = lambda found: sent.value
+        rows = rows.withColumn("found", F.lit(None).cast("map<string,double>"))
+    else:
+        size = F.length("text")
+        cuts = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.substring("text", i, k))))
+        met = rows.select("id", F.explode(F.array_distinct(cuts)).alias("entry")).distinct().join(weighed, "entry")
+        rows = rows.join(met.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("entry", "w"))).alias("found")), "id", "left")
+        own = lambda found: dict(found or ())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [best_path(t, own(f), longest, unknown) for t, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], names=["id", "words"])
+
+    return rows.select("id", "text", "found").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, words array<string>")

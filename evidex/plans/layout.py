@@ -100,6 +100,17 @@ def pip24_page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", L.citation_label(F.col("doc_id"), L.printed_label(foot), kind).alias("label"))
 
 
+def nat12_lattices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table for each document, drawn by ruled edges: a flat one above each of 1 to 5 rows and below, an upright one about each of 1 to 4 columns, all in two pieces that touch."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), (F.col("n_chars") % 5 + 1).alias("r"), (F.col("n_chars") % 4 + 1).alias("c"))
+    line = lambda x0, y0, x1, y1: F.struct(*[v.cast("double").alias(n) for n, v in (("x0", x0), ("y0", y0), ("x1", x1), ("y1", y1))])
+    at = lambda i: 100 + i * 50
+    lo, mid = F.lit(100), F.lit(110)
+    flat = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), "r"), lambda i: F.array(line(lo, at(i), mid, at(i)), line(mid + 1, at(i), at(F.col("c")), at(i)))))
+    upright = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), "c"), lambda i: F.array(line(at(i), lo, at(i), mid), line(at(i), mid, at(i), at(F.col("r"))))))
+    return L.lattices(d.select("key", F.inline(F.concat(flat, upright)))).withColumnRenamed("key", "doc_id")
+
+
 def agg24_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters per thousand square points of each page, and whether it is so empty that it would be read by OCR."""
     g = _lines(spark, sf_dir).groupBy("doc_id", "page").agg(F.sum("n").alias("chars"))
@@ -111,7 +122,7 @@ def agg25_body_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.body_size(_lines(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (agg24_density, agg25_body_size, pip02_reading_order, pip03_superscripts, pip05_roles, pip06_toc_items, pip08_heading_levels, pip10_kinds, pip11_continuations, pip14_images, pip16_toc_links, pip18_relations, pip20_numbered_parents, pip24_page_labels)}
+QUERIES = {f.__name__: f for f in (agg24_density, agg25_body_size, nat12_lattices, pip02_reading_order, pip03_superscripts, pip05_roles, pip06_toc_items, pip08_heading_levels, pip10_kinds, pip11_continuations, pip14_images, pip16_toc_links, pip18_relations, pip20_numbered_parents, pip24_page_labels)}
 _LINES = f"""{BLOCKS_SQL},
 l AS (SELECT doc_id, (pos // 20)::BIGINT AS page, pos::BIGINT AS pos, body, length(body) AS n,
         CASE WHEN length(body) % 7 = 0 THEN 14e0 ELSE 10e0 + length(body) % 3 * 0.5e0 END AS size, (pos % 20) * 40e0 AS y0, (pos % 20) * 40e0 + 25e0 AS y1,
@@ -120,6 +131,7 @@ _BODY_SIZE = """s AS (SELECT doc_id, size, sum(n) AS n FROM {rows} GROUP BY ALL)
 r AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY size) AS run, sum(n) OVER (PARTITION BY doc_id) AS total FROM s),
 f AS (SELECT doc_id, min(size) AS body_size FROM r WHERE run * 2 >= total GROUP BY doc_id)"""
 ORACLE = {
+    "nat12_lattices": "SELECT doc_id, 100e0 AS x0, 100e0 AS y0, (150 + n_chars % 4 * 50)::DOUBLE AS x1, (150 + n_chars % 5 * 50)::DOUBLE AS y1, n_chars % 5 + 1 AS n_rows, n_chars % 4 + 1 AS n_columns FROM documents",
     "pip03_superscripts": f"""WITH {_LINES}, w AS (SELECT doc_id, pos, unnest(string_split(body, ' ')) AS w FROM l),
         s AS (SELECT doc_id, pos, CASE WHEN length(w) % 5 = 0 THEN 6e0 ELSE 10e0 END AS size, length(w) % 2 * 3e0 AS top FROM w),
         m AS (SELECT *, median(size) OVER p AS ms, median(top) OVER p AS mt, count(*) OVER p AS c FROM s WINDOW p AS (PARTITION BY doc_id, pos))
@@ -151,6 +163,6 @@ ORACLE = {
     "agg25_body_size": f"WITH {_LINES}, {_BODY_SIZE.format(rows='l')} SELECT * FROM f",
 }
 COVERAGE = {
-    "agg24_density": ("AGG24", "SRC20"), "agg25_body_size": ("AGG25",), "pip02_reading_order": ("PIP02", "NAT08", "NAT17"), "pip03_superscripts": ("PIP03",), "pip05_roles": ("PIP05",), "pip06_toc_items": ("PIP06",), "pip08_heading_levels": ("PIP08",),
+    "agg24_density": ("AGG24", "SRC20"), "agg25_body_size": ("AGG25",), "nat12_lattices": ("NAT12",), "pip02_reading_order": ("PIP02", "NAT08", "NAT17"), "pip03_superscripts": ("PIP03",), "pip05_roles": ("PIP05",), "pip06_toc_items": ("PIP06",), "pip08_heading_levels": ("PIP08",),
     "pip10_kinds": ("PIP10",), "pip11_continuations": ("PIP11", "PIP12"), "pip14_images": ("PIP14",), "pip16_toc_links": ("PIP16", "NAT14"), "pip18_relations": ("PIP18", "PIP23"), "pip20_numbered_parents": ("PIP20",), "pip24_page_labels": ("PIP24", "FN12"),
 }

@@ -44,6 +44,15 @@ def agg06_new_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("rank").cast("long"), "term", "freq", "support", "left_entropy", "right_entropy", "score")
 
 
+def nat24_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in Han characters without their spaces, cut into words by a lexicon of the words that occur five times or more."""
+    han = F.translate(F.regexp_replace(F.lower("body"), "[^a-z ]", ""), _LATIN, _HAN)
+    lines = _blocks(spark, sf_dir).select(F.concat_ws(":", "doc_id", "pos").alias("id"), han.alias("t"))
+    lexicon = lines.select(F.explode(F.split("t", " ")).alias("entry")).where("entry <> ''").groupBy("entry").agg(F.count("*").alias("n")).where("n >= 5")
+    found = T.segmented(lines.select("id", F.replace("t", F.lit(" "), F.lit("")).alias("text")), lexicon)
+    return found.select("id", F.size("words").cast("long").alias("n_words"), F.md5(F.array_join("words", " ")).alias("words_md5"))
+
+
 def agg07_search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = T.keywords(_stats(spark, sf_dir), "doc_id", k=5).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("k"))
     every = F.array_distinct(F.concat(F.array(F.lower("source")), F.coalesce("k", F.array().cast("array<string>")), F.array("lang")))
@@ -233,7 +242,7 @@ def tre04_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (agg04_thresholds, agg06_new_words, agg07_search_terms, agg08_weighted_terms, agg09_text_rank, agg10_key_phrases, agg12_retrieval_terms, agg13_term_skills, agg18_digests, agg22_budget_report, agg26_summary_stats, ctx03_integrity, ctx04_context_search, ctx07_evidence, fn24_signals, rnk07_granularity, rnk08_routed_search, rnk10_distinct_hits, rnk14_profiles, rnk16_batch_read, rnk17_answers, sum02_assembly, sum07_likeness, sum10_clauses, sum12_span_contract, tre04_ids, tre05_read)
+    for f in (nat24_segments, agg04_thresholds, agg06_new_words, agg07_search_terms, agg08_weighted_terms, agg09_text_rank, agg10_key_phrases, agg12_retrieval_terms, agg13_term_skills, agg18_digests, agg22_budget_report, agg26_summary_stats, ctx03_integrity, ctx04_context_search, ctx07_evidence, fn24_signals, rnk07_granularity, rnk08_routed_search, rnk10_distinct_hits, rnk14_profiles, rnk16_batch_read, rnk17_answers, sum02_assembly, sum07_likeness, sum10_clauses, sum12_span_contract, tre04_ids, tre05_read)
 }
 _STATS = f"{LEAVES_SQL}, st AS (SELECT doc_id, term, sum(tf)::BIGINT AS tf, count(*) AS support FROM leaves GROUP BY ALL)"
 _B = f"{BLOCKS_SQL}, b AS (SELECT doc_id, pos::BIGINT AS pos, body, length(body) AS n FROM blocks)"
@@ -328,7 +337,7 @@ ORACLE["agg26_summary_stats"] = ORACLE["agg26_summary_stats"].replace("{score}",
 ORACLE["sum10_clauses"] = f"""WITH {_CLAUSES}, w AS (SELECT *, count(*) OVER p AS k, sum(length(clause)) OVER p AS chars FROM c WINDOW p AS (PARTITION BY doc_id, pos)),
         v AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY {_SCORE} DESC, i) AS place FROM w) SELECT doc_id, pos, count(*) AS n_kept, min(i) AS first FROM v WHERE {_KEEP} GROUP BY doc_id, pos"""
 COVERAGE = {
-    "agg04_thresholds": ("AGG04",), "agg06_new_words": ("AGG06",), "agg07_search_terms": ("AGG07",), "agg08_weighted_terms": ("AGG08",), "agg09_text_rank": ("AGG09",), "agg10_key_phrases": ("AGG10",), "agg12_retrieval_terms": ("AGG12",), "agg13_term_skills": ("AGG13",),
+    "agg04_thresholds": ("AGG04",), "agg06_new_words": ("AGG06",), "nat24_segments": ("NAT24",), "agg07_search_terms": ("AGG07",), "agg08_weighted_terms": ("AGG08",), "agg09_text_rank": ("AGG09",), "agg10_key_phrases": ("AGG10",), "agg12_retrieval_terms": ("AGG12",), "agg13_term_skills": ("AGG13",),
     "agg18_digests": ("AGG18",), "agg22_budget_report": ("AGG22",), "agg26_summary_stats": ("AGG26",), "ctx03_integrity": ("CTX03",), "ctx04_context_search": ("CTX04",), "ctx07_evidence": ("CTX07",), "fn24_signals": ("FN24", "FN25"), "rnk07_granularity": ("RNK07",),
     "rnk08_routed_search": ("RNK08", "RNK09", "SRT03"), "rnk10_distinct_hits": ("RNK10",), "rnk14_profiles": ("RNK14", "RNK18", "FN26"), "rnk16_batch_read": ("RNK16",), "rnk17_answers": ("RNK17",), "sum02_assembly": ("SUM02",), "sum07_likeness": ("SUM05", "SUM07"), "sum10_clauses": ("SUM10",),
     "sum12_span_contract": ("SUM12",), "tre04_ids": ("TRE04",), "tre05_read": ("TRE05",),

@@ -333,3 +333,29 @@ def test_tree_distance_against_all_mappings():
             assert abs(Q.tree_distance(a, b, texts) - brute(a, b, texts)) < 1e-9
     wide = Q.table_tree([["c"] * 40] * 12)
     assert Q.tree_distance(wide, wide) == 0.0
+
+
+def test_segments_against_all_paths(spark, monkeypatch):
+    """The best of all ways to cut a text, by a lexicon that is sent and by one that is joined."""
+    import itertools
+
+    from evidex.operators import terms
+
+    r = random.Random(6)
+    entries = {"".join(r.choices("甲乙丙丁", k=r.randint(1, 3))): r.randint(1, 50) for _ in range(25)}
+    total, rarest = sum(entries.values()), min(entries.values())
+    weight = {e: math.log(n / total) for e, n in entries.items()}
+    unknown = math.log(rarest / total) - terms.UNKNOWN
+    texts = ["".join(r.choices("甲乙丙丁戊", k=r.randint(0, 8))) for _ in range(40)]
+    lexicon = spark.createDataFrame(list(entries.items()), "entry string, n long")
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "id long, text string")
+    for most in (terms.LEXICON, 3):
+        monkeypatch.setattr(terms, "LEXICON", most)
+        got = {x.id: x.words for x in terms.segmented(df, lexicon).collect()}
+        assert got[99] == []
+        for i, t in enumerate(texts):
+            assert "".join(got[i]) == t
+            value = lambda words: sum(weight.get(w, unknown if len(w) == 1 else -1e9) for w in words)
+            ways = [[t[a:b] for a, b in itertools.pairwise([0, *cuts, len(t)])] for k in range(len(t)) for cuts in itertools.combinations(range(1, len(t)), k)] if t else [[]]
+            assert abs(value(got[i]) - max(map(value, ways))) < 1e-9
+    assert {x.id: x.words for x in terms.segmented(df, lexicon.limit(0)).collect()}[0] == list(texts[0])
