@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -27,7 +28,7 @@ SIGNALS = {
 
 
 def thresholds(kind: Column, leaves: Column, chars: Column) -> tuple[Column, Column]:
-    """Least support and least frequency of a keyword of a block of this kind."""
+    """Least support and least frequency of a keyword of a block of this kind (fixed values)."""
     up = lambda c, share: F.ceil(c * share).cast("long")
     most = lambda n, c: F.greatest(F.lit(n).cast("long"), c)
     leaf = kind.isin("paragraph", "table", "image", "footnote")
@@ -95,37 +96,58 @@ def retrieval_terms(stats: DataFrame, n_leaves: DataFrame, k: int) -> DataFrame:
     return chosen.select("doc_id", F.posexplode("c").alias("p", "t")).select("doc_id", (F.col("p") + 1).cast("long").alias("rank"), F.col("t.term").alias("term"))
 
 
+# What a name adds at most, shares of its frequency and its place in that, share of names among the terms, part of the least rank that stays.
+NAMES, OFTEN, EARLY, SHARE, FLOOR = 0.25, 0.7, 0.3, 0.4, 0.1
+
+
 def text_rank(words: DataFrame, window: int = 5, steps: int = 10, damping: float = 0.85, k: int = 12) -> DataFrame:
     """doc_id, rank, term, weight: terms ranked on the graph of what stands within ``window`` words of one another.
 
-    ``words``: doc_id, words (array, in order). The graph of a document is bounded by its distinct terms; ranks are
-    updated in place, term by term in the order of their first occurrence, so the result does not depend on chance.
+    ``words``: doc_id, words (array, in order), proper (array of booleans: whether the word stands there as a name). The graph of a document is
+    bounded by its distinct terms; ranks are updated in place, term by term in the order of their first occurrence, so the result does
+    not depend on chance. Names gain by how often and how early they stand; no more than SHARE of the terms are names while there are others.
     """
 
+    def ranks(ids: np.ndarray, n: int) -> np.ndarray:
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *(np.stack((ids[:-s], ids[s:]), 1) for s in range(1, window) if len(ids) > s)])
+        edge, count = np.unique(np.concatenate((pairs[:, 0] * n + pairs[:, 1], pairs[:, 1] * n + pairs[:, 0])), return_counts=True)
+        a, b = edge // n, edge % n
+        total, cut = np.bincount(a, count, n), np.searchsorted(a, np.arange(n + 1))
+        rank = np.full(n, 1 / n)
+        for _ in range(steps):
+            for i in range(n):
+                at = b[cut[i] : cut[i + 1]]
+                rank[i] = 1 - damping + damping * (count[cut[i] : cut[i + 1]] / np.maximum(total[at], 1) * rank[at]).sum()
+        low = rank.min() * FLOOR
+        return (rank - low) / (rank.max() - low) if rank.max() > low else rank
+
     def run(df: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for d, w in zip(df["doc_id"], df["words"], strict=True):
+        for d, w, p in zip(df["doc_id"], df["words"], df["proper"], strict=True):
             w = list(w)
-            names = {t: i for i, t in enumerate(dict.fromkeys(w))}
-            ids = np.array([names[t] for t in w], np.int64)
-            pairs = [np.stack((ids[:-s], ids[s:]), 1) for s in range(1, window) if len(ids) > s]
-            both = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-            both = both[both[:, 0] != both[:, 1]]
-            n = len(names)
-            edge, count = np.unique(np.concatenate((both[:, 0] * n + both[:, 1], both[:, 1] * n + both[:, 0])), return_counts=True)
-            a, b = edge // n, edge % n
-            total = np.bincount(a, count, n)
-            cut = np.searchsorted(a, np.arange(n + 1))
-            rank = np.ones(n)
-            for _ in range(steps):
-                for i in range(n):
-                    at = b[cut[i] : cut[i + 1]]
-                    rank[i] = 1 - damping + damping * (count[cut[i] : cut[i + 1]] / np.maximum(total[at], 1) * rank[at]).sum()
-            best = sorted(names, key=lambda t: (-round(rank[names[t]], 9), t))[:k]
-            out += [(d, i + 1, t, round(float(rank[names[t]]), 6)) for i, t in enumerate(best)]
+            if not w:
+                continue
+            names = list(dict.fromkeys(w))
+            place = {t: i for i, t in enumerate(names)}
+            ids = np.array([place[t] for t in w], np.int64)
+            weight = ranks(ids, len(names))
+            proper = np.bincount(ids, np.asarray(p, float), len(names)) > 0
+            if proper.any():
+                tf = np.log1p(np.bincount(ids, minlength=len(names)))
+                first = np.full(len(names), len(w))
+                np.minimum.at(first, ids, np.arange(len(w)))
+                worth = OFTEN * tf / tf[proper].max() + EARLY * np.clip(1 - first / max(len(w) - 1, 1), 0, 1)
+                weight = weight + np.where(proper, NAMES * (1 - weight) * worth, 0)
+            order = sorted(range(len(names)), key=lambda i: (-round(weight[i], 9), names[i]))
+            wanted = min(k, len(order))
+            most = math.ceil(wanted * SHARE)
+            nth = np.cumsum(proper[order])
+            held = [i for i, n in zip(order, nth, strict=True) if not proper[i] or n <= most][:wanted]
+            held = set(held + [i for i in order if i not in set(held)][: wanted - len(held)])
+            out += [(d, r + 1, names[i], round(float(weight[i]), 6)) for r, i in enumerate(i for i in order if i in held)]
         return pd.DataFrame(out, columns=["doc_id", "rank", "term", "weight"])
 
-    return words.mapInPandas(lambda it: map(run, it), "doc_id long, rank long, term string, weight double")
+    return words.select("doc_id", "words", "proper").mapInPandas(lambda it: map(run, it), "doc_id long, rank long, term string, weight double")
 
 
 def key_phrases(words: DataFrame, ranked: DataFrame, longest: int = 4) -> DataFrame:

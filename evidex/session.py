@@ -1,6 +1,7 @@
 """Session builder with the settings every plan in this package assumes."""
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -41,8 +43,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the session's checkpoint folder, with its lineage cut."""
+    """df computed once and kept in the session's checkpoint folder, with its lineage cut.
+
+    Where no folder is named, one of this machine serves a local session; on a cluster it is an error. Checkpoints of
+    frames that are no longer used go if the session was built by build_session() (cleanCheckpoints).
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "evidex-checkpoints"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        sc.setCheckpointDir(path or os.path.join(tempfile.gettempdir(), "evidex-checkpoints"))
     return df.checkpoint(eager=True)

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from evidex.functions import text as X
@@ -359,3 +360,43 @@ def test_segments_against_all_paths(spark, monkeypatch):
             ways = [[t[a:b] for a, b in itertools.pairwise([0, *cuts, len(t)])] for k in range(len(t)) for cuts in itertools.combinations(range(1, len(t)), k)] if t else [[]]
             assert abs(value(got[i]) - max(map(value, ways))) < 1e-9
     assert {x.id: x.words for x in terms.segmented(df, lexicon.limit(0)).collect()}[0] == list(texts[0])
+
+
+def test_text_rank_against_plain_loops(spark):
+    from evidex.operators import ranking
+
+    r = random.Random(8)
+    docs = [(d, [r.choice("abcdefghij") * 2 for _ in range(r.randint(0, 40))]) for d in range(12)]
+    rows = [(d, w, [t[0] in "abc" and r.random() < 0.7 for t in w]) for d, w in docs]
+    got = {}
+    for x in ranking.text_rank(spark.createDataFrame(rows, "doc_id long, words array<string>, proper array<boolean>"), k=6).orderBy("rank").collect():
+        got.setdefault(x.doc_id, []).append((x.term, x.weight))
+    for d, w, p in rows:
+        names = list(dict.fromkeys(w))
+        near = {t: {} for t in names}
+        for i in range(len(w)):
+            for j in range(i + 1, min(i + 5, len(w))):
+                near[w[i]][w[j]] = near[w[i]].get(w[j], 0) + 1
+                near[w[j]][w[i]] = near[w[j]].get(w[i], 0) + 1
+        rank = {t: 1 / len(names) for t in names}
+        for _ in range(10):
+            for t in names:
+                rank[t] = 0.15 + 0.85 * sum(n / sum(near[u].values()) * rank[u] for u, n in near[t].items())
+        if not names:
+            assert d not in got
+            continue
+        low, high = min(rank.values()) / 10, max(rank.values())
+        rank = {t: (v - low) / (high - low) for t, v in rank.items()}
+        proper = {t for t, q in zip(w, p, strict=True) if q}
+        top = max((math.log1p(w.count(t)) for t in proper), default=1)
+        for t in proper:
+            worth = 0.7 * math.log1p(w.count(t)) / top + 0.3 * (1 - w.index(t) / max(len(w) - 1, 1))
+            rank[t] += 0.25 * (1 - rank[t]) * worth
+        order = sorted(names, key=lambda t: (-round(rank[t], 9), t))
+        wanted, held, late = min(6, len(order)), [], []
+        for t in order:
+            if len(held) == wanted:
+                break
+            (late if t in proper and sum(x in proper for x in held) >= math.ceil(wanted * 0.4) else held).append(t)
+        held = set(held + late[: wanted - len(held)])
+        assert [(t, pytest.approx(rank[t], abs=2e-6)) for t in order if t in held] == got[d]
