@@ -103,7 +103,7 @@ NAMES, OFTEN, EARLY, SHARE, FLOOR = 0.25, 0.7, 0.3, 0.4, 0.1
 def text_rank(words: DataFrame, window: int = 5, steps: int = 10, damping: float = 0.85, k: int = 12) -> DataFrame:
     """doc_id, rank, term, weight: terms ranked on the graph of what stands within ``window`` words of one another.
 
-    ``words``: doc_id, words (array, in order), proper (array of booleans: whether the word stands there as a name). The graph of a document is
+    ``words``: doc_id, words (array, in order), and, if there, proper (array of booleans: whether the word stands there as a name). The graph of a document is
     bounded by its distinct terms; ranks are updated in place, term by term in the order of their first occurrence, so the result does
     not depend on chance. Names gain by how often and how early they stand; no more than SHARE of the terms are names while there are others.
     """
@@ -147,7 +147,8 @@ def text_rank(words: DataFrame, window: int = 5, steps: int = 10, damping: float
             out += [(d, r + 1, names[i], round(float(weight[i]), 6)) for r, i in enumerate(i for i in order if i in held)]
         return pd.DataFrame(out, columns=["doc_id", "rank", "term", "weight"])
 
-    return words.select("doc_id", "words", "proper").mapInPandas(lambda it: map(run, it), "doc_id long, rank long, term string, weight double")
+    proper = F.col("proper") if "proper" in words.columns else F.transform("words", lambda _: F.lit(False))
+    return words.select("doc_id", "words", proper.alias("proper")).mapInPandas(lambda it: map(run, it), "doc_id long, rank long, term string, weight double")
 
 
 def key_phrases(words: DataFrame, ranked: DataFrame, longest: int = 4) -> DataFrame:
