@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -100,6 +102,62 @@ def longest_matches(text: Column, lexicon: list[str]) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({quoted})"), 1)
 
 
+#: Entries of a dictionary that are sent to the executors at most.
+DICTIONARY = 1_000_000
+
+
+def dictionary_matches(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """id, entry, start, end of the entries in texts (id, text): from the left, at each place the longest, none overlapping another.
+
+    ``dictionary``: entry, and priority if there (an entry of a lower one gives way to any of a higher one that it overlaps). Case of A-Z
+    does not count. All entries are looked for in one pass (Aho-Corasick), however many they are; a dictionary of more than
+    DICTIONARY entries is an error. Null texts and entries match nothing.
+    """
+    priority = F.col("priority").cast("long") if "priority" in dictionary.columns else F.lit(0).cast("long")
+    own = dictionary.where("entry <> ''").groupBy(F.translate("entry", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("entry")).agg(F.max(priority).alias("priority"))
+    if (n := own.limit(DICTIONARY + 1).count()) > DICTIONARY:
+        raise ValueError(f"a dictionary of more than {DICTIONARY} entries")
+    sent = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in own.toLocalIterator()] if n else [])
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for entry, p in sent.value:
+            automaton.add_word(entry, (p, len(entry), entry))
+        if sent.value:
+            automaton.make_automaton()
+        for df in it:
+            out = []
+            for i, t in zip(df["id"], df["text"].fillna(""), strict=True):
+                low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+                found = sorted((-p, end + 1 - size, -size, entry) for end, (p, size, entry) in automaton.iter(low)) if sent.value else []
+                kept: list[tuple[int, int, str]] = []
+                for _, group in itertools.groupby(found, key=lambda f: f[0]):  # the highest priority first
+                    taken, free = sorted(kept), 0
+                    for _, start, size, entry in group:
+                        end = start - size
+                        k = bisect.bisect_right(taken, (start, end, entry))
+                        if start >= free and (not k or taken[k - 1][1] <= start) and (k == len(taken) or taken[k][0] >= end):
+                            kept.append((start, end, entry))
+                            free = end
+                out += [(i, e, a, b) for a, b, e in sorted(kept)]
+            yield pd.DataFrame(out, columns=["id", "entry", "start", "end"])
+
+    kind = dict(texts.dtypes)["id"]
+    return texts.select("id", "text").mapInPandas(run, f"id {kind}, entry string, start long, end long")
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded half to even by its exact binary value, as Python does; the JVM's bround() takes the shortest decimal for it."""
+
+    @F.pandas_udf("double")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: round(v, digits), na_action="ignore")
+
+    return run(x)
+
+
 class _Lines(DataSourceReader):
     def __init__(self, options: dict):
         self.texts = options.get("texts", "").split("\x1e")

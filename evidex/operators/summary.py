@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,37 @@ PROXY = (0.60, 0.30, 0.10)
 TERMS = re.compile(r"[a-z][a-z0-9_+-]+|[\u4e00-\u9fff]+")
 
 
+class OptionsError(ValueError):
+    """Options that no summary can be made with."""
+
+
+@dataclass(frozen=True)
+class Options:
+    """What a summary is made with; checked when it is made. A threshold of None is not applied.
+
+    top_k: sentences at most; similarity: bm25 or lexical (cosine of term counts); least: value that a choice needs; repeats: likeness from
+    which a sentence repeats a chosen one; min_chars: characters of a sentence; window: characters that are read at once; text_form: raw
+    or normalized (white space as single spaces); preserve_order: in order of the text, else of choice.
+    """
+
+    top_k: int = 8
+    similarity: str = "bm25"
+    least: float | None = LEAST
+    repeats: float | None = REPEATS
+    min_chars: int = 8
+    window: int = 40_000
+    text_form: str = "normalized"
+    preserve_order: bool = True
+
+    def __post_init__(self):
+        wrong = {
+            "top_k": self.top_k < 1, "similarity": self.similarity not in ("bm25", "lexical"), "min_chars": self.min_chars < 1, "window": self.window < 1_000, "text_form": self.text_form not in ("raw", "normalized"),
+            "least": self.least is not None and not 0 <= self.least <= 1, "repeats": self.repeats is not None and not 0 <= self.repeats <= 1,
+        }
+        if any(wrong.values()):
+            raise OptionsError(f"unfit: {', '.join(f'{n}={getattr(self, n)!r}' for n, w in wrong.items() if w)}")
+
+
 def most_candidates(k: int) -> int:
     return max(256, min(1024, 2 * k))
 
@@ -53,6 +85,18 @@ def likeness(texts: list[str], k1: float = 1.2, b: float = 0.75) -> np.ndarray:
     return v / (1 + v)
 
 
+def cosine(texts: list[str]) -> np.ndarray:
+    """Cosine of the counts of portable terms; nothing on the diagonal."""
+    terms = [portable_terms(t) for t in texts]
+    names = {t: i for i, t in enumerate(dict.fromkeys(t for own in terms for t in own))}
+    tf = np.zeros((len(texts), len(names)))
+    np.add.at(tf, (np.repeat(np.arange(len(terms)), [len(t) for t in terms]), [names[t] for own in terms for t in own]), 1)
+    tf /= np.maximum(np.sqrt((tf * tf).sum(1, keepdims=True)), 1e-300)
+    out = np.clip(tf @ tf.T, 0, 1)
+    np.fill_diagonal(out, 0)
+    return out
+
+
 def page_rank(weights: np.ndarray) -> np.ndarray:
     """Ranks by power iteration; a node without links spreads evenly."""
     n = len(weights)
@@ -67,13 +111,15 @@ def page_rank(weights: np.ndarray) -> np.ndarray:
     return rank
 
 
-def choose(texts: list[str], told: np.ndarray, signal: np.ndarray, k: int) -> list[int]:
-    """Places of up to k sentences, in order of the text, taken one at a time by relevance, what they cover, novelty and signals.
+def choose(texts: list[str], told: np.ndarray, signal: np.ndarray, k: int, options: Options | None = None) -> list[int]:
+    """Places of up to k sentences, in order of the text (or as ``options`` say), taken one at a time by relevance, what they cover, novelty and signals.
 
     ``told``: the discourse score of each, below which its relevance does not fall. What a sentence covers is the mean
     rise, over all sentences, of the greatest likeness to one that is chosen.
     """
-    alike = likeness(texts)
+    options = options or Options()
+    alike = (likeness if options.similarity == "bm25" else cosine)(texts)
+    least, repeats = (0.0 if options.least is None else options.least), (2.0 if options.repeats is None else options.repeats)
     rank = page_rank(alike)
     relevance = np.clip(np.maximum(CENTRALITY * rank / max(rank.max(), 1e-6), told), 0, 1)
     reach = alike + np.eye(len(texts))
@@ -82,14 +128,14 @@ def choose(texts: list[str], told: np.ndarray, signal: np.ndarray, k: int) -> li
     while len(chosen) < min(k, len(texts)):
         gain = np.maximum(reach - covered, 0).mean(1)
         value = np.clip(np.stack((relevance, gain, 1 - near, signal), 1) @ CHOICE, 0, 1)
-        value[~free | (near >= REPEATS) | (value < LEAST)] = -1
+        value[~free | (near >= repeats) | (value < least)] = -1
         best = int(value.argmax())
         if value[best] < 0:
             break
         chosen.append(best)
         free[best] = False
         covered, near = np.maximum(covered, reach[best]), np.maximum(near, alike[best])
-    return sorted(chosen)
+    return sorted(chosen) if options.preserve_order else chosen
 
 
 def candidates(rows: DataFrame, most: int) -> DataFrame:
@@ -104,16 +150,22 @@ def candidates(rows: DataFrame, most: int) -> DataFrame:
     return rows.where((F.col("of") <= most) | (F.col("place") <= few) | even).drop("place")
 
 
-def summaries(blocks: DataFrame, k: int = 3) -> DataFrame:
+def summaries(blocks: DataFrame, k: int = 3, options: Options | None = None) -> DataFrame:
     """doc_id, n, sentence of each document's summary, and the document's number of sentences.
 
-    A document's candidates are bounded (candidates()) before they meet in one group, so its matrix is bounded, too.
+    A document's candidates are bounded (candidates()) before they meet in one group, so its matrix is bounded, too. ``options`` set
+    the number of sentences, too; OptionsError if they are unfit.
     """
-    rows = sentences(blocks).withColumn("told", discourse(F.col("sentence"))).withColumn("signal", signal_score(F.col("sentence")))
+    k = options.top_k if options else k
+    rows = sentences(blocks)
+    if options:
+        rows = rows.where(F.length("sentence") >= options.min_chars)
+        rows = rows.withColumn("sentence", F.regexp_replace("sentence", r"\s+", " ")) if options.text_form == "normalized" else rows
+    rows = rows.withColumn("told", discourse(F.col("sentence"))).withColumn("signal", signal_score(F.col("sentence")))
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("n")
-        return df.iloc[choose(df["sentence"].tolist(), df["told"].to_numpy(), df["signal"].to_numpy(), k)][["doc_id", "n", "sentence", "of"]]
+        return df.iloc[choose(df["sentence"].tolist(), df["told"].to_numpy(), df["signal"].to_numpy(), k, options)][["doc_id", "n", "sentence", "of"]]
 
     return candidates(rows, most_candidates(k)).groupBy("doc_id").applyInPandas(run, "doc_id long, n long, sentence string, of long")
 

@@ -79,9 +79,9 @@ def fn22_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fn28_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roots, logarithms and shares of prices, rounded; half cases do not occur in them."""
+    """Roots, logarithms and shares, rounded; eighths to two digits are half cases, which go to the even neighbour."""
     p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", F.round(F.sqrt("p_retailprice"), 4).alias("root"), F.round(F.log1p("p_retailprice"), 6).alias("log"), F.bround(F.col("p_size") / 7, 4).alias("share"))
+    return p.select("p_partkey", F.round(F.sqrt("p_retailprice"), 4).alias("root"), F.round(F.log1p("p_retailprice"), 6).alias("log"), F.bround(F.col("p_size") / 7, 4).alias("share"), F.bround(F.col("p_size") / 8, 2).alias("half"), X.rounded(F.col("p_size") / 8, 2).alias("exact_half"))
 
 
 def agg16_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +144,14 @@ def udf09_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", hits.alias("entry")).groupBy("doc_id", "entry").agg(F.count("*").alias("n"))
 
 
+def nat25_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Common words of six letters or more, as a dictionary, wherever they occur in the texts, inside other words too; those of ten or more go before others."""
+    d = _docs(spark, sf_dir)
+    words = d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{6,})"), 1)).alias("entry")).groupBy("entry").agg(F.count("*").alias("n")).where("n >= 5")
+    found = X.dictionary_matches(d.select(F.col("doc_id").alias("id"), "text"), words.select("entry", (F.length("entry") >= 10).cast("long").alias("priority")))
+    return found.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n"), F.count_distinct("entry").alias("n_entries"), F.sum("start").alias("starts"))
+
+
 def nat26_affect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polarity of each document by a lexicon of its own common words (by length), joined on the word."""
     w = _docs(spark, sf_dir).select("doc_id", F.explode(F.split(F.lower("text"), r"[ \n]")).alias("term")).where("term <> ''")
@@ -191,7 +199,7 @@ def pip07_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (agg16_branches, fn06_language_tags, fn07_queries, fn22_tokens, fn28_rounding, nat22_relations, nat26_affect, pip07_figures, pip25_stage_report, src09_docx, src10_pptx, src13_range, src13_xlsx, sum03_windows, sum11_context, udf01_provider, udf03_enriched, udf05_support, udf07_data_source, udf09_lexicon)
+    for f in (agg16_branches, fn06_language_tags, fn07_queries, fn22_tokens, fn28_rounding, nat22_relations, nat25_matches, nat26_affect, pip07_figures, pip25_stage_report, src09_docx, src10_pptx, src13_range, src13_xlsx, sum03_windows, sum11_context, udf01_provider, udf03_enriched, udf05_support, udf07_data_source, udf09_lexicon)
 }
 _MADE = r"m AS (SELECT doc_id AS id, source, 'L ' || regexp_replace(x, '[\x00-\x1f]', '?', 'g') AS t, i - 1 AS i FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))"
 _CELLS = "w AS (SELECT id, t, i + 1 AS row, length(t) AS n, first_value(length(t)) OVER (PARTITION BY id ORDER BY i) AS n1 FROM m WHERE id % 9 <> 0)"
@@ -212,7 +220,7 @@ ORACLE = {
     "fn06_language_tags": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN lang WHEN 1 THEN lang || '-US' WHEN 2 THEN lang || '-Latn-DE' END AS tag FROM documents",
     "fn07_queries": "WITH u AS (SELECT doc_id, unnest(['capital buffer', 'x y', lower(source), 'ratio', lang]) AS u, unnest([1, 2, 3, 4, 5]) AS i FROM documents), d AS (SELECT doc_id, u, min(i) AS i FROM u GROUP BY ALL) SELECT doc_id, string_agg(u, '|' ORDER BY i) AS units FROM d GROUP BY doc_id",
     "fn22_tokens": r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w[1:50], ' ')) AS first_md5 FROM w",
-    "fn28_rounding": "SELECT p_partkey, round(sqrt(p_retailprice), 4) AS root, round(ln(1 + p_retailprice), 6) AS log, round(p_size / 7, 4) AS share FROM part",
+    "fn28_rounding": "SELECT p_partkey, round(sqrt(p_retailprice), 4) AS root, round(ln(1 + p_retailprice), 6) AS log, round(p_size / 7, 4) AS share, round_even(p_size / 8, 2) AS half, round_even(p_size / 8, 2) AS exact_half FROM part",
     "agg16_branches": f"WITH RECURSIVE {_TREE} SELECT c.node, c.ancestor AS branch FROM c JOIN t ON t.node = c.ancestor WHERE t.parent = 'root'",
     "udf01_provider": "WITH a AS (SELECT doc_id, text, strpos(text, '.') AS p FROM documents WHERE text <> ''), b AS (SELECT *, CASE WHEN p = 0 THEN length(text) ELSE p END AS e FROM a), c AS (SELECT *, strpos(substring(text, e + 1), '.') AS q FROM b) SELECT doc_id, CASE WHEN e >= length(text) THEN 1 ELSE 2 END::BIGINT AS n, CASE WHEN e >= length(text) THEN e WHEN q = 0 THEN length(text) ELSE e + q END::BIGINT AS \"end\", 'ok' AS status FROM c",
     "udf03_enriched": "SELECT p_partkey, len(string_split(p_name, ' ')) AS words FROM part",
@@ -229,7 +237,7 @@ ORACLE = {
         WHERE least(l.x1, c.x1) - greatest(l.x0, c.x0) >= 0.9e0 * (l.x1 - l.x0) GROUP BY ALL HAVING count(*) >= 2""",
 }
 COVERAGE = {
-    "agg16_branches": ("AGG16",), "fn06_language_tags": ("FN06",), "fn07_queries": ("FN07",), "fn22_tokens": ("FN22", "UDF02"), "fn28_rounding": ("FN28",), "nat22_relations": ("NAT22",), "nat26_affect": ("NAT26",), "pip07_figures": ("PIP07", "NAT15"), "pip25_stage_report": ("PIP25", "UDF06"),
+    "agg16_branches": ("AGG16",), "fn06_language_tags": ("FN06",), "fn07_queries": ("FN07",), "fn22_tokens": ("FN22", "UDF02"), "fn28_rounding": ("FN28",), "nat22_relations": ("NAT22",), "nat25_matches": ("NAT25", "UDF09"), "nat26_affect": ("NAT26",), "pip07_figures": ("PIP07", "NAT15"), "pip25_stage_report": ("PIP25", "UDF06"),
     "src09_docx": ("SRC09", "NAT20", "SRC01"), "src10_pptx": ("SRC10", "NAT21"), "src13_xlsx": ("SRC13", "NAT18", "NAT19"), "src13_range": ("SRC13",), "sum03_windows": ("SUM03",), "sum11_context": ("SUM11",), "udf01_provider": ("UDF01", "SUM01"), "udf03_enriched": ("UDF03",), "udf05_support": ("UDF05",),
     "udf07_data_source": ("UDF07",), "udf09_lexicon": ("UDF09", "NAT25"),
 }

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -113,3 +114,56 @@ def test_windows_end_after_lines(spark):
             elif "\n" in docs[d][a + 1000 : b]:
                 assert docs[d][b - 1] == "\n"
             a = b
+
+
+def test_dictionary_matches_against_brute_force(spark):
+    g = random.Random(12)
+    entries = [("".join(g.choices("abc", k=g.randint(1, 4))), g.randint(-1, 1)) for _ in range(14)] + [("", 5), (None, 1), ("AB", 0)]
+    texts = ["".join(g.choices("abcABx ", k=g.randint(0, 30))) for _ in range(60)]
+    got = {}
+    for r in X.dictionary_matches(spark.createDataFrame([*enumerate(texts), (99, None)], "id long, text string"), spark.createDataFrame(entries, "entry string, priority long")).collect():
+        got.setdefault(r.id, []).append((r.start, r.end, r.entry))
+    best = {}
+    for e, p in entries:
+        if e:
+            best[e.lower()] = max(p, best.get(e.lower(), -9))
+    for i, t in enumerate(texts):
+        kept = []
+        for p in sorted(set(best.values()), reverse=True):
+            at = 0
+            while at < len(t):
+                fit = [e for e, q in best.items() if q == p and t[at : at + len(e)].lower() == e and all(b <= at or a >= at + len(e) for a, b, _ in kept)]
+                if fit:
+                    e = max(fit, key=len)
+                    kept.append((at, at + len(e), e))
+                    at += len(e)
+                else:
+                    at += 1
+        assert sorted(got.get(i, [])) == sorted(kept), t
+    odd = X.dictionary_matches(spark.createDataFrame([(1, "STRAßE Ä ä")], "id long, text string"), spark.createDataFrame([("Ä",), ("straße",)], "entry string")).collect()
+    assert [(r.entry, r.start, r.end) for r in odd] == [("straße", 0, 6), ("Ä", 7, 8)]
+    assert 99 not in got and X.dictionary_matches(spark.createDataFrame([(1, "abc")], "id long, text string"), spark.createDataFrame([], "entry string")).count() == 0
+
+
+def test_rounding_is_that_of_the_binary_value(spark):
+    values = [2.675, 0.125, 0.375, 1.005, -0.125, 2.5, 1e300, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(X.rounded(F.col("x"), 2)).collect()]
+    assert got == [None if v is None else round(v, 2) for v in values]
+
+
+def test_options_of_summaries(spark):
+    from evidex.operators import summary
+
+    for wrong in ({"top_k": 0}, {"similarity": "other"}, {"least": 1.5}, {"repeats": -0.1}, {"min_chars": 0}, {"window": 999}, {"text_form": "odd"}):
+        with pytest.raises(summary.OptionsError):
+            summary.Options(**wrong)
+    texts = ["the bank raised its ratio", "the bank raised its ratio", "rain fell in the north"]
+    told, signal = np.full(3, 0.25), np.zeros(3)
+    lexical = summary.Options(top_k=3, similarity="lexical", least=None)
+    assert abs(summary.cosine(texts)[0, 1] - 1) < 1e-12 and summary.cosine(texts)[0, 2] > 0
+    assert summary.choose(texts, told, signal, 3, lexical) == [0, 2]
+    assert summary.choose(texts, told, signal, 3, summary.Options(top_k=3, similarity="lexical", least=None, repeats=None)) == [0, 1, 2]
+    assert summary.choose(texts, told, signal, 3, summary.Options(least=1.0)) == []
+    blocks = spark.createDataFrame([(1, 0, "One two   three four. Tiny of it. Another line of words here.")], "doc_id long, pos int, body string")
+    got = [r.sentence for r in summary.summaries(blocks, options=summary.Options(top_k=9, least=None, min_chars=15)).collect()]
+    assert got == ["One two three four.", "Another line of words here."]
