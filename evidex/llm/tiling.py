@@ -9,9 +9,10 @@ are caught as well.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -185,6 +186,16 @@ def blocks(items: DataFrame, match: int = MATCH, coverage: float = COVERAGE) ->
 FOUND = "doc_id long, item_id long, coverage double, n_tiles long, n_words long"
 
 
+def _passes(items: DataFrame, match: int, coverage: float, apply: Callable[[Items], DataFrame]) -> DataFrame | None:
+    """What ``apply`` gives for all blocks of items: of one block as a plan; of several each pass is stored, so that no more than one
+    block is held by the driver or a worker at once. None without items."""
+    todo = blocks(items, match, coverage)
+    one, two = next(todo, None), next(todo, None)
+    if two is None:
+        return None if one is None else apply(one)
+    return functools.reduce(DataFrame.union, [S.stored(apply(block)) for block in itertools.chain((one, two), todo)])
+
+
 def contaminated(docs: DataFrame, items: DataFrame, match: int = MATCH, coverage: float = COVERAGE) -> DataFrame:
     """Every pair of a document and an item of which tiles cover ``coverage`` of the words.
 
@@ -195,26 +206,44 @@ def contaminated(docs: DataFrame, items: DataFrame, match: int = MATCH, coverage
     """
     spark = S.tune(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int64()), ("n_words", pa.int64())])
-    out = None
-    for block in blocks(items, match, coverage):
 
-        def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
+    def apply(block: Items) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ids = b.column(0).to_pylist()
                 if got := block.found(b.column(1).to_pylist()):
                     yield S.batch(schema, *zip(*((ids[d], block.ids[t], *rest) for d, t, *rest in got), strict=True))
 
-        part = S.id_text(docs).mapInArrow(run, FOUND)
-        out = part if out is None else out.union(part)
+        return S.id_text(docs).mapInArrow(run, FOUND)
+
+    out = _passes(items, match, coverage, apply)
     return spark.createDataFrame([], FOUND) if out is None else out
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, match: int = MATCH, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no item is found."""
+    """The rows of ``docs``, with all their columns, in which no item is found.
+
+    With one block of items each row is judged where it lies. With several, what each pass finds is told by doc_id and a hash of the
+    text, and goes by one join.
+    """
     S.tune(docs.sparkSession)
-    for block in blocks(items, match, coverage):
-        docs = S.keep_rows(docs, lambda texts, block=block: _clean(block, texts))
-    return docs
+    todo = blocks(items, match, coverage)
+    one, two = next(todo, None), next(todo, None)
+    if two is None:
+        return docs if one is None else S.keep_rows(docs, lambda texts: _clean(one, texts))
+    rows = S.id_text(docs).withColumn("t", F.xxhash64("text"))
+
+    def hits(block: Items) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                gone = pa.array(~_clean(block, b.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(gone), b.column(2).filter(gone)], names=["gone_id", "gone_t"])
+
+        return S.stored(rows.mapInArrow(run, "gone_id long, gone_t long").distinct())
+
+    gone = functools.reduce(DataFrame.union, [hits(block) for block in itertools.chain((one, two), todo)]).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == gone["gone_t"])
+    return docs.join(gone, same, "left_anti")
 
 
 def _clean(block: Items, texts: list[str]) -> np.ndarray:

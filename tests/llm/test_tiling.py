@@ -71,6 +71,10 @@ def test_items_in_several_blocks(spark, monkeypatch, odd_docs):
     docs = spark.createDataFrame([(i, f"so word{i} and four others follow {'pad ' * 50}") for i in range(5)], "doc_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in tiling.contaminated(docs, items).collect()) == [(i, i) for i in range(5)]
     assert tiling.contaminated(odd_docs, items).count() == 0
+    kept = tiling.decontaminate(odd_docs, items)
+    assert kept.schema == odd_docs.schema and sorted(map(repr, kept.collect())) == sorted(map(repr, odd_docs.collect()))
+    more = docs.union(spark.createDataFrame([(None, "word3 and four others follow"), (2, "other text of the same id"), (None, None), (9, "word4 and four others")], docs.schema))
+    assert sorted(map(repr, (tuple(r) for r in tiling.decontaminate(more, items).collect()))) == sorted(map(repr, [(2, "other text of the same id"), (None, None), (9, "word4 and four others")]))
 
 
 def test_running_hashes_are_of_their_window_alone(monkeypatch):
