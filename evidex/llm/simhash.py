@@ -2,11 +2,12 @@
 
 Fingerprints are partitioned by Hamming distance, in vantage-point trees at two levels. Across the cluster, the
 64 bits are cut into three parts: a pair at distance 4 differs in at most one bit of one of them. Each part has
-a tree whose vantage points follow from a node's place in it, so it needs no data, has no root in one place and can be as
-deep as the corpus asks for. A node parts its members by their distance to its point; those within one bit of the border may
-have a partner beyond it (triangle inequality) and go to both sides. Leaves are shards, so every linked pair meets in one at
-least. Within a shard a tree over all 64 bits splits the fingerprints at the distance to one of them, with
-borders of the whole radius.
+a tree whose vantage points follow from a node's place in it, so it needs no data, has no root in one place and is as
+deep as the corpus asks for: a branch ends where few members are left to expect. A node parts its members by their distance
+to its point; those within one bit of the border may have a partner beyond it (triangle inequality) and go to both sides.
+Leaves are shards, so every linked pair meets in one at least. Within a shard a tree splits the fingerprints at the distance
+to one of them: on the bits of the shard's part, with borders of one bit, as long as these tell its members apart, and
+then over all 64, with borders of the whole radius.
 
 All 64 bits at once would not do for the cluster's tree: distances between unrelated texts lie so close to 32 that three
 quarters of the members are within 4 of any border. Shards that stay crowded, as more than some 2**22 values of
@@ -37,8 +38,10 @@ from .components import components
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Members of a tree's leaf; a split whose larger side holds more than this share is none.
 LEAF, SPLIT = 128, 0.9
-#: Parts of the bits with a tree each across the cluster; members that its leaves should have; its levels at most.
-PARTS, SHARD, LEVELS = 3, 1024, 12
+#: Members in all nodes of a tree, for each fingerprint, from which the rest is searched without one.
+SPENT = 64
+#: Parts of the bits with a tree each across the cluster; members that its leaves should have; its levels at most (a path is a long).
+PARTS, SHARD, LEVELS = 3, 1024, 48
 #: Members from which a shard is divided by more bits, and blocks of bits that are matched at most.
 CROWD, DEEPEST = 1 << 16, 4
 #: Large shards whose names are broadcast at most (20 bytes each); more of them are joined.
@@ -80,13 +83,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def _bits(x: np.ndarray) -> np.ndarray:
     """Bits set in each fingerprint; those of several words have them on the last axis, as a third one here."""
-    return np.bitwise_count(x).sum(-1, dtype=np.int64)
+    n = np.bitwise_count(x)
+    return n[..., 0] if n.shape[-1] == 1 else n.sum(-1, dtype=np.int64)
 
 
 def _leaf(f: np.ndarray, r: int) -> np.ndarray:
     """Pairs (indices) that connect the members of a leaf, all compared at once."""
     n = len(f)
     near, label = _bits(f[:, None] ^ f[None, :]) <= r, np.arange(n)
+    if np.count_nonzero(near) == n:  # each only itself
+        return np.zeros((0, 2), np.int64)
     while True:
         new = np.where(near, label[None, :], n).min(1)
         new = new[new]
@@ -115,33 +121,47 @@ def _dense(f: np.ndarray, r: int) -> np.ndarray:
     return np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
 
 
-def links(f: np.ndarray, r: int = RADIUS) -> np.ndarray:
+def _vantage(f: np.ndarray) -> np.ndarray:
+    """Distances to the one of five members that spreads the others most."""
+    d = _bits(f[None, :] ^ f[:: max(1, len(f) // 5)][:5, None])
+    return d[d.std(1).argmax()]
+
+
+def links(f: np.ndarray, r: int = RADIUS, mask: int = 0, near: int = 0) -> np.ndarray:
     """Pairs (indices) that connect exactly what is connected by pairs at distance r or less.
 
     ``f``: distinct fingerprints, uint64 or rows of several. The tree splits at the distance to a vantage point that makes the larger
     side smallest; a pair within r has distances to it that differ by r at most (triangle inequality),
     so the outer side also takes what lies within r inside the border, and no link is lost. A set of
-    which the larger side would still hold nearly all is a dense group, and is searched as one.
+    which the larger side would still hold nearly all is a dense group, and is searched as one, as is what
+    is left when borders have taken up members SPENT times.
+
+    With a ``mask``, only pairs that differ in ``near`` or fewer of its bits have to be connected: the distances are those on
+    these bits, with a border of ``near``, until they part a set no more.
     """
     f = f.reshape(len(f), -1)
-    size, out, todo = 64 * f.shape[1] + 1, [], [np.arange(len(f))]
+    spent, out, todo = 0, [], [(np.arange(len(f)), bool(mask))]
     while todo:
-        at = todo.pop()
+        at, part = todo.pop()
         if len(at) <= LEAF:
             out.append(at[_leaf(f[at], r)])
             continue
-        best = None
-        for v in at[:: max(1, len(at) // 5)][:5]:  # the vantage point that spreads the others most
-            d = _bits(f[at] ^ f[v])
-            if best is None or d.std() > best.std():
-                best = d
-        below = np.cumsum(np.bincount(best, minlength=size))  # members at a distance up to c
-        larger = [max(below[c], len(at) - (below[c - r] if c >= r else 0)) for c in range(size)]
-        cut = int(np.argmin(larger))
-        if larger[cut] > SPLIT * len(at):
+        spent += len(at)
+        if spent > SPENT * len(f):
             out.append(at[_dense(f[at], r)])
+            continue
+        border = near if part else r
+        d = _vantage(f[at] & np.uint64(mask) if part else f[at])
+        below = np.cumsum(np.bincount(d, minlength=64 * f.shape[1] + 1))  # members at a distance up to c
+        inside = np.concatenate((np.zeros(border, np.int64), below))[: len(below)]  # up to c - border
+        larger = np.maximum(below, len(at) - inside)
+        cut = int(np.argmin(larger))
+        if larger[cut] <= SPLIT * len(at):
+            todo += [(at[d <= cut], part), (at[d > cut - border], part)]
+        elif part:
+            todo.append((at, False))
         else:
-            todo += [at[best <= cut], at[best > cut - r]]
+            out.append(at[_dense(f[at], r)])
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
@@ -159,25 +179,37 @@ def part_masks() -> list[int]:
     return [sum(1 << i for i in b.tolist()) for b in np.array_split(np.arange(64), PARTS)]
 
 
+def shares(bits: int, near: int) -> tuple[float, float]:
+    """The inner and the outer side of a split, as shares of its members, if they spread as those of unrelated texts do."""
+    at = [math.comb(bits, d) / 2**bits for d in range(bits + 1)]
+    cut = bits // 2
+    return sum(at[: cut + 1]), sum(at[max(0, cut - near + 1) :])
+
+
 def levels(n: int, r: int = RADIUS) -> int:
-    """Levels after which a leaf has about SHARD of n fingerprints, if they spread as those of unrelated texts do."""
-    bits, near = 64 // PARTS, r // PARTS
-    share = sum(math.comb(bits, d) for d in range(bits // 2 + 1)) / 2**bits
-    twice = sum(math.comb(bits, d) for d in range(max(0, bits // 2 - near + 1), bits // 2 + 1)) / 2**bits
-    larger = max(share, 1 - share + twice)
+    """Levels after which any leaf has about SHARD of n fingerprints, if they spread as those of unrelated texts do."""
+    larger = max(shares(64 // PARTS, r // PARTS))
     return min(LEVELS, math.ceil(math.log(n / SHARD) / -math.log(larger))) if n > SHARD else 0
 
 
-def tree_places(f: np.ndarray, mask: int, which: int, depth: int, near: int) -> tuple[np.ndarray, np.ndarray]:
-    """Leaves of one part's tree and, for each, which of the fingerprints is in it."""
-    at, path, bits = np.arange(len(f)), np.ones(len(f), np.uint64), np.uint64(mask)
-    cut = mask.bit_count() // 2
+def tree_places(f: np.ndarray, mask: int, which: int, depth: int, near: int, n: float = math.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves of one part's tree and, for each, which of the fingerprints is in it.
+
+    A branch ends after ``depth`` levels, or sooner where SHARD or fewer of ``n`` fingerprints are left to expect; that
+    follows from its place alone.
+    """
+    at, path, size, bits = np.arange(len(f)), np.ones(len(f), np.uint64), np.full(len(f), float(n)), np.uint64(mask)
+    cut, (least, most), leaves = mask.bit_count() // 2, shares(mask.bit_count(), near), []
     for _ in range(depth):
+        if (small := size <= SHARD).any():
+            leaves.append((path[small], at[small]))
+            at, path, size = at[~small], path[~small], size[~small]
         point = W.mix(path * np.uint64(2 * PARTS + 1) + np.uint64(which)) & bits
         d = np.bitwise_count((f[at] & bits) ^ point).astype(np.int64)
         inner, outer = d <= cut, d > cut - near
         at, path = np.concatenate((at[inner], at[outer])), np.concatenate((path[inner] * np.uint64(2), path[outer] * np.uint64(2) + np.uint64(1)))
-    return path, at
+        size = np.concatenate((size[inner] * least, size[outer] * most))
+    return tuple(map(np.concatenate, zip(*leaves, (path, at), strict=True)))
 
 
 ROWS = pa.schema([(c, pa.int64()) for c in ("choice", "key", "node", "f")])
@@ -191,7 +223,7 @@ def tree_shards(nodes: DataFrame, n: int, r: int = RADIUS) -> DataFrame:
         for b in batches:
             node, f = b.column(0).to_numpy(), b.column(1).to_numpy()
             for which, mask in enumerate(masks_):
-                path, at = tree_places(f.view(np.uint64), mask, which, depth, near)
+                path, at = tree_places(f.view(np.uint64), mask, which, depth, near, n)
                 yield S.batch(ROWS, np.full(len(at), which), path.view(np.int64), node[at], f[at])
 
     return nodes.select("node", "f").mapInArrow(run, "choice long, key long, node long, f long")
@@ -215,7 +247,7 @@ def shard_edges(nodes: DataFrame, r: int = RADIUS) -> DataFrame:
     """
     S.tune(nodes.sparkSession)
     few, crowd = _apart(tree_shards(nodes, nodes.count(), r))
-    out = _tree_edges(few, r)
+    out = _tree_edges(few, r, part_masks())
     for k in range(1, DEEPEST + 1):
         if crowd is None:
             break
@@ -226,8 +258,8 @@ def shard_edges(nodes: DataFrame, r: int = RADIUS) -> DataFrame:
     return out.distinct()
 
 
-def _tree_edges(rows: DataFrame, r: int) -> DataFrame:
-    """Edges within each shard (choice, key) of ``rows`` (node, f)."""
+def _tree_edges(rows: DataFrame, r: int, parts: list[int] | None = None) -> DataFrame:
+    """Edges within each shard (choice, key) of ``rows`` (node, f); with ``parts``, choice is one of them, of which linked pairs differ in few bits."""
     shards = rows.select("choice", "key", "node", "f").repartition("choice", "key").sortWithinPartitions("choice", "key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +275,7 @@ def _tree_edges(rows: DataFrame, r: int) -> DataFrame:
             found, at = [], 0
             for end in ends:
                 if end - at > 1:
-                    found.append(node[at + links(f[at:end].view(np.uint64), r)])
+                    found.append(node[at + links(f[at:end].view(np.uint64), r, parts[which[at]] if parts else 0, r // PARTS)])
                 at = end
             kept = [k[at:] for k in kept]
             if found and len(pairs := np.concatenate(found)):

@@ -106,6 +106,31 @@ def test_trees_split_at_the_size_of_the_tables(spark, monkeypatch):
     assert len(leaves) > 4 and max(leaves) <= simhash.LEAF
 
 
+def test_leaves_stay_small_at_millions(spark):
+    """One of a hundred of four million fingerprints: leaves go on splitting, and fingerprints don't lie in many."""
+    n, f = 4_000_000, np.unique(np.random.default_rng(7).integers(0, 2**63, 40_000).astype(np.uint64))
+    nodes = spark.createDataFrame([(i, int(x)) for i, x in enumerate(f.view(np.int64))], "node long, f long")
+    sizes = [r[0] for r in simhash.tree_shards(nodes, n).groupBy("choice", "key").count().select("count").collect()]
+    assert max(sizes) * 100 < 32 * simhash.SHARD and sum(sizes) < 50 * len(f)
+
+
+def test_shards_are_split_on_the_bits_of_their_part(monkeypatch):
+    """A shard of 8,000: each pair that differs in one bit of the part at most is connected, and members lie in few leaves."""
+    g, mask = np.random.default_rng(5), simhash.part_masks()[1]
+    f = g.integers(0, 2**63, 4000).astype(np.uint64)
+    inside, outside = ([np.uint64(1 << i) for i in range(64) if (mask >> i & 1) == x] for x in (1, 0))
+    other = f ^ g.choice(inside, len(f))
+    for _ in range(3):
+        other = other ^ g.choice(outside, len(f))
+    f = np.unique(np.concatenate((f, other)))
+    met, leaf = [], simhash._leaf
+    monkeypatch.setattr(simhash, "_leaf", lambda some, r: met.append(len(some)) or leaf(some, r))
+    pairs = simhash.links(f, 4, mask, 1)
+    near = np.nonzero(np.triu((np.bitwise_count(f[:, None] ^ f[None, :]) <= 4) & (np.bitwise_count((f[:, None] ^ f[None, :]) & np.uint64(mask)) <= 1), 1))
+    assert len(near[0]) >= 3900 and groups(len(f), zip(*map(np.ndarray.tolist, near), strict=True)) == groups(len(f), pairs.tolist())
+    assert max(met) <= simhash.LEAF and sum(met) < 8 * len(f)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4])
 def test_a_pair_within_the_radius_agrees_on_a_choice_of_bits(n):
     masks = simhash.masks(n)
