@@ -121,6 +121,21 @@ def _dense(f: np.ndarray, r: int) -> np.ndarray:
     return np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
 
 
+def _forest(n: int, pairs: np.ndarray) -> np.ndarray:
+    """Pairs that connect what ``pairs`` of n members connect: each member and the first of its group, so n - 1 at most."""
+    (a, b), label = pairs.T, np.arange(n)
+    while True:
+        least, new = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    i = np.flatnonzero(label != np.arange(n))
+    return np.stack((i, label[i]), 1)
+
+
 def _vantage(f: np.ndarray) -> np.ndarray:
     """Distances to the one of five members that spreads the others most."""
     d = _bits(f[None, :] ^ f[:: max(1, len(f) // 5)][:5, None])
@@ -128,7 +143,7 @@ def _vantage(f: np.ndarray) -> np.ndarray:
 
 
 def links(f: np.ndarray, r: int = RADIUS, mask: int = 0, near: int = 0) -> np.ndarray:
-    """Pairs (indices) that connect exactly what is connected by pairs at distance r or less.
+    """Pairs (indices) that connect exactly what is connected by pairs at distance r or less: a member and the first of its group.
 
     ``f``: distinct fingerprints, uint64 or rows of several. The tree splits at the distance to a vantage point that makes the larger
     side smallest; a pair within r has distances to it that differ by r at most (triangle inequality),
@@ -162,7 +177,7 @@ def links(f: np.ndarray, r: int = RADIUS, mask: int = 0, near: int = 0) -> np.nd
             todo.append((at, False))
         else:
             out.append(at[_dense(f[at], r)])
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    return _forest(len(f), np.concatenate(out)) if out else np.zeros((0, 2), np.int64)
 
 
 def masks(k: int, r: int = RADIUS) -> list[int]:

@@ -52,6 +52,34 @@ def test_links_connect_what_brute_force_connects(kind):
     assert len(pairs) <= 40 * len(f)
 
 
+def dense(n, seed):
+    """Distinct fingerprints of a group of near copies: bits near a majority differ often, the others never."""
+    g = np.random.default_rng(seed)
+    weak = g.choice(64, 24, replace=False).astype(np.uint64)
+    return g.permutation(np.unique(((g.random((8 * n, 24)) < 0.25).astype(np.uint64) << weak).sum(1, dtype=np.uint64)))[:n]
+
+
+@pytest.mark.parametrize("n", [300, 3000])
+def test_a_group_gives_one_link_a_member(n):
+    """However many leaves of the tree its members lie in."""
+    for some in (dense(n, 1), np.concatenate((dense(n, 2), np.random.default_rng(2).integers(0, 2**63, 2 * n).astype(np.uint64)))):
+        pairs = simhash.links(some)
+        assert len(pairs) == len(some) - len(set(groups(len(some), pairs.tolist()))) > 0.7 * n
+
+
+def test_edges_of_a_group_grow_with_its_size(spark):
+    """Rows that the shards give, before copies of them are dropped: at most one a member of each."""
+    for n in (500, 3000):
+        f = dense(n, 3)
+        nodes = spark.createDataFrame([(i, int(x)) for i, x in enumerate(f.view(np.int64))], "node long, f long")
+        rows = simhash.tree_shards(nodes, len(f)).cache()
+        shards, members = rows.select("choice", "key").distinct().count(), rows.count()
+        edges = [tuple(e) for e in simhash._tree_edges(rows, 4).collect()]
+        near = np.nonzero(np.triu(np.bitwise_count(f[:, None] ^ f[None, :]) <= 4, 1))
+        assert 0.7 * n < len(edges) <= members - shards
+        assert groups(n, edges) == groups(n, zip(*map(np.ndarray.tolist, near), strict=True))
+
+
 def bunch(n, seed):
     """Distinct fingerprints around centres, at all distances up to four and more."""
     g = np.random.default_rng(seed)
