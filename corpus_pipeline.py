@@ -28,7 +28,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of texts with 0.8 or more of their runs of
-    five words in common (see similar.similar() for missing and repeated ids)."""
+    five words in common: links of SimHash by vantage-point trees (operator 4), verified on the runs, and those
+    beyond its radius (see similar.similar() for missing and repeated ids)."""
     return similar.dedup(docs)
 
 

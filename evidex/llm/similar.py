@@ -1,8 +1,10 @@
 """Similarity join of texts by their sets of word runs, exact at the threshold (near-dedup of the pipeline).
 
-64 SimHash bits and a radius of 4 find little beyond copies: at a similarity of 0.8 fingerprints differ in ten bits
-of 64 on average, and no longer SimHash tells 0.8 surely. Here the sets of runs of five words are compared
-themselves. Two sets that resemble by 0.8 share a run among the first fifth of either's, in any order that is the same for
+SimHash comes first, as in operator 4: fingerprints of 64 bits, linked at a radius of 4 by vantage-point trees. That finds
+the nearest copies, and little beyond: at a similarity of 0.8 fingerprints differ in ten bits of 64 on average, and no
+longer SimHash tells 0.8 surely. A text whose runs repeat can also have another's fingerprint and resemble it little.
+So SimHash's links are candidates, which are verified like all others, and a join of the sets of runs of five words finds
+what is beyond its radius. Two sets that resemble by 0.8 share a run among the first fifth of either's, in any order that is the same for
 all sets, so the shards of these runs lose no pair at any size of the corpus. Runs that are frequent in a
 sample of the texts come last in the order: which pairs meet depends on it, never which are linked. What meets
 is thinned by bounds on size, place and bitmaps that refuse no true pair, and each link is verified on the two sets.
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import _spark as S
 from . import _words as W
+from . import simhash
 from .components import components
 
 #: Words of a run; bits of a bitmap at least (it has as many as its set has members, or up to twice as many).
@@ -54,10 +57,14 @@ def run_sets(texts: list[str]) -> Iterator[np.ndarray]:
             yield np.unique(h[a:b])
 
 
+def signed(x: int) -> int:
+    """The signed long of the same bits."""
+    return x - (1 << 64) if x >> 63 else x
+
+
 def name_of(h: np.ndarray) -> int:
     """A set's name: the hash of its sorted members, as a signed long."""
-    x = xxhash.xxh64_intdigest(h.tobytes(), 42)
-    return x - (1 << 64) if x >> 63 else x
+    return signed(xxhash.xxh64_intdigest(h.tobytes(), 42))
 
 
 def prefix(h: np.ndarray, similarity: float, keys: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, int]:
@@ -123,32 +130,45 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marks(docs: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, t (hash of the text), s (name of the set of runs), n (its size), its bitmap, whole and folded, its prefix (null where the
-    task has given it out) and how many of that are plain, of every row."""
+    """doc_id, t (hash of the text), s (name of the set of runs), n (its size), its bitmap, whole and folded, its prefix and the text's SimHash
+    f (both null where the id is, or the task has given the set out) and how many of the prefix are plain, of every row."""
     context = docs.sparkSession.sparkContext
     often = context.broadcast(frequent(docs))
     longs = pa.list_(pa.int64())
-    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("s", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("fold", pa.binary()), ("prefix", longs), ("plain", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("s", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("fold", pa.binary()), ("prefix", longs), ("plain", pa.int32()), ("f", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ranks = often.value
         seen: set[int] = set()
         for b in batches:
             ids, texts, hashes = b.column(0), b.column(1).to_pylist(), b.column(2)
+            named = ids.is_valid().to_pylist()
             for i, j in S.chunks(texts, 1 << 19):
                 out = []
-                for h in run_sets(texts[i:j]):
+                for text, has_id, h in zip(texts[i:j], named[i:j], run_sets(texts[i:j]), strict=True):
                     name, bits = name_of(h), bitmap(h)
-                    first = name not in seen
+                    first = has_id and name not in seen
                     if first and len(seen) < SEEN:
                         seen.add(name)
                     own, plain = prefix(h, similarity, keys, ranks) if first else (None, 0)
-                    out.append((name, len(h), bits.tobytes(), folded(bits, BITS // 64).tobytes(), None if own is None else own.view(np.int64), plain))
-                s, n, bits, fold, own, plain = zip(*out, strict=True)
-                yield S.batch(schema, ids[i:j], hashes[i:j], s, n, bits, fold, pa.array(own, longs), plain)
+                    f = signed(simhash.fingerprint(text)) if first else None
+                    out.append((name, len(h), bits.tobytes(), folded(bits, BITS // 64).tobytes(), None if own is None else own.view(np.int64), plain, f))
+                s, n, bits, fold, own, plain, f = zip(*out, strict=True)
+                yield S.batch(schema, ids[i:j], hashes[i:j], s, n, bits, fold, pa.array(own, longs), plain, f)
 
     rows = S.id_text(docs).withColumn("t", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id long, t long, s long, n long, bits binary, fold binary, prefix array<long>, plain int")
+    return rows.mapInArrow(run, "doc_id long, t long, s long, n long, bits binary, fold binary, prefix array<long>, plain int, f long")
+
+
+def simhash_pairs(marks: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that connect what SimHash links: those of one fingerprint, and of fingerprints within its radius, by vantage-point trees."""
+    of = S.stored(marks.where("doc_id is not null and f is not null").select("f", "s").distinct())
+    least = S.stored(of.groupBy("f").agg(F.min("s").alias("b")))
+    same = of.join(least, "f").select(F.col("s").alias("a"), "b")
+    edges = simhash.shard_edges(least.select(F.col("f").alias("node"), "f"))
+    near = edges.join(least.select(F.col("f").alias("a"), F.col("b").alias("x")), "a").join(least.select(F.col("f").alias("b"), F.col("b").alias("y")), "b")
+    pairs = same.union(near.select("x", "y")).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 SHARDS = pa.schema([(c, pa.int64()) for c in ("key", "salt", "s", "n", "i", "m", "t", "k")])
@@ -310,12 +330,13 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: f
 def similar_edges(docs: DataFrame, marks: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b: names) that connect exactly what pairs of sets at ``similarity`` or more connect.
 
-    Each two neighbours of a shard are compared first, which links a group of near copies by few pairs; then
-    all pairs of a shard whose components differ still.
+    What SimHash links and each two neighbours of a shard are compared first, which links a group of near copies by few pairs;
+    then all pairs of a shard whose components differ still.
     """
     with S.batch_rows(docs.sparkSession, ROWS):
         shards = S.stored(_shards(marks))
-    near = shards.where(F.col("k") >= F.col("n") * similarity - 1e-9).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).where("a <> b").distinct()
+    near = shards.where(F.col("k") >= F.col("n") * similarity - 1e-9).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).where("a <> b")
+    near = near.union(simhash_pairs(marks)).distinct()
     first = _verified(docs, nodes, _possible_pairs(near, nodes, similarity), similarity)
     found = components(first).withColumnRenamed("node", "s").withColumnRenamed("component", "c")
     rows = S.stored(shards.select("key", "s", "n", "i", "m").join(found, "s", "left").withColumn("c", F.coalesce("c", "s")))
@@ -328,7 +349,7 @@ def similar_edges(docs: DataFrame, marks: DataFrame, nodes: DataFrame, similarit
 def similar(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id, t (xxhash64 of the text), component_id and stays of every row of ``docs``: texts linked at a resemblance of ``similarity`` or more.
 
-    Resemblance is that of the sets of runs of five words (64-bit hashes), found and verified exactly. component_id is the
+    Resemblance is that of the sets of runs of five words (64-bit hashes), found by SimHash and a join of the sets and verified exactly. component_id is the
     smallest doc_id that chains of links reach. One (doc_id, text) of each component stays: that of the smallest doc_id
     and, of rows that share it, of the smallest t. Equal sets are one node, so copies are never paired; texts without a
     word are alike. Rows whose doc_id is null link nobody and stay; they have the component of their set, or

@@ -136,3 +136,30 @@ def test_dedup_keeps_columns_and_rows_without_words(spark, odd_docs, no_docs):
     ids = sorted(r.doc_id for r in got.collect() if r.doc_id is not None)
     assert ids == [0, 3, 5, 7, 10, 11, 12, 13, 14, 15, 20] and got.where("doc_id is null").count() == 2
     assert similar.dedup(no_docs).count() == 0
+
+
+def test_simhash_links_without_the_join_of_sets(spark, monkeypatch):
+    """Near copies within 4 bits are linked by the trees over fingerprints alone, where they also resemble by 0.8."""
+    g = np.random.default_rng(12)
+    texts, shards = [], similar._shards
+    for i in range(40):
+        base = [f"w{i}x{j}" for j in range(400)]
+        texts += [" ".join(base), " ".join([*base, f"end{g.integers(1 << 30)}"])]
+    for i in range(2):  # one fingerprint, that of the run in most places, but hardly a run in common
+        texts.append(" ".join(["so"] * 300 + [f"v{i}x{j}" for j in range(100)]))
+    f = [similar.simhash.fingerprint(t) for t in texts]
+    near = [(i, j) for i, a in enumerate(f) for j in range(i) if (a ^ f[j]).bit_count() <= 4]
+    assert len(near) > 20 and (81, 80) in near and resemblance(texts[80], texts[81]) < 0.1
+    monkeypatch.setattr(similar, "_shards", lambda marks: shards(marks.where("false")))
+    got = found(spark, texts)
+    assert got == groups(len(texts), [(i, j) for i, j in near if resemblance(texts[i], texts[j]) >= 0.8])
+    monkeypatch.undo()
+    assert found(spark, texts) == exact_groups(texts)[0]
+
+
+def test_a_row_without_id_takes_no_link_from_its_copy(spark):
+    """The set of a text is given out for the row that has an id, though one without comes first in its task."""
+    base = [f"w{j}" for j in range(60)]
+    near, none = " ".join([*base, "end"]), " ".join(base)
+    docs = spark.createDataFrame([(None, none), (5, none), (3, near)], "doc_id long, text string").coalesce(1)
+    assert sorted((r.doc_id or 0, r.component_id) for r in similar.similar(docs).collect()) == [(0, 3), (3, 3), (5, 3)]
