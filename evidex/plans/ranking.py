@@ -39,9 +39,7 @@ _LATIN, _HAN = "abcdefghijklmnopqrstuvwxyz", "一乙二十丁七卜八人入儿
 
 def agg06_new_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole lines, their Latin letters written as Han characters."""
-    rows = _blocks(spark, sf_dir).select("doc_id", "pos", F.translate(F.lower("body"), _LATIN, _HAN).alias("t"))
-    found = K.new_words(rows.select("doc_id", "pos", F.inline(K.grams("t", 2, 4))))
-    return found.select("doc_id", F.col("rank").cast("long"), "term", "freq", "support", "left_entropy", "right_entropy", "score")
+    return K.new_words_of(_docs(spark, sf_dir), _LATIN, _HAN).select("doc_id", F.col("rank").cast("long"), "term", "freq", "support", "left_entropy", "right_entropy", "score")
 
 
 def nat24_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

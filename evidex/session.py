@@ -27,6 +27,15 @@ def build_session(app: str = "evidex", master: str | None = None, **conf: str) -
     return b.getOrCreate()
 
 
+#: Rows and bytes of an Arrow batch, however long a row is (but one row at least): what a Python worker holds at once.
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 #: Tables of long texts, of which a row is much work.
 TEXTS = {"documents", "pages"}
 
@@ -35,8 +44,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``; any path Spark's readers open is fine.
 
     A table of texts that has fewer splits than the session has cores (a small file of one row group) is
-    dealt out to all of them; a large one is read as it is, without a shuffle.
+    dealt out to all of them; a large one is read as it is, without a shuffle. Arrow batches of what is made of it are bounded.
     """
+    bounded_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
