@@ -65,12 +65,7 @@ def agg08_weighted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def agg09_text_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of two letters or more; a name is one with a capital that does not begin a sentence."""
-    # What comes before a word, and the word: a name has a capital after something else than an end of a sentence or of a line.
-    found = F.regexp_extract_all("text", F.lit(r"([.!?\n]?[^A-Za-z.!?\n]*[A-Za-z][A-Za-z0-9_+-]+)"), 1)
-    word = lambda x: F.regexp_extract(x, r"([A-Za-z][A-Za-z0-9_+-]+)$", 1)
-    name = lambda x, i: (i > 0) & word(x).rlike("^[A-Z]") & ~x.rlike(r"^[.!?\n]")
-    rows = _docs(spark, sf_dir).select("doc_id", found.alias("x"))
-    return K.text_rank(rows.select("doc_id", F.transform("x", lambda x: F.lower(word(x))).alias("words"), F.transform("x", name).alias("proper")))
+    return K.text_rank(K.words_and_names(_docs(spark, sf_dir)))
 
 
 def agg10_key_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,3 +33,29 @@ def test_new_words_of_whole_documents(spark):
     assert [(r.term, r.freq, r.support) for r in latin] == [("一乙", 3, 1)]
     with pytest.raises(ValueError):
         K.new_words_of(docs, longest=5)
+
+
+def test_ranks_of_many_texts_at_once(spark):
+    """Texts of one word, with and without repeats, are ranked beside longer ones as they are alone."""
+    import numpy as np
+
+    r = random.Random(4)
+    texts = [[r.randint(0, 6) for _ in range(r.randint(1, 30))] for _ in range(20)] + [[0], [0, 0], [0] * 9]
+    ids = [np.array([list(dict.fromkeys(t)).index(x) for x in t]) for t in texts]
+    got = K._graph_ranks(ids, 5, 10, 0.85)
+    for t, rank in zip(ids, got, strict=True):
+        n = t.max() + 1
+        near = np.zeros((n, n))
+        for i in range(len(t)):
+            for j in range(i + 1, min(i + 5, len(t))):
+                near[t[i], t[j]] += 1
+                near[t[j], t[i]] += 1
+        want = np.full(n, 1 / n)
+        for _ in range(10):
+            for i in range(n):
+                want[i] = 0.15 + 0.85 * (near[i] / np.maximum(near.sum(0), 1) * want).sum()
+        assert np.allclose(rank, want, atol=1e-12)
+    df = spark.createDataFrame([(1, "Bank of Rome. The bank\nRome a-b A No.Yes x"), (2, None)], "doc_id long, text string")
+    one, none = K.words_and_names(df).orderBy("doc_id").collect()
+    assert list(zip(one.words, one.proper, strict=True)) == [("bank", False), ("of", False), ("rome", True), ("the", False), ("bank", False), ("rome", False), ("a-b", False), ("no", True), ("yes", False)]
+    assert none.words == []
