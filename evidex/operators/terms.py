@@ -6,6 +6,7 @@ import functools
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,8 +75,10 @@ def simhash(blocks: DataFrame, *keys: str, bits: int = 32) -> DataFrame:
     return out.select(*keys, functools.reduce(Column.bitwiseOR, (F.when(F.col(f"b{b}") >= 0, value(b)).otherwise(F.lit(0).cast("long")) for b in range(bits))).alias("simhash"))
 
 
-#: Entries of a lexicon that are sent to the executors at most; of a larger one each text gets its own by a join.
-LEXICON = 500_000
+#: Entries of a lexicon that are sent to the executors at most, at some 30 bytes each; of a larger one each text gets its own by a join.
+LEXICON = 16_000_000
+#: Places of a batch of texts that are filled in at once, times the longest entry.
+CELLS = 1 << 22
 #: What a character that no entry holds counts, beside the rarest entry.
 UNKNOWN = 5.0
 
@@ -101,10 +104,125 @@ def best_path(text: str, weight: dict[str, float], longest: int, unknown: float)
     return out[::-1]
 
 
+class Table:
+    """Entries by two hashes of 64 bits each: sorted by the first, found by its leading bits, and told by both."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray, weight: np.ndarray, longest: int):
+        order = np.argsort(first)
+        self.first, self.second, self.weight, self.longest = first[order], second[order], weight[order], longest
+        self.bits = max(1, int(len(order)).bit_length())
+        self.starts = np.searchsorted(self.first, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
+        self.starts = np.append(self.starts, np.int32(len(order)))
+        self.most = int(np.diff(self.starts).max())
+        # One bit of sixteen or more an entry, so that most of what is no entry is told at once.
+        self.mask = np.uint64((1 << (self.bits + 4)) - 1)
+        seen = np.zeros(1 << (self.bits + 4), bool)
+        seen[(self.second & self.mask).astype(np.int64)] = True
+        self.seen = np.packbits(seen, bitorder="little")
+
+    @staticmethod
+    def keys(n: int) -> np.ndarray:
+        return np.random.default_rng(20_992).integers(0, 1 << 64, (2, n + 1), dtype=np.uint64) | np.uint64(1)
+
+    @staticmethod
+    def points(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+
+    def found(self, points: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Length, starts and weights of the entries in joined texts; left: how many characters of its text each place has, itself included."""
+        keys = self.keys(self.longest)
+        h = [np.full(len(points), keys[i, -1]) for i in (0, 1)]
+        for size in range(1, self.longest + 1):
+            n = len(points) - size + 1
+            if n < 1:
+                return
+            for i in (0, 1):
+                h[i] = h[i][:n] + keys[i, size - 1] * points[size - 1 :]
+            low = h[1] & self.mask
+            at = np.flatnonzero((self.seen[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 & (left[:n] >= size))
+            bucket = (h[0][at] >> np.uint64(64 - self.bits)).astype(np.int64)
+            place, end = self.starts[bucket].astype(np.int64), self.starts[bucket + 1]
+            starts, weights = [], []
+            for _ in range(self.most):
+                on = place < end
+                at, place, end = at[on], place[on], end[on]
+                if not len(at):
+                    break
+                same = (self.first[place] == h[0][at]) & (self.second[place] == h[1][at])
+                starts.append(at[same])
+                weights.append(self.weight[place[same]])
+                at, place, end = at[~same], place[~same] + 1, end[~same]
+            if starts:
+                yield size, np.concatenate(starts), np.concatenate(weights)
+
+
+def hashed(lexicon: DataFrame, longest: int) -> DataFrame:
+    """first, second (hashes, as longs) and w of a lexicon (entry, w)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = Table.keys(longest)
+        for b in batches:
+            points = [Table.points(e) for e in b.column(0).to_pylist()]
+            h = [(np.array([(keys[i, : len(p)] * p).sum(dtype=np.uint64) for p in points], np.uint64) + keys[i, -1]).view(np.int64) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, h), b.column(1)], names=["first", "second", "w"])
+
+    return lexicon.select("entry", "w").mapInArrow(run, "first long, second long, w double")
+
+
+def best_paths(texts: list[str], table: Table, unknown: float) -> list[list[str]]:
+    """best_path() of each text; texts of similar length take each step together."""
+    out: list[list[str]] = [[] for _ in texts]
+    todo = sorted((i for i, t in enumerate(texts) if t), key=lambda i: -len(texts[i]))
+    k, at = table.longest, 0
+    while at < len(todo):
+        width = len(texts[todo[at]])
+        some = todo[at : at + max(1, CELLS // (k * width))]
+        at += len(some)
+        sizes = np.array([len(texts[i]) for i in some])
+        points = Table.points("".join(texts[i] for i in some))
+        base = np.cumsum(sizes) - sizes
+        text = np.repeat(np.arange(len(some)), sizes)
+        place = np.arange(len(points)) - base[text]
+        matches = table.found(points, sizes[text] - place)
+        if len(some) < 4 and width > 2_000:  # few and long: a step for each would cost more than the lookups
+            own: list[dict] = [{} for _ in some]
+            for size, starts, weights in matches:
+                for x, p, w in zip(text[starts].tolist(), place[starts].tolist(), weights.tolist(), strict=True):
+                    own[x][texts[some[x]][p : p + size]] = w
+            for i, found in zip(some, own, strict=True):
+                out[i] = best_path(texts[i], found, k, unknown)
+            continue
+        # weight[text, end - 1, k - size]: of what ends there; best[text, k - 1 + end]
+        weight = np.full((len(some), width, k), -np.inf)
+        weight[:, :, k - 1] = unknown
+        for size, starts, weights in matches:
+            weight[text[starts], place[starts] + size - 1, k - size] = weights
+        best = np.full((len(some), k + width), -np.inf)
+        best[:, k - 1] = 0.0
+        size_of = np.zeros((len(some), width), np.int32)
+        active = np.searchsorted(-sizes, -np.arange(1, width + 1), side="right")  # texts that reach this end: the first ones
+        row = np.arange(len(some))
+        for end in range(width):
+            m = active[end]
+            value = best[:m, end : end + k] + weight[:m, end]
+            top = value.argmax(1)  # of equal ones the longest
+            best[:m, k + end] = value[row[:m], top]
+            size_of[:m, end] = k - top
+        for x, i in enumerate(some):
+            t, back, end, words = texts[i], size_of[x].tolist(), len(texts[i]), []
+            while end:
+                start = end - back[end - 1]
+                words.append(t[start:end])
+                end = start
+            out[i] = words[::-1]
+    return out
+
+
 def segmented(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """id and words (array) of texts (id, text) without spaces, by a lexicon (entry, n: how often it occurs).
 
-    An entry weighs the logarithm of its share. A null or empty text has no words.
+    An entry weighs the logarithm of its share. A null or empty text has no words. Entries are sent as hashes of 128 bits, never as cuts of the
+    texts that are joined, up to LEXICON of them.
     """
     n, total, longest, rarest = lexicon.agg(F.count("*"), F.sum("n"), F.max(F.length("entry")), F.min("n")).first()
     rows = texts.select("id", F.coalesce("text", F.lit("")).alias("text"))
@@ -112,20 +230,25 @@ def segmented(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
         return rows.select("id", F.filter(F.split("text", ""), lambda c: c != "").alias("words"))
     unknown = math.log(rarest / total) - UNKNOWN
     weighed = lexicon.select("entry", F.log(F.col("n") / total).alias("w"))
+    kind, names = dict(texts.dtypes)["id"], ["id", "words"]
     if n <= LEXICON:
-        sent = texts.sparkSession.sparkContext.broadcast({r.entry: r.w for r in weighed.toLocalIterator()})
-        own = lambda found: sent.value
-        rows = rows.withColumn("found", F.lit(None).cast("map<string,double>"))
-    else:
-        size = F.length("text")
-        cuts = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.substring("text", i, k))))
-        met = rows.select("id", F.explode(F.array_distinct(cuts)).alias("entry")).distinct().join(weighed, "entry")
-        rows = rows.join(met.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("entry", "w"))).alias("found")), "id", "left")
-        own = lambda found: dict(found or ())
+        sent = hashed(weighed, longest).toArrow()
+        first, second, w = (c.to_numpy() for c in sent.columns)
+        table = texts.sparkSession.sparkContext.broadcast(Table(first.view(np.uint64), second.view(np.uint64), w, longest))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best_paths(b.column(1).to_pylist(), table.value, unknown), pa.list_(pa.string()))], names=names)
+
+        return rows.mapInArrow(run, f"id {kind}, words array<string>")
+    size = F.length("text")
+    cuts = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.substring("text", i, k))))
+    met = rows.select("id", F.explode(F.array_distinct(cuts)).alias("entry")).distinct().join(weighed, "entry")
+    rows = rows.join(met.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("entry", "w"))).alias("found")), "id", "left")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [best_path(t, own(f), longest, unknown) for t, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], names=["id", "words"])
+            words = [best_path(t, dict(f or ()), longest, unknown) for t, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], names=names)
 
-    return rows.select("id", "text", "found").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, words array<string>")
+    return rows.select("id", "text", "found").mapInArrow(joined, f"id {kind}, words array<string>")

@@ -59,3 +59,21 @@ def test_ranks_of_many_texts_at_once(spark):
     one, none = K.words_and_names(df).orderBy("doc_id").collect()
     assert list(zip(one.words, one.proper, strict=True)) == [("bank", False), ("of", False), ("rome", True), ("the", False), ("bank", False), ("rome", False), ("a-b", False), ("no", True), ("yes", False)]
     assert none.words == []
+
+
+def test_segments_by_a_table_are_those_of_a_dictionary(spark):
+    """More entries than were sent at once, texts of all lengths, a long one among them; no cut of a text is joined."""
+    import math
+
+    from evidex.operators import terms as T
+
+    r = random.Random(9)
+    entries = {"".join(r.choices("甲乙丙丁戊己庚辛", k=r.randint(1, 9))): r.randint(1, 50) for _ in range(3000)}
+    total, rarest, longest = sum(entries.values()), min(entries.values()), max(map(len, entries))
+    weight = {e: math.log(n / total) for e, n in entries.items()}
+    texts = ["".join(r.choices("甲乙丙丁戊己庚辛壬𝒳", k=k)) for k in [*range(60), *[25] * 40, 3000]]
+    lexicon = spark.createDataFrame(list(entries.items()), "entry string, n long")
+    got = T.segmented(spark.createDataFrame([*enumerate(texts)], "id long, text string"), lexicon)
+    assert not shuffles_rows(got)
+    assert {x.id: x.words for x in got.collect()} == {i: T.best_path(t, weight, longest, math.log(rarest / total) - T.UNKNOWN) for i, t in enumerate(texts)}
+    assert T.LEXICON > 500_000
