@@ -77,3 +77,29 @@ def test_segments_by_a_table_are_those_of_a_dictionary(spark):
     assert not shuffles_rows(got)
     assert {x.id: x.words for x in got.collect()} == {i: T.best_path(t, weight, longest, math.log(rarest / total) - T.UNKNOWN) for i, t in enumerate(texts)}
     assert T.LEXICON > 500_000
+
+
+def test_neighbours_of_every_text(spark, monkeypatch):
+    """Every text is a query, by blocks smaller than the table; copies, which are ties, and a repeated id among them."""
+    import numpy as np
+
+    from evidex.operators import retrieval as R
+    from evidex.plans import retrieval as P
+
+    r = random.Random(2)
+    texts = [" ".join("".join(r.choices("abcde", k=r.randint(1, 6))) for _ in range(r.randint(0, 12))) for _ in range(120)]
+    texts[40:60] = [texts[3]] * 20
+    docs = spark.createDataFrame([*enumerate(texts), (7, texts[9]), (500, None)], "doc_id long, text string")
+    monkeypatch.setattr(R, "QUERIES_AT_ONCE", 16)
+    monkeypatch.setattr(R, "ROWS_AT_ONCE", 10)
+    monkeypatch.setattr(R, "BLOCKS", 2)
+    monkeypatch.setattr(P, "table", lambda *_: docs)
+    got = sorted((x.query_id, x.rank, x.id, x.similarity) for x in P.rnk11_text_neighbours(spark, "").collect())
+    ids, u = [*range(120), 7, 500], np.array([R.feature_vector(t) for t in [*texts, texts[9], ""]])
+    s = np.round(u @ u.T, 6)
+    want = []
+    for q in sorted(set(ids)):
+        pairs = sorted((-s[i, j], ids[j]) for i in range(122) if ids[i] == q for j in range(122) if ids[j] != q and s[i, j] >= R.NEAREST)
+        want += [(q, n + 1, i, -x) for n, (x, i) in enumerate(pairs[:5])]
+    assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want], atol=2e-6)
+    assert len({x[0] for x in got}) > 100
