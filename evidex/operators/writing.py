@@ -40,13 +40,15 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     df = stored(df)
     root = f"{spark.sparkContext.getCheckpointDir()}/sink-{uuid.uuid4()}"
+    # All values are quoted, white space at their ends stays, and null is a word that no text can hold, as an empty text is one, too.
+    csv = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": "", "nullValue": f"null-{uuid.uuid4()}"}
     df.write.json(f"{root}/json")
-    df.write.option("header", True).option("escape", '"').option("lineSep", "\n").csv(f"{root}/csv")
+    df.write.options(quoteAll=True, lineSep="\n", **csv).csv(f"{root}/csv")
     df.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{root}/text")
     df.write.parquet(f"{root}/parquet")
     back = {
         "json": spark.read.schema(df.schema).json(f"{root}/json"),
-        "csv": spark.read.schema(df.schema).option("header", True).option("escape", '"').option("multiLine", True).csv(f"{root}/csv"),
+        "csv": spark.read.schema(df.schema).options(multiLine=True, **csv).csv(f"{root}/csv"),
         "text": spark.read.text(f"{root}/text").select(F.from_json("value", df.schema).alias("r")).select("r.*"),
         "parquet": spark.read.parquet(f"{root}/parquet"),
     }

@@ -103,3 +103,11 @@ def test_neighbours_of_every_text(spark, monkeypatch):
         want += [(q, n + 1, i, -x) for n, (x, i) in enumerate(pairs[:5])]
     assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want], atol=2e-6)
     assert len({x[0] for x in got}) > 100
+
+
+def test_formats_keep_texts_that_begin_or_end_oddly(spark):
+    from evidex.operators import writing as W
+
+    texts = ["", None, " a", "a ", "\ta\t", "a\n", "\n", "a\r\n", "\r", "\ra", "\x00", "\x01\x1f", "   ", '"', '""a"', "a\\", 'a\\"b', "\ufeffa", "null", "#a", "a,b"]
+    df = spark.createDataFrame([(i, t, None if i % 2 else i) for i, t in enumerate(texts)], "doc_id long, text string, n long")
+    assert {(r.format, r.n, r.ok) for r in W.written(df).collect()} == {(f, len(texts), True) for f in ("json", "csv", "text", "parquet")}
