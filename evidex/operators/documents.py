@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -80,6 +81,19 @@ def of_each(rows: DataFrame, key: Sequence[str], found: Callable, schema: str, o
     return dealt.select(*key, *[c for c in rows.columns if c not in key]).mapInArrow(run, full)
 
 
+def lines_of(texts: list[str | None], term: re.Pattern) -> dict[int, list[str]]:
+    """Place of each line that holds a term -> its terms in order; lines at the same place of several texts are one."""
+    out: dict[int, list[str]] = {}
+    for t in texts:
+        for i, line in enumerate((t or "").split("\n")):
+            if found := term.findall(line):
+                if i in out:
+                    out[i] += found
+                else:
+                    out[i] = found
+    return out
+
+
 def half_up(x: np.ndarray, digits: int) -> np.ndarray:
     """Rounded as Spark's round() does: half cases of the decimal that is written go away from zero."""
     from decimal import ROUND_HALF_UP, Decimal

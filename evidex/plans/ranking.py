@@ -120,8 +120,7 @@ def sum10_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sum07_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _blocks(spark, sf_dir).select("doc_id", F.col("pos").alias("i"), F.explode(F.regexp_extract_all(F.lower("body"), F.lit(f"({T.TERM})"), 1)).alias("term")).groupBy("doc_id", "i", "term").agg(F.count("*").alias("tf"))
-    return K.term_likeness(t)
+    return K.term_likeness(_docs(spark, sf_dir))
 
 
 def sum02_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:

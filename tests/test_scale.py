@@ -111,3 +111,30 @@ def test_formats_keep_texts_that_begin_or_end_oddly(spark):
     texts = ["", None, " a", "a ", "\ta\t", "a\n", "\n", "a\r\n", "\r", "\ra", "\x00", "\x01\x1f", "   ", '"', '""a"', "a\\", 'a\\"b', "\ufeffa", "null", "#a", "a,b"]
     df = spark.createDataFrame([(i, t, None if i % 2 else i) for i, t in enumerate(texts)], "doc_id long, text string, n long")
     assert {(r.format, r.n, r.ok) for r in W.written(df).collect()} == {(f, len(texts), True) for f in ("json", "csv", "text", "parquet")}
+
+
+def test_likeness_of_lines(spark, monkeypatch):
+    """Against sums over shared terms, whole and in parts of few cells; no pair of lines is a row of a shuffle."""
+    import collections
+    import math
+    import re
+
+    docs = odd_documents(spark, seed=7, words="abc", n=60)
+    lines = collections.defaultdict(collections.Counter)
+    for d, t in docs.collect():
+        for i, x in enumerate((t or "").split("\n")):
+            if d is not None and (found := re.findall("[a-z][a-z0-9_+-]+", x.lower())):
+                lines[d, i].update(found)
+    want = {}
+    for d in {d for d, _ in lines}:
+        own = {i: c for (e, i), c in lines.items() if e == d}
+        mean = sum(c.total() for c in own.values()) / len(own)
+        df = collections.Counter(t for c in own.values() for t in c)
+        p = lambda i, t: math.log(1 + (len(own) - df[t] + 0.5) / (df[t] + 0.5)) * own[i][t] * 2.2 / (own[i][t] + 1.2 * (0.25 + 0.75 * own[i].total() / mean))  # noqa: B023, E731
+        want |= {(d, i, j): v / (1 + v) for i in own for j in own if i < j and (both := own[i].keys() & own[j].keys()) for v in [sum(p(i, t) + p(j, t) for t in both) / 2]}
+    for cells in (K.CELLS, 8):
+        monkeypatch.setattr(K, "CELLS", cells)
+        got = K.term_likeness(docs)
+        assert not shuffles_rows(got)
+        assert {(r.doc_id, r.left, r.right): r.likeness for r in got.collect()} == {k: pytest.approx(v, abs=6e-6) for k, v in want.items()}
+    assert len(want) > 20
