@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import functools
+import heapq
+import itertools
 import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .documents import lines_of, of_each
+
 TERM = r"[a-z][a-z0-9_+-]+"
 
 
@@ -36,6 +42,57 @@ def keywords(stats: DataFrame, *keys: str, k: int = 12) -> DataFrame:
     return stats.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+_TERM = re.compile(TERM)
+
+
+def _counts(texts: list) -> tuple[Counter, Counter, int]:
+    """tf and support (lines) of the terms in a document's texts, and how many lines hold a term."""
+    lines = lines_of(texts, _TERM)
+    return Counter(itertools.chain.from_iterable(lines.values())), Counter(itertools.chain.from_iterable(map(set, lines.values()))), len(lines)
+
+
+def _lowered(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.where("text is not null").select("doc_id", F.lower("text").alias("text"), *more)
+
+
+def keywords_of(docs: DataFrame, k: int = 12) -> DataFrame:
+    """doc_id, rank, term, tf, support, score: keywords() of whole documents (doc_id, text), counted within each; no term is a row of a shuffle."""
+
+    def found(own: list[list]):  # noqa: ANN202
+        tf, support, _ = _counts(own[0])
+        if best := heapq.nlargest(k, ((n * support[t] * min(len(t), 8), n, support[t], t) for t, n in tf.items())):
+            score, n, lines, term = zip(*best, strict=True)
+            yield range(1, len(best) + 1), term, n, lines, score
+
+    return of_each(_lowered(docs), ["doc_id"], found, "rank long, term string, tf long, support long, score long")
+
+
+def weighted_terms_of(docs: DataFrame, k: int = 12) -> DataFrame:
+    """doc_id, rank, term, support, score: the k best terms of a document by tf * support * support; ties by support, then the smaller term."""
+
+    def found(own: list[list]):  # noqa: ANN202
+        tf, support, _ = _counts(own[0])
+        if best := heapq.nsmallest(k, ((-n * support[t] * support[t], -support[t], t) for t, n in tf.items())):
+            score, lines, term = zip(*best, strict=True)
+            yield range(1, len(best) + 1), term, [-n for n in lines], [-x for x in score]
+
+    return of_each(_lowered(docs), ["doc_id"], found, "rank long, term string, support long, score long")
+
+
+def section_terms(docs: DataFrame, section: str) -> DataFrame:
+    """``section`` (a column), term, tf, support (documents): counted within each document first. A document in several rows counts, whole, in the section of each."""
+
+    def found(own: list[list]):  # noqa: ANN202
+        tf = _counts(own[0])[0]
+        for s in own[1]:
+            yield [s] * len(tf), list(tf), list(tf.values())
+
+    # A text that is null may have a section, too.
+    rows = docs.where("doc_id is not null").select("doc_id", F.lower("text").alias("text"), F.col(section).alias("section"))
+    own = of_each(rows, ["doc_id"], found, f"section {dict(docs.dtypes)[section]}, term string, tf long")
+    return own.groupBy(F.col("section").alias(section), "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("support"))
+
+
 def document_frequency(leaves: DataFrame) -> DataFrame:
     """term, df (leaves), docs and idf over all leaves."""
     n = leaves.select("doc_id", "pos").distinct().agg(F.count("*").alias("n"))

@@ -75,11 +75,7 @@ def agg10_key_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg12_retrieval_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaves = T.leaf_terms(_blocks(spark, sf_dir))
-    stats = leaves.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
-    stats = stats.join(T.follower_entropy(_blocks(spark, sf_dir), "doc_id").drop("tf"), ["doc_id", "term"])
-    n = leaves.groupBy("doc_id").agg(F.countDistinct("pos").alias("n"))
-    return K.retrieval_terms(stats, n, K.TERMS_KEPT["document"])
+    return K.retrieval_terms_of(_docs(spark, sf_dir), K.TERMS_KEPT["document"])
 
 
 def agg13_term_skills(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,3 +138,52 @@ def test_likeness_of_lines(spark, monkeypatch):
         assert not shuffles_rows(got)
         assert {(r.doc_id, r.left, r.right): r.likeness for r in got.collect()} == {k: pytest.approx(v, abs=6e-6) for k, v in want.items()}
     assert len(want) > 20
+
+
+def same(got, want):
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr) and want.count() > 15
+
+
+def test_terms_of_whole_documents(spark):
+    """Counted within documents as by rows of terms; repeated, null and empty documents among them. No term is a row of a shuffle."""
+    from evidex.operators import terms as T
+
+    docs = odd_documents(spark, words="abcde", n=25).withColumn("source", F.concat(F.lit("s"), F.length("text") % 3))
+    stats = T.rolled_up(T.leaf_terms(blocks(docs)), "doc_id")
+    same(T.keywords_of(docs, 5), T.keywords(stats, "doc_id", k=5))
+    best = stats.withColumn("score", F.col("tf") * F.col("support") * F.col("support")).orderBy("doc_id", F.desc("score"), F.desc("support"), "term").collect()
+    want = {}
+    for r in best:
+        want.setdefault(r.doc_id, []).append((r.term, r.support, r.score))
+    got = {}
+    for r in T.weighted_terms_of(docs, 5).orderBy("doc_id", "rank").collect():
+        got.setdefault(r.doc_id, []).append((r.term, r.support, r.score))
+    assert got == {d: x[:5] for d, x in want.items()}
+    same(T.section_terms(docs, "source"), T.rolled_up(stats.join(docs.select("doc_id", "source"), "doc_id").drop("support"), "source"))
+    assert not any(map(shuffles_rows, (T.keywords_of(docs), T.weighted_terms_of(docs))))
+
+
+def test_phrases_and_retrieval_terms_of_whole_documents(spark):
+    from evidex.operators import terms as T
+
+    docs = odd_documents(spark, seed=3, words="abcd", n=25).where("doc_id <> 3")  # of a repeated id the order of words is open
+    stats = T.rolled_up(T.leaf_terms(blocks(docs)), "doc_id")
+    words = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(f"({T.TERM})"), 1)).alias("i", "term"))
+    ranked = T.keywords(stats, "doc_id").select("doc_id", "term", (13 - F.col("rank")).cast("double").alias("weight"))
+    same(K.key_phrases_of(docs), K.key_phrases(words, ranked))
+    docs = odd_documents(spark, seed=3, words="abcd", n=25)
+    leaves = T.leaf_terms(blocks(docs))
+    stats = T.rolled_up(leaves, "doc_id").withColumnRenamed("support", "df").join(T.follower_entropy(blocks(docs), "doc_id").drop("tf"), ["doc_id", "term"])
+    same(K.retrieval_terms_of(docs, 6), K.retrieval_terms(stats, leaves.groupBy("doc_id").agg(F.countDistinct("pos").alias("n")), 6))
+    assert not any(map(shuffles_rows, (K.key_phrases_of(docs), K.retrieval_terms_of(docs, 6))))
+
+
+def test_distinct_lines_of_whole_documents(spark):
+    from evidex.operators import terms as T
+
+    docs = odd_documents(spark, seed=5, words="ab", n=40)
+    b = blocks(docs).withColumn("n", F.length("body"))
+    rows = b.groupBy("doc_id", "body", "n").agg(F.min("pos").alias("pos")).join(T.simhash(b, "doc_id", "pos"), ["doc_id", "pos"], "left")
+    rows = rows.select("doc_id", F.col("pos").cast("long").alias("id"), F.col("n").cast("double").alias("score"), F.coalesce("simhash", F.lit(0)).alias("simhash"))
+    same(K.distinct_lines(docs), K.not_seen_before(rows))
+    assert not shuffles_rows(K.distinct_lines(docs))
