@@ -69,9 +69,7 @@ def agg09_text_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg10_key_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(f"({T.TERM})"), 1)).alias("i", "term"))
-    ranked = T.keywords(_stats(spark, sf_dir), "doc_id").select("doc_id", "term", (13 - F.col("rank")).cast("double").alias("weight"))
-    return K.key_phrases(words, ranked)
+    return K.key_phrases_of(_docs(spark, sf_dir))
 
 
 def agg12_retrieval_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
