@@ -179,12 +179,8 @@ def rnk08_routed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rnk10_distinct_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of a document's fifty longest lines: equal texts once, then no line within three bits of a longer one."""
     """Distinct lines of each document, longest first, without those whose terms are nearly those of one before."""
-    b = _blocks(spark, sf_dir)
-    marks = T.simhash(b, "doc_id", "pos")
-    rows = b.groupBy("doc_id", "body", "n").agg(F.min("pos").alias("pos")).join(marks, ["doc_id", "pos"], "left")
-    return K.not_seen_before(rows.select("doc_id", F.col("pos").alias("id"), F.col("n").cast("double").alias("score"), F.coalesce("simhash", F.lit(0)).alias("simhash")))
+    return K.distinct_lines(_docs(spark, sf_dir))
 
 
 def rnk16_batch_read(spark: SparkSession, sf_dir: str) -> DataFrame:
