@@ -165,7 +165,7 @@ def ctx03_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _stats(spark, sf_dir).join(_docs(spark, sf_dir).select("doc_id", "source"), "doc_id").groupBy("source", "term").agg(F.sum("tf").alias("tf"))
+    g = T.section_terms(_docs(spark, sf_dir), "source")
     top = g.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("tf"), "term"))).where("r <= 40")
     cost = _docs(spark, sf_dir).groupBy("source").agg(F.sum("n_chars").alias("cost"))
     return top.groupBy("source").agg(F.array_join(F.sort_array(F.collect_list("term")), " ").alias("route")).join(cost, "source").select(F.col("source").alias("section"), "route", "cost")
