@@ -20,8 +20,7 @@ def agg01_leaf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg03_section_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return T.rolled_up(T.rolled_up(_leaves(spark, sf_dir), "doc_id").join(docs, "doc_id").withColumnRenamed("support", "leaves"), "source")
+    return T.section_terms(table(spark, sf_dir, "documents"), "source")
 
 
 def agg05_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
