@@ -24,8 +24,7 @@ def agg03_section_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg05_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = T.keywords(T.rolled_up(_leaves(spark, sf_dir), "doc_id"), "doc_id")
-    return found.select("doc_id", F.col("rank").cast("long"), "term", "tf", "support", "score")
+    return T.keywords_of(table(spark, sf_dir, "documents"))
 
 
 def agg11_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
