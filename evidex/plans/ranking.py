@@ -52,7 +52,7 @@ def nat24_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg07_search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = T.keywords(_stats(spark, sf_dir), "doc_id", k=5).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("k"))
+    k = T.keywords_of(_docs(spark, sf_dir), 5).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("k"))
     every = F.array_distinct(F.concat(F.array(F.lower("source")), F.coalesce("k", F.array().cast("array<string>")), F.array("lang")))
     return _docs(spark, sf_dir).join(k, "doc_id", "left").select("doc_id", F.array_join(every, ",").alias("search_terms"))
 
