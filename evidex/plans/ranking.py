@@ -58,9 +58,7 @@ def agg07_search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg08_weighted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("support"), "term")
-    rows = _stats(spark, sf_dir).withColumn("score", F.col("tf") * F.col("support") * F.col("support"))
-    return rows.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 12").select("doc_id", "rank", "term", "support", "score")
+    return T.weighted_terms_of(_docs(spark, sf_dir)).select("doc_id", "rank", "term", "support", "score")
 
 
 def agg09_text_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
