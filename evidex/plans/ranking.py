@@ -23,10 +23,6 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks(_docs(spark, sf_dir)).select("doc_id", F.col("pos").cast("long").alias("pos"), "body", F.length("body").alias("n"))
 
 
-def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.rolled_up(T.leaf_terms(_blocks(spark, sf_dir)), "doc_id")
-
-
 def agg04_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _blocks(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("leaves"), F.sum("n").alias("chars"))
     kind = F.element_at(F.array(*map(F.lit, ("paragraph", "page", "section", "document"))), (F.col("doc_id") % 4 + 1).cast("int"))

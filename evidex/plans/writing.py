@@ -14,7 +14,6 @@ from ..operators import terms as T
 from ..operators import writing as W
 from ..session import table
 from ..sources import markup as M
-from ..sources.text import blocks
 from .layout import _LINES, _lines
 from .terms import LEAVES_SQL
 
@@ -61,7 +60,7 @@ def qlt07_doctor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def udf08_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best keywords by a provider that is not there: by the one that takes its place, which is told."""
     used, why = W.keyword_provider("lexicon")
-    k = T.keywords(T.rolled_up(T.leaf_terms(blocks(table(spark, sf_dir, "documents"))), "doc_id"), "doc_id", k=3)
+    k = T.keywords_of(table(spark, sf_dir, "documents"), 3)
     return k.select("doc_id", F.col("rank").cast("long"), "term", F.lit("lexicon").alias("requested"), F.lit(used).alias("provider"), F.lit(why).alias("reason"))
 
 
