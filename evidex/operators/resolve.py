@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .documents import of_each
+
 
 def either(left: DataFrame, right: DataFrame, on: str, keys: list[str], columns: list[str]) -> DataFrame:
     """Left rows that meet right rows by any of several keys: a union of equi-joins, each pair once."""
@@ -122,23 +123,30 @@ def cell_changes(old: DataFrame, new: DataFrame, most: int = 50) -> DataFrame:
 def prefix_matches(gold: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
     """Gold texts matched to blocks that begin with them, the first block not taken yet: doc_id, gold, pos (-1: none).
 
-    ``gold``: doc_id, gold (place), prefix (n characters or more); ``blocks``: doc_id, pos, text. Candidates meet by an
-    equi-join on the first n characters; the greedy choice runs over the candidates of one document.
+    ``gold``: doc_id, gold (place), prefix (n characters or more); ``blocks``: doc_id, pos, text. Gold texts and blocks of a document meet in its
+    task, by their first n characters; the greedy choice runs over its candidates.
     """
-    head = lambda c: F.substring(c, 1, n)
-    b = blocks.select("doc_id", head("text").alias("h"), "pos", "text")
-    met = gold.withColumn("h", head("prefix")).join(b, ["doc_id", "h"], "left")
-    met = met.select("doc_id", "gold", F.when(F.startswith("text", F.col("prefix")), F.col("pos")).alias("pos")).distinct()
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for g, rows in df.sort_values(["gold", "pos"]).groupby("gold"):
-            free = [int(p) for p in rows["pos"].dropna() if int(p) not in taken]
-            taken.update(free[:1])
-            out.append((int(g), free[0] if free else -1))
-        return pd.DataFrame({"doc_id": df["doc_id"].iloc[0], "gold": [o[0] for o in out], "pos": [o[1] for o in out]})
-
-    return met.groupBy("doc_id").applyInPandas(run, "doc_id long, gold long, pos long")
+
+    def found(own: list[list]):  # noqa: ANN202
+        heads: dict[str, list[tuple[int, str]]] = {}
+        wanted: dict[int, list[str]] = {}
+        for g, p, text in zip(*own, strict=True):
+            if p is not None:
+                heads.setdefault(text[:n], []).append((p, text))
+            elif g is not None:
+                wanted.setdefault(g, []).append(text)
+        taken: set[int] = set()
+        out = []
+        for g in sorted(wanted):
+            free = [p for prefix in wanted[g] if prefix is not None for p, text in heads.get(prefix[:n], ()) if p not in taken and text.startswith(prefix)]
+            out.append(min(free, default=-1))
+            taken.update(out[-1:] if free else [])
+        yield sorted(wanted), out
+
+    none = F.lit(None).cast("long")
+    rows = gold.select("doc_id", F.col("gold").cast("long").alias("gold"), none.alias("pos"), F.col("prefix").alias("text"))
+    rows = rows.union(blocks.where("doc_id is not null and text is not null and pos is not null").select("doc_id", none, F.col("pos").cast("long"), "text"))
+    return of_each(rows, ["doc_id"], found, "gold long, pos long")
 
 
 def without_covered(hits: DataFrame, closure: DataFrame, share: float = 0.6) -> DataFrame:
