@@ -12,8 +12,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import stored
+from .documents import of_each
 
 
 def unit_hits(blocks: DataFrame, units: Sequence[str]) -> DataFrame:
@@ -77,20 +79,25 @@ def fitting(rows: DataFrame, cost: str, budget: int, key: str, *order: Column |
 def first_fit(rows: DataFrame, key: str, budget: int, schema: str) -> DataFrame:
     """Mandatory rows first, then by score; a row that does not fit is left out and the next one tried.
 
-    Expects few rows a key (candidates, already cut): columns ``key``, id, cost, score, mandatory. The
-    result has ``status`` besides: 'kept', or 'over_budget' for a mandatory row that does not fit.
+    Columns ``key``, id, cost, score, mandatory; ties go to the smaller id. The result has ``status`` besides: 'kept', or 'over_budget' for a
+    mandatory row that does not fit. A task holds the rows of one key.
     """
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["mandatory", "score", "id"], ascending=[False, False, True])
-        left, keep = budget, []
-        for cost in df["cost"]:
-            keep.append(cost <= left)
-            left -= cost if keep[-1] else 0
-        df = df.assign(status=["kept" if k else "over_budget" for k in keep])
-        return df[df["mandatory"] | pd.Series(keep, df.index)]
-
-    return rows.groupBy(key).applyInPandas(run, f"{schema}, status string")
+    columns = [f.name for f in StructType.fromDDL(schema) if f.name != key]
+
+    def found(own: list[list]):  # noqa: ANN202
+        of = dict(zip(columns, own, strict=True))
+        left, out = budget, []
+        for i in sorted(range(len(own[0])), key=lambda i: (not of["mandatory"][i], of["score"][i] is None, -(of["score"][i] or 0.0), of["id"][i])):
+            fits = of["cost"][i] <= left
+            left -= of["cost"][i] if fits else 0
+            if fits or of["mandatory"][i]:
+                out.append((*(c[i] for c in own), "kept" if fits else "over_budget"))
+        if out:
+            yield tuple(zip(*out, strict=True))
+
+    rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
+    kinds = dict(rows.dtypes)
+    return of_each(rows.select(key, *columns), [key], found, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", status string").select(*kinds, "status")
 
 
 # Share of relevance against repetition, least factor of a fit to the intent, power of the cost.

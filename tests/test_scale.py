@@ -187,3 +187,24 @@ def test_distinct_lines_of_whole_documents(spark):
     rows = rows.select("doc_id", F.col("pos").cast("long").alias("id"), F.col("n").cast("double").alias("score"), F.coalesce("simhash", F.lit(0)).alias("simhash"))
     same(K.distinct_lines(docs), K.not_seen_before(rows))
     assert not shuffles_rows(K.distinct_lines(docs))
+
+
+def test_small_groups_take_no_frame_each(spark):
+    """Reading order, first fit and prefixes of many small groups: rows of a key are read one after the other, not as a frame of pandas."""
+    from evidex.operators import layout as L
+    from evidex.operators import resolve as J
+    from evidex.operators import retrieval as R
+
+    pandas = lambda df: "FlatMapGroupsInPandas" in df._jdf.queryExecution().optimizedPlan().toString()
+    box = "doc_id long, page long, id long, x0 double, y0 double, x1 double, y1 double, role string"
+    rows = [(1, 0, 3, 20.0, 90.0, 280.0, 110.0, "text"), (1, 0, 1, 20.0, 10.0, 580.0, 30.0, "page_header"), (1, 0, 2, 320.0, 90.0, 580.0, 110.0, "text"), (1, 0, 0, None, None, None, None, None), (1, 1, 0, None, None, None, None, "text")]
+    got = L.reading_order(spark.createDataFrame(rows, box))
+    assert [(r.page, r.id, r.rule) for r in got.orderBy("page", "place").collect()] == [(0, 1, "spanner"), (0, 3, "column_flow"), (0, 2, "column_flow"), (0, 0, "fallback_row_major"), (1, 0, "fallback_row_major")]
+    schema = "k long, id long, cost long, score double, mandatory boolean"
+    fit = R.first_fit(spark.createDataFrame([(1, 5, 60, 0.5, False), (1, 4, 60, 0.5, False), (1, 6, 50, None, False), (2, 1, 101, 0.1, True), (None, 1, 1, 0.1, False)], schema), "k", 110, schema)
+    assert sorted(map(tuple, fit.select("k", "id", "status").collect()), key=repr) == [(1, 4, "kept"), (1, 6, "kept"), (2, 1, "kept"), (None, 1, "kept")]
+    gold = spark.createDataFrame([(1, 0, "same"), (1, 0, "other"), (1, 1, "same"), (1, 2, None), (2, 0, "same"), (1, 3, "so")], "doc_id long, gold long, prefix string")
+    b = spark.createDataFrame([(1, 9, "same b"), (1, 7, "same a"), (1, 3, "other"), (1, 1, None), (1, 8, "so"), (1, 6, "some")], "doc_id long, pos long, text string")
+    met = J.prefix_matches(gold, b, 4)
+    assert sorted(map(tuple, met.collect())) == [(1, 0, 3), (1, 1, 7), (1, 2, -1), (1, 3, 8), (2, 0, -1)]
+    assert not any(map(pandas, (got, fit, met))) and not shuffles_rows(met)
