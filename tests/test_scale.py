@@ -208,3 +208,30 @@ def test_small_groups_take_no_frame_each(spark):
     met = J.prefix_matches(gold, b, 4)
     assert sorted(map(tuple, met.collect())) == [(1, 0, 3), (1, 1, 7), (1, 2, -1), (1, 3, 8), (2, 0, -1)]
     assert not any(map(pandas, (got, fit, met))) and not shuffles_rows(met)
+
+
+def test_python_workers_hold_bounded_batches(spark, tmp_path):
+    """Batches of long rows, and what is made of them, are bounded however large the table is."""
+    import pandas as pd
+
+    from evidex.session import table
+    from evidex.sources import markup as M
+    from evidex.sources import office as O
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x "), 10_000).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = lambda df: df.mapInPandas(lambda it: (pd.DataFrame({"n": [len(b)]}) for b in it), "n long")
+    most = sizes(table(spark, str(tmp_path), "documents").coalesce(1)).agg(F.max("n"), F.sum("n")).first()
+    assert most[0] < 1000 and most[1] == 3000
+    raw = O.make_xlsx(["w"] * 5000)
+    files = spark.createDataFrame([(i, raw) for i in range(8)], "id long, content binary").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000000")
+    try:
+        cells = O.xlsx(files)
+        assert cells.count() == 8 * 15_000
+        pages = spark.createDataFrame([(i, "<p>a</p>" * 15_000) for i in range(4)], "id long, html string").coalesce(1)
+        assert M.parsed(pages, "id", "html", "html").count() == 60_000
+        assert O.OUT <= 20_000 and M.OUT <= 20_000
+    finally:
+        table(spark, str(tmp_path), "documents")
